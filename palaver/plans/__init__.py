@@ -1 +1,3 @@
 """Registered queries over the driver's tables, with their SQL."""
+
+from . import analytics_queries, search_queries, upkeep_queries  # noqa: F401  each registers its queries
