@@ -10,8 +10,8 @@ smaller id. Segments have about log2(number of codes) bits, so a lookup meets ab
 
 Queries are the rows whose id is divisible by ``every``; a row is not its own neighbour. Null ids and
 null or empty vectors are left out; null components count as 0. Vectors of another length are cut or
-filled to ``bits``. With fewer than k other rows all of them are returned. Repeated rows are rows of
-their own (an id that stands on several rows is left out of its own answers altogether).
+filled to ``bits``. With fewer than k other rows all of them are returned. Of several rows
+with one id, the one with the smallest code (as a signed number) counts.
 """
 
 from __future__ import annotations
@@ -46,7 +46,8 @@ def segments_of(codes: int, bits: int) -> list[tuple[int, int]]:
 def top_k(vectors: DataFrame, k: int = 10, every: int = 50, vec_id: str = "vec_id", vector: str = "embedding", bits: int = 64) -> DataFrame:
     """(query_id, rank from 1, neighbour_id, distance)."""
     usable = vectors.where(F.col(vec_id).isNotNull() & (F.size(vector) > 0))
-    rows = checkpointed(usable.select(F.col(vec_id).alias("id"), binary_code(F.col(vector), bits).alias("code")))
+    coded = usable.select(F.col(vec_id).alias("id"), binary_code(F.col(vector), bits).alias("code"))
+    rows = checkpointed(coded.groupBy("id").agg(F.min("code").alias("code")))
     lowest = F.row_number().over(Window.partitionBy("code").orderBy("id"))
     members = rows.withColumn("n", lowest).where(F.col("n") <= k + 1)
     classes = checkpointed(members.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
