@@ -47,18 +47,21 @@ def splitters(keys: DataFrame, size: str, halves: tuple[str, str], shards: int,
             inside = F.col(halves[half]).between(low, high) & (F.lit(half == 0) | (F.col(halves[0]) == first))
             part = F.expr(f"cast(({halves[half]} - {low}L) div {step[span]}L as int)") + k * FANOUT
             number = F.when(inside, part) if number is None else number.when(inside, part)
-        sums = dict(keys.select(number.alias("part"), size).where("part IS NOT NULL").groupBy("part").agg(F.sum(size)).collect())
+        value = F.when(F.lit(False), F.lit(None).cast("long"))
+        for span, k in spans.items():
+            value = value.when(F.col("part").between(k * FANOUT, (k + 1) * FANOUT - 1), F.col(halves[span[0]]))
+        counted = keys.select(number.alias("part"), size, *halves).where("part IS NOT NULL").groupBy("part")
+        counts = {r["part"]: r for r in counted.agg(F.sum(size).alias("bytes"), F.count("*").alias("rows"), F.min(value).alias("low"), F.max(value).alias("high")).collect()}
         for s, (half, first, low, high, below) in list(searching.items()):
             span = (half, first, low, high)
-            want, slack, at, mass = total * s / shards, tolerance * total / shards, 0, 0
+            want, slack, mass, part = total * s / shards, tolerance * total / shards, 0, None
             for p in range(FANOUT):
-                if b := sums.get(spans[span] * FANOUT + p):
-                    below, at, mass = below + mass, p, b
+                if r := counts.get(spans[span] * FANOUT + p):
+                    below, mass, part = below + mass, r["bytes"], r
                     if below + mass > want:
                         break
-            start = low + at * step[span]
-            end = min(high, start + step[span] - 1)
-            one = start == end and half == 1
+            start, end = part["low"], part["high"]  # no keys lie outside
+            one = part["rows"] == 1 or start == end and half == 1
             cut = None
             if want - below <= slack or one and want - below <= mass / 2:
                 cut = start
