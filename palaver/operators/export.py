@@ -19,17 +19,19 @@ def export_group(provider: Column, host: Column, email: Column) -> Column:
 
 def plan(items: DataFrame, extension: str = "md") -> DataFrame:
     """Adds grp and rel_path. In a directory, items with one stem are told apart by -2, -3, ... in order
-    of time and id. Where a name made so is also the natural name of another item, that directory alone
-    is planned row by row, since which names are taken then depends on the order."""
+    of time and id. Where a name made so is also the natural name of another item, the items of that
+    directory whose stems differ only in such endings are planned row by row, since which names are
+    taken then depends on the order."""
     rows = items.withColumn("grp", export_group(F.col("provider"), F.col("host"), F.col("email")))
     rows = rows.withColumns({"dir": F.concat_ws("/", "provider", "grp", F.concat("item_type", F.lit("s"))), "stem": times.file_stem(F.col("created_at"), F.col("name"))})
     k = F.row_number().over(Window.partitionBy("dir", "stem").orderBy("created_at", "uuid"))
     rows = rows.withColumn("k", k).withColumn("named", F.when(F.col("k") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), F.col("k").cast("string"))))
+    rows = rows.withColumn("family", F.regexp_replace("stem", r"(-\d+)+$", ""))
     made = rows.where("k > 1").select("dir", F.col("named").alias("stem")).distinct()
-    clash = rows.where("k = 1").join(made, ["dir", "stem"], "left_semi").select("dir").distinct()
-    plain = rows.join(clash, "dir", "left_anti").select("dir", "created_at", "uuid", "named")
+    clash = rows.where("k = 1").join(made, ["dir", "stem"], "left_semi").select("dir", "family").distinct()
+    plain = rows.join(clash, ["dir", "family"], "left_anti").select("dir", "created_at", "uuid", "named")
 
-    def one_directory(part: pd.DataFrame) -> pd.DataFrame:
+    def one_family(part: pd.DataFrame) -> pd.DataFrame:
         taken, names = set(), []
         part = part.sort_values(["created_at", "uuid"], kind="stable")
         for stem in part["stem"]:
@@ -41,9 +43,9 @@ def plan(items: DataFrame, extension: str = "md") -> DataFrame:
         return part.assign(named=names)[["dir", "created_at", "uuid", "named"]]
 
     kind = items.select("created_at", "uuid").schema
-    hard = rows.join(clash, "dir", "left_semi").select("dir", "created_at", "uuid", "stem").groupBy("dir").applyInPandas(one_directory, f"dir string, created_at {kind['created_at'].dataType.simpleString()}, uuid {kind['uuid'].dataType.simpleString()}, named string")
+    hard = rows.join(clash, ["dir", "family"], "left_semi").select("dir", "family", "created_at", "uuid", "stem").groupBy("dir", "family").applyInPandas(one_family, f"dir string, created_at {kind['created_at'].dataType.simpleString()}, uuid {kind['uuid'].dataType.simpleString()}, named string")
     named = plain.unionByName(hard).withColumn("rel_path", F.concat("dir", F.lit("/"), "named", F.lit("." + extension)))
-    return rows.drop("named", "k", "stem").join(named.select("dir", "uuid", "rel_path"), ["dir", "uuid"]).drop("dir")
+    return rows.drop("named", "k", "stem", "family").join(named.select("dir", "uuid", "rel_path"), ["dir", "uuid"]).drop("dir")
 
 
 def planned_counts(planned: DataFrame) -> DataFrame:
