@@ -24,8 +24,9 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, read
 
-#: Lookups a query may make in a round; beyond it a round asks the codes' blocks directly.
-MOST_MASKS = 100_000
+#: Lookups a query may make in a round. Beyond it the codes are cut into one segment more and the
+#: rounds begin anew for the queries that are still open; what was met stays met.
+MOST_MASKS = 50_000
 
 
 def binary_code(vector: Column, bits: int = 64) -> Column:
@@ -36,9 +37,12 @@ def binary_code(vector: Column, bits: int = 64) -> Column:
     return code
 
 
-def segments_of(codes: int, bits: int) -> list[tuple[int, int]]:
-    """(start, width) of the segments for so many distinct codes."""
-    many = min(16, max(2, round(bits / max(4.0, log2(max(codes, 2))))))
+def segment_count(codes: int, bits: int) -> int:
+    return min(16, max(2, round(bits / max(4.0, log2(max(codes, 2))))))
+
+
+def cut(bits: int, many: int) -> list[tuple[int, int]]:
+    """(start, width) of so many segments."""
     edges = [round(bits * k / many) for k in range(many + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
@@ -51,21 +55,26 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50, vec_id: str = "vec_i
     lowest = F.row_number().over(Window.partitionBy("code").orderBy("id"))
     members = rows.withColumn("n", lowest).where(F.col("n") <= k + 1)
     classes = checkpointed(members.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    segments = segments_of(classes.count(), bits)
+    segments = cut(bits, segment_count(classes.count(), bits))
 
     def exploded(df: DataFrame, code: str) -> DataFrame:
         values = [F.shiftrightunsigned(code, a).bitwiseAND((1 << w) - 1) for a, w in segments]
         return df.select("*", F.posexplode(F.array(*values)).alias("segment", "value"))
 
-    index = checkpointed(exploded(classes, "code").select("segment", "value", "code", F.least(F.size("ids"), F.lit(k + 1)).alias("many"), F.get("ids", F.lit(0)).alias("least")))
+    def indexed() -> DataFrame:
+        return checkpointed(exploded(classes, "code").select("segment", "value", "code", F.least(F.size("ids"), F.lit(k + 1)).alias("many"), F.get("ids", F.lit(0)).alias("least")))
+
+    index = indexed()
     queries = rows.where(F.col("id") % every == 0)
     open_ = queries.select(F.col("code").alias("q")).distinct()
     met = done = None
-    widest = max(w for _, w in segments)
     order = Window.partitionBy("q").orderBy("distance", "least")
-    for radius in range(widest + 1):
+    radius = bound = 0
+    while bound <= bits:
         if sum(comb(w, radius) for _, w in segments) > MOST_MASKS:
-            raise ValueError("segments too wide for this radius")
+            segments, radius = cut(bits, len(segments) + 1), 0
+            index = indexed()
+            continue
         masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in _masks(w, radius)]) if radius <= w else F.array().cast("array<long>") for _, w in segments])
         probes = exploded(open_, "q").withColumn("mask", F.explode(F.get(masks, F.col("segment")))).select("q", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
         found = probes.join(index, ["segment", "value"]).select("q", "code", "many", "least", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance")).distinct()
@@ -73,9 +82,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50, vec_id: str = "vec_i
             found = found.unionByName(met.join(open_, "q", "left_semi")).distinct()
         # k + 1 codes are enough: each has a row, and at one distance those with the smallest ids count.
         met = checkpointed(found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n"))
-        bound = len(segments) * (radius + 1)
+        bound, radius = max(bound, len(segments) * (radius + 1)), radius + 1
         rows_below = met.where(F.col("distance") < bound).groupBy("q").agg(F.sum("many").alias("rows"))
-        closed = rows_below.where(F.col("rows") >= k + 1).select("q") if radius < widest else open_
+        closed = rows_below.where(F.col("rows") >= k + 1).select("q") if bound <= bits else open_
         closed = checkpointed(closed)
         part = met.join(closed, "q", "left_semi")
         done = part if done is None else done.unionByName(part)

@@ -98,8 +98,9 @@ def test_components(spark):
     assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-@pytest.mark.parametrize("k", [1, 10, 400])
-def test_top_k(spark, k):
+@pytest.mark.parametrize(("k", "masks"), [(1, 50_000), (10, 30), (400, 50_000)])
+def test_top_k(spark, monkeypatch, k, masks):
+    monkeypatch.setattr(hamming_search, "MOST_MASKS", masks)
     rnd = np.random.default_rng(3)
     center = rnd.normal(size=(6, 64))
     rows = [(i, [float(v) for v in center[i % 6] + rnd.normal(size=64) * 0.5], i) for i in range(240)]
