@@ -82,26 +82,26 @@ def name_bonus(name_raw: Column, query: str, exact: bool = False) -> Column:
 
 
 def snippets(text: Column, literal: str, around: int = 100) -> Column:
-    """One string for each occurrence: the text around it, line ends as spaces, dots where cut."""
-    pieces = F.split(text, "(?iu)" + quoted(literal), -1)
-    hits = F.regexp_extract_all(text, F.lit("(?iu)" + quoted(literal)), F.lit(0))
-    # Walk the pieces: (characters so far, list of (start, end) of the occurrences).
-    kind = "struct<at: int, k: int, spans: array<struct<start: int, stop: int>>>"
-    start = F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.array().cast("array<struct<start: int, stop: int>>").alias("spans")).cast(kind)
-
-    def step(acc: Column, hit: Column) -> Column:
-        begin = acc["at"] + F.length(F.get(pieces, acc["k"]))
-        end = begin + F.length(hit)
-        return F.struct(end.alias("at"), (acc["k"] + 1).alias("k"), F.concat(acc["spans"], F.array(F.struct(begin.alias("start"), end.alias("stop")))).alias("spans")).cast(kind)
-
-    spans = F.aggregate(hits, start, step, lambda acc: acc["spans"])
-
-    def cut(span: Column) -> Column:
-        low, high = F.greatest(F.lit(0), span["start"] - around), F.least(F.length(text), span["stop"] + around)
-        body = ws_trim(F.translate(F.substring(text, low + 1, high - low), "\n", " "))
-        return F.concat(F.when(low > 0, "...").otherwise(""), body, F.when(high < F.length(text), "...").otherwise(""))
-
-    return F.transform(spans, cut)
+    """One string for each occurrence: the text around it, line ends as spaces, dots where cut.
+
+    One pass: the text between occurrences, the occurrences and what follows each are extracted once;
+    the walk carries the last ``around`` characters along."""
+    hit = "(?iu)" + quoted(literal)
+    between = F.split(text, hit, -1)
+    found = F.regexp_extract_all(text, F.lit(hit), F.lit(0))
+    after = F.regexp_extract_all(text, F.lit(f"{hit}(?s)(?=(.{{0,{around + 1}}}))"), F.lit(1))
+    steps = F.filter(F.arrays_zip(between.alias("between"), found.alias("hit"), after.alias("after")), lambda s: s["hit"].isNotNull())
+    kind = "struct<tail: string, at: int, out: array<string>>"
+
+    def step(acc: Column, s: Column) -> Column:
+        before = F.concat(acc["tail"], s["between"])
+        at = acc["at"] + F.length(s["between"])
+        body = ws_trim(F.translate(F.concat(F.right(before, F.lit(around)), s["hit"], F.left(s["after"], F.lit(around))), "\n", " "))
+        one = F.concat(F.when(at > around, "...").otherwise(""), body, F.when(F.length(s["after"]) > around, "...").otherwise(""))
+        return F.struct(F.right(F.concat(before, s["hit"]), F.lit(around)).alias("tail"), (at + F.length(s["hit"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out")).cast(kind)
+
+    start = F.struct(F.lit("").alias("tail"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(kind)
+    return F.aggregate(steps, start, step, lambda acc: acc["out"])
 
 
 def highlight(text: Column, terms: list[str], left: str = "<<", right: str = ">>") -> Column:

@@ -25,7 +25,7 @@ def _search_sql(table: str, key: str, phrase: str, exact: bool = False) -> str:
     parts = [phrase] if exact else phrase.split()
     match = " AND ".join(f"contains(lower(text), '{p}')" for p in dict.fromkeys(parts))
     n = " + ".join(f"len(regexp_extract_all(text, '(?i){p}'))" for p in parts)
-    return f"SELECT {key}, sum({_score_sql(phrase, 'text')} * ({n})) AS total_score, CAST(sum({n}) AS BIGINT) AS n_matches FROM {table} WHERE text <> '' AND {match} GROUP BY {key}"
+    return f"SELECT {key}, CAST(sum({_score_sql(phrase, 'text')} * ({n})) AS DOUBLE) AS total_score, CAST(sum({n}) AS BIGINT) AS n_matches FROM {table} WHERE text <> '' AND {match} GROUP BY {key}"
 
 
 def _search(df, phrase, key, exact=False):
@@ -91,7 +91,7 @@ def search_time_sort(spark, sf_dir):
 WITH t AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE role = 'user') AS first FROM conversations GROUP BY conv_id),
 n AS (SELECT conv_id, regexp_replace(trim(regexp_replace(split_part(trim(coalesce(first, ''), E' \\n\\t'), chr(10), 1), '\\s+', ' ', 'g')), '\\s+$', '') AS line FROM t),
 m AS (SELECT conv_id, CASE WHEN length(line) > 80 THEN substr(line, 1, 80) || '…' ELSE line END AS name FROM n)
-SELECT s.conv_id, m.name, s.total_score + CASE WHEN m.name <> '' AND (contains(lower(m.name), 'the of') OR (contains(lower(m.name), 'the') AND contains(lower(m.name), 'of'))) THEN 5.0 ELSE 0.0 END AS total_score, s.n_matches
+SELECT s.conv_id, m.name, s.total_score + CASE WHEN m.name <> '' AND (contains(lower(m.name), 'the of') OR (contains(lower(m.name), 'the') AND contains(lower(m.name), 'of'))) THEN 5.0::DOUBLE ELSE 0.0::DOUBLE END AS total_score, s.n_matches
 FROM ({_search_sql("conversations", "conv_id", "the of")}) s JOIN m USING (conv_id)
 """)
 def search_title_bonus(spark, sf_dir):
@@ -153,7 +153,7 @@ def verify_plans(spark, sf_dir):
 @query("""
 WITH i AS (SELECT conv_id, arg_min(text, turn) FILTER (WHERE text <> '') AS first, max(turn) AS updated FROM conversations GROUP BY conv_id),
 p AS (SELECT conv_id, updated, trim(replace(first, chr(10), ' ')) AS f FROM i WHERE first IS NOT NULL)
-SELECT conv_id, CASE WHEN length(f) > 200 THEN substr(f, 1, 200) || '...' ELSE f END AS preview, updated AS updated_at, 0.0 AS total_score FROM p
+SELECT conv_id, CASE WHEN length(f) > 200 THEN substr(f, 1, 200) || '...' ELSE f END AS preview, updated AS updated_at, 0.0::DOUBLE AS total_score FROM p
 """)
 def browse_preview(spark, sf_dir):
     c = read(spark, sf_dir, "conversations")
