@@ -6,7 +6,7 @@ Codes are cut into segments, each indexed by its value. A round of radius r look
 that is still open, all segment values exactly r bits away, and verifies the full distance of what it
 meets. After it, every code closer than segments * (r + 1) has been met in some segment, so a query
 is closed once its kth nearest row lies below that bound. Its answer is then exact; ties go to the
-smaller id. Segments have about log2(number of codes) bits, so a lookup meets about one code.
+smaller id. What lies farther than the kth nearest row met so far is dropped as soon as it is verified.
 
 Queries are the rows whose id is divisible by ``every``; a row is not its own neighbour. Null ids and
 null or empty vectors are left out; null components count as 0. Vectors of another length are cut or
@@ -38,7 +38,9 @@ def binary_code(vector: Column, bits: int = 64) -> Column:
 
 
 def segment_count(codes: int, bits: int) -> int:
-    return min(16, max(2, round(bits / max(4.0, log2(max(codes, 2))))))
+    """Segments a little shorter than log2(codes): a lookup meets some codes, and far fewer lookups are
+    made than with one code each, as their number grows fastest with the width."""
+    return min(16, max(2, round(bits / max(4.0, log2(max(codes, 2)) - 3))))
 
 
 def cut(bits: int, many: int) -> list[tuple[int, int]]:
@@ -66,7 +68,8 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50, vec_id: str = "vec_i
 
     index = indexed()
     queries = rows.where(F.col("id") % every == 0)
-    open_ = queries.select(F.col("code").alias("q")).distinct()
+    # `reach`: no code farther than this can be among the answers; null: not known yet.
+    open_ = queries.select(F.col("code").alias("q")).distinct().withColumn("reach", F.lit(None).cast("int"))
     met = done = None
     order = Window.partitionBy("q").orderBy("distance", "least")
     radius = bound = 0
@@ -76,8 +79,10 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50, vec_id: str = "vec_i
             index = indexed()
             continue
         masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in _masks(w, radius)]) if radius <= w else F.array().cast("array<long>") for _, w in segments])
-        probes = exploded(open_, "q").withColumn("mask", F.explode(F.get(masks, F.col("segment")))).select("q", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
-        found = probes.join(index, ["segment", "value"]).select("q", "code", "many", "least", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).alias("distance")).distinct()
+        probes = exploded(open_, "q").withColumn("mask", F.explode(F.get(masks, F.col("segment")))).select("q", "reach", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+        distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
+        found = probes.join(index, ["segment", "value"]).where(F.col("reach").isNull() | (distance <= F.col("reach")))
+        found = found.select("q", "code", "many", "least", distance.alias("distance")).distinct()
         if met is not None:
             found = found.unionByName(met.join(open_, "q", "left_semi")).distinct()
         # k + 1 codes are enough: each has a row, and at one distance those with the smallest ids count.
@@ -88,7 +93,10 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50, vec_id: str = "vec_i
         closed = checkpointed(closed)
         part = met.join(closed, "q", "left_semi")
         done = part if done is None else done.unionByName(part)
-        open_ = checkpointed(open_.join(closed, "q", "left_anti"))
+        # The k + 1 nearest codes hold at least k + 1 rows, so the farthest of them bounds the answers.
+        far = met.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
+        far = far.select("q", F.when(F.col("n") > k, F.col("far")).alias("reach"))
+        open_ = checkpointed(open_.select("q").join(closed, "q", "left_anti").join(far, "q", "left"))
         if not open_.limit(1).count():
             break
     # Rows of the nearest classes, cut to k + 1 for each query code, then without the query itself.

@@ -22,7 +22,7 @@ from .common import fresh, read
 from .pieces import MEMO_ENTRIES, SPACE, Pieces, loaded, model_bytes
 
 #: Characters of distinct parts indexed at once, which bounds the arrays of a batch.
-INDEX_CHARS = 1 << 20
+INDEX_CHARS = 1 << 18
 _CACHE_BITS = 20
 _ID_BITS = 21
 
@@ -217,7 +217,7 @@ def codec_of(model: bytes) -> Codec:
 
 
 #: Characters of the texts encoded together.
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 2 << 20
 
 
 def in_groups(texts: list[str | None], most: int = BATCH_CHARS):
