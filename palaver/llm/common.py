@@ -28,6 +28,19 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Bytes of the rows that go to a Python worker at once.
+BATCH_BYTES = 8 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let Python workers get at most BATCH_BYTES at once, so that their memory, and the buffers beside
+    the JVM's heap, don't depend on how long texts are. A lower setting of the session stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = str(spark.conf.get(key, "67108864b")).rstrip("b")
+    if not now.isdigit() or int(now) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with files in the folder that all machines share.
 

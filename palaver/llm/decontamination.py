@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, read
+from .common import fresh, read, small_batches
 
 BLOCK_WORDS = 2_000_000
 
@@ -200,6 +200,7 @@ def _look(text: Column, before: Column | None, held, size: int, near_span: int)
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", size: int = 10, near_terms: int = 6, near_span: int = 20) -> Column:
     """A column of ``docs``: struct of n_words, spans (first and last word of each hit stretch), items
     (ids with exact matches) and near_items (ids with proximity matches)."""
+    small_batches(docs.sparkSession)
     found, sc = None, docs.sparkSession.sparkContext
     for block in item_blocks(benchmark, item_id, item_text):
         counts = term_counts(docs, text, {w for _, ws in block for w in ws})

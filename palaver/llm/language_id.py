@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out, read
+from .common import fresh, held_out, read, small_batches
 
 ROWS = 1500
 BYTES = 200_000
@@ -194,6 +194,7 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
 
 def predict(text: Column, model: Model, spark) -> Column:
     """struct<lang, score, bits_per_byte> of each whole text."""
+    small_batches(spark)
     held = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang: string, score: double, bits_per_byte: double>")

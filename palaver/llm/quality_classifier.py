@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, read
+from .common import held_out, read, small_batches
 
 ROWS = 20_000
 BINS, DEPTH, TREES, RATE, RIDGE = 64, 4, 100, 0.15, 1.0
@@ -140,6 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
 
 def quality(text: Column, trees: Trees, spark) -> Column:
     """Score (0 to 1) of each whole text."""
+    small_batches(spark)
     held = spark.sparkContext.broadcast(trees)
 
     @F.pandas_udf("double")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, read
+from .common import fresh, read, small_batches
 from .pieces import MEMO_ENTRIES, SPACE, Pieces, loaded, model_bytes
 
 #: Characters of distinct parts indexed at once, which bounds the arrays of a batch.
@@ -256,6 +256,7 @@ def decoded(ids: Column, model: bytes) -> Column:
 def encode_documents(docs: DataFrame, model_path: str, text: str = "text", check: bool = True) -> DataFrame:
     """``docs`` with n_tokens, token_ids and, if ``check``, round_trip: do the ids give the text back
     (U+2581 read as a space)? One narrow pass, no shuffle."""
+    small_batches(docs.sparkSession)
     model = model_bytes(model_path)
     (pair,) = fresh(docs, "coded")
 

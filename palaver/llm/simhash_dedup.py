@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, read
+from .common import checkpointed, fresh, read, small_batches
 from .components import connected_components
 
 SEED = 42
@@ -195,6 +195,7 @@ def _unite(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
     """One row for each of ``docs``: doc_id, fp (long) and component_id, the smallest id reachable."""
+    small_batches(docs.sparkSession)
     rows = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), words).alias("fp")))
     prints = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     parts = connected_components(links(prints.select("fp"), radius))

@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, small_batches
 from .pieces import MEMO_ENTRIES, SPACE, Pieces, loaded, model_bytes
 
 #: Characters of a block; a longer text is cut into blocks whose maps are composed.
@@ -164,6 +164,7 @@ def token_count(text: Column, model: bytes) -> Column:
 
 def count_tokens(docs: DataFrame, model_path: str, text: str = "text", limit: int = 4096) -> DataFrame:
     """``docs`` with n_bytes, n_tokens and over_limit; no shuffle, one narrow pass."""
+    small_batches(docs.sparkSession)
     return docs.withColumns({
         "n_bytes": F.coalesce(F.octet_length(text), F.lit(0)).cast("long"),
         "n_tokens": token_count(F.col(text), model_bytes(model_path)),
