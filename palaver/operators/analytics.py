@@ -87,12 +87,11 @@ def local_cwds(items: DataFrame) -> DataFrame:
 
 
 def shares(counts: DataFrame, width: int = 24) -> DataFrame:
-    """Adds pct of the total and a bar as long as n is to the largest n. The window is over aggregated
-    rows; as there may be many of them, total and peak come from an aggregate, not from one sorted list."""
-    total = counts.agg(F.sum("n").alias("total"), F.max("n").alias("peak"))
-    joined = counts.join(F.broadcast(total))  # one row
-    filled = F.greatest(F.lit(1), F.bround(F.lit(width) * F.col("n") / F.col("peak"), 0).cast("int"))
-    return joined.withColumns({"pct": F.col("n") * 100.0 / F.col("total"), "bar": F.when((F.col("n") > 0) & (F.col("peak") > 0), F.repeat(F.lit("█"), filled)).otherwise("")}).drop("total", "peak")
+    """Adds pct of the total and a bar as long as n is to the largest n; both are scalar subqueries, so
+    that many rows are never sorted into one window."""
+    total, peak = counts.agg(F.sum("n")).scalar(), counts.agg(F.max("n")).scalar()
+    filled = F.greatest(F.lit(1), F.bround(F.lit(width) * F.col("n") / peak, 0).cast("int"))
+    return counts.withColumns({"pct": F.col("n") * 100.0 / total, "bar": F.when((F.col("n") > 0) & (peak > 0), F.repeat(F.lit("█"), filled)).otherwise("")})
 
 
 def spark_line(histogram: DataFrame) -> DataFrame:
@@ -120,5 +119,4 @@ def report(items: DataFrame, tools: DataFrame | None = None) -> DataFrame:
 def structural_profile(records: DataFrame, line: str, *kinds: str) -> DataFrame:
     """Counts by kind, bytes, and the share of all bytes."""
     counts = records.groupBy(*kinds).agg(F.count("*").alias("n"), F.sum(F.octet_length(line)).cast("long").alias("bytes"))
-    total = counts.agg(F.sum("bytes").alias("total"))
-    return counts.join(F.broadcast(total)).withColumn("share", F.col("bytes") / F.col("total")).drop("total")  # one row
+    return counts.withColumn("share", F.col("bytes") / counts.agg(F.sum("bytes")).scalar())
