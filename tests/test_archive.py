@@ -191,3 +191,27 @@ def test_sinks(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).where("dir = 'a'").count() == 1
     row = spark.createDataFrame([("claude", "u", None)], "provider string, uuid string, extra struct<host: string>")
     assert json.loads(sinks.result_json(row).first()["value"]) == {"provider": "claude", "uuid": "u"}
+
+
+def test_file_names_and_paths(spark):
+    names = ["data-2024-01-01.zip", "f" * 64 + "-2024-01-01-abc.zip", "other.zip", "data-x.json"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r["k"] for r in df.select(exports.export_file(F.col("n")).alias("k")).collect()] == ["claude", "chatgpt", None, None]
+    paths = spark.createDataFrame([("/a/b/c", "h"), ("/a/bc", "h"), ("/a/b/../c", "h")], "path string, host string")
+    assert [r["x"] for r in paths.select(search.confined(F.col("path"), "/a/b/").alias("x")).collect()] == [True, False, False]
+    hosts = search.prefix_hosts(paths, [("first", "/a/b"), ("second", "/a")])
+    assert [r["host"] for r in hosts.collect()] == ["first", "second", "h"]
+
+
+def test_anomaly_log_grows(spark, tmp_path):
+    found = spark.createDataFrame([("truncated", "p", "d")], "kind string, path string, detail string")
+    for _ in range(2):
+        sinks.append_anomalies(found, str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_provider_strings(one):
+    url = lambda p, t="conversation", h="": one(providers.url(F.col("p"), F.col("t"), F.lit("u 1"), F.lit("/w"), F.col("h")), p=p, t=t, h=h)
+    assert url("claude") == "https://claude.ai/chat/u 1" and url("claude", "project") == "https://claude.ai/project/u 1"
+    assert url("codex", h="box") == "[box] pushd /w && codex resume 'u 1'" and url("none") == "Unknown provider: none"
+    assert one(providers.label(F.col("p")), p="none") == "none" and one(providers.label(F.col("p")), p="claude") == "claude.ai"
