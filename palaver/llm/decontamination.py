@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, read, small_batches
 
-BLOCK_WORDS = 2_000_000
+#: Words of a block: some tens of MB in each Python worker.
+BLOCK_WORDS = 500_000
 
 #: A-Z become a-z; of ASCII, all but letters and digits separates words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -56,19 +57,25 @@ class Windows:
             rarest = sorted(set(ids), key=lambda t: (n[t], t))[:near_terms]
             if len(rarest) == near_terms:
                 self.near.setdefault(rarest[0], []).append((item, frozenset(rarest)))
-        self.owners = [sorted(set(v)) for v in owners.values()]
+        held = [sorted(set(v)) for v in owners.values()]
+        self.items = np.array([i for v in held for i in v], np.int64)
+        self.items_from = np.cumsum([0, *map(len, held)])
         self.length = np.array([len(w) for w in owners], np.int64)
-        self.words = np.full((len(owners), size), -1, np.int64)
+        self.words = np.full((len(owners), size), -1, np.int32)
         for k, w in enumerate(owners):
             self.words[k, : len(w)] = w
         rarity = np.where(self.words >= 0, n[self.words] if len(n) else 0, np.iinfo(np.int64).max)
         #: Offsets of each window's terms, from the rarest on.
-        self.order = np.argsort(rarity, axis=1, kind="stable")
+        self.order = np.argsort(rarity, axis=1, kind="stable").astype(np.int16)
         anchor = self.words[np.arange(len(owners)), self.order[:, 0]] if len(owners) else np.zeros(0, np.int64)
         self.by_anchor = np.argsort(anchor, kind="stable")
         at = np.searchsorted(anchor[self.by_anchor], np.arange(len(self.terms) + 1))
         self.first, self.many = at[:-1], np.diff(at)
 
+    def owners(self, window: int) -> list[int]:
+        """Items that have the window."""
+        return self.items[self.items_from[window] : self.items_from[window + 1]].tolist()
+
     def find(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(window, place) of all exact matches. ``words``: term numbers, -1 for others and between texts."""
         known = np.flatnonzero(words >= 0)
@@ -164,7 +171,7 @@ def _look(text: Column, before: Column | None, held, size: int, near_span: int)
         owner = np.searchsorted(begin, place, "right") - 1
         items: dict[int, set[int]] = {}
         for k, w in np.unique(np.stack([owner, window]), axis=1).T.tolist():
-            items.setdefault(k, set()).update(windows.owners[w])
+            items.setdefault(k, set()).update(windows.owners(w))
         rows = []
         for k, n in enumerate(count.tolist()):
             words = slice(begin[k], begin[k] + n)
