@@ -57,7 +57,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50, vec_id: str = "vec_i
     lowest = F.row_number().over(Window.partitionBy("code").orderBy("id"))
     members = rows.withColumn("n", lowest).where(F.col("n") <= k + 1)
     classes = checkpointed(members.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
-    segments = cut(bits, segment_count(classes.count(), bits))
+    segments, spark = cut(bits, segment_count(classes.count(), bits)), vectors.sparkSession
 
     def exploded(df: DataFrame, code: str) -> DataFrame:
         values = [F.shiftrightunsigned(code, a).bitwiseAND((1 << w) - 1) for a, w in segments]
@@ -78,8 +78,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50, vec_id: str = "vec_i
             segments, radius = cut(bits, len(segments) + 1), 0
             index = indexed()
             continue
-        masks = F.array(*[F.array(*[F.lit(m).cast("long") for m in _masks(w, radius)]) if radius <= w else F.array().cast("array<long>") for _, w in segments])
-        probes = exploded(open_, "q").withColumn("mask", F.explode(F.get(masks, F.col("segment")))).select("q", "reach", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+        masks = spark.createDataFrame([(s, m) for s, (_, w) in enumerate(segments) for m in _masks(w, radius)], "segment int, mask long")
+        probes = exploded(open_, "q").join(F.broadcast(masks), "segment")  # MOST_MASKS bounds it
+        probes = probes.select("q", "reach", "segment", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
         distance = F.bit_count(F.col("q").bitwiseXOR(F.col("code")))
         found = probes.join(index, ["segment", "value"]).where(F.col("reach").isNull() | (distance <= F.col("reach")))
         found = found.select("q", "code", "many", "least", distance.alias("distance")).distinct()
