@@ -193,32 +193,42 @@ def _unite(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
     return left[kept], right[kept]
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """One row for each of ``docs``: doc_id, fp (long) and component_id, the smallest id reachable."""
+def _labelled(docs: DataFrame, text: str, words: int, radius: int, **more: Column) -> DataFrame:
+    """One row for each of ``docs``: fp, its component's label (the smallest fingerprint) and ``more``."""
     small_batches(docs.sparkSession)
-    rows = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), words).alias("fp")))
+    rows = checkpointed(docs.select(fingerprint(F.col(text), words).alias("fp"), *[c.alias(n) for n, c in more.items()]))
     prints = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     parts = connected_components(links(prints.select("fp"), radius))
     labelled = checkpointed(prints.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("label")))
     lowest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    return rows.join(labelled.join(lowest, "label").select("fp", "component_id"), "fp")
+    return rows.join(labelled.join(lowest, "label").select("fp", "label", "component_id"), "fp")
 
 
-def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
-    """``docs`` with one row of each component: the one with the smallest id (of several rows with
-    that id, or without any id, one)."""
-    found = near_duplicates(docs, doc_id, text, words, radius)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    keep = checkpointed(keep)
-    (k,) = fresh(docs, "keep")
-    kept = docs.join(keep.select(F.col("doc_id").alias(k)), docs[doc_id].eqNullSafe(F.col(k)), "left_semi")
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+    """One row for each of ``docs``: doc_id, fp (long), label (the component's smallest fingerprint) and
+    component_id, the smallest id reachable. Components without ids share the component_id null, and
+    rows of one id can lie in several; only the label tells components apart."""
+    return _labelled(docs, text, words, radius, doc_id=F.col(doc_id)).select("doc_id", "fp", "label", "component_id")
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """``docs`` with one row for each label of ``found`` (doc_id, mark, label; mark is the hash of the
+    text): the one with the smallest id, a null id last, and of several texts with it the smallest mark."""
+    row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "n")
+    least = found.groupBy("label", "doc_id", "mark").agg(F.count("*").alias("n")).groupBy("label").agg(F.min(row).alias("r"))
+    i, h, m = fresh(docs, "keep", "hash", "mark")
+    keep = checkpointed(least.select(F.col("r.doc_id").alias(i), F.col("r.mark").alias(h), F.col("r.n").alias("n")))
+    marked = docs.withColumn(m, F.xxhash64(text))
+    kept = marked.join(keep.select(i, h), marked[doc_id].eqNullSafe(F.col(i)) & (F.col(m) == F.col(h)), "left_semi")
     if keep.where("n > 1").limit(1).count():
-        # Ids that stand on several rows: one row of each component stays.
-        (p,) = fresh(docs, "fp")
-        part = found.select(F.col("fp").alias(p), F.col("component_id").alias(k)).distinct()
-        kept = kept.withColumn(p, fingerprint(F.col(text), words)).join(part, p)
-        kept = kept.where(F.col(doc_id).eqNullSafe(F.col(k))).dropDuplicates([k]).select(*docs.columns)
-    return kept
+        kept = kept.dropDuplicates([doc_id, m])  # rows of one id and text, hence of one component
+    return kept.select(*docs.columns)
+
+
+def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 4, radius: int = 4) -> DataFrame:
+    """``docs`` with one row of each component, whether or not its ids are null or repeated."""
+    found = _labelled(docs, text, words, radius, doc_id=F.col(doc_id), mark=F.xxhash64(text))
+    return first_of_each(docs, found, doc_id, text)
 
 
 def op7_simhash_dedup(spark, sf_dir: str) -> DataFrame:

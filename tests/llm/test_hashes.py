@@ -53,6 +53,18 @@ def test_near_duplicates(odd_docs, no_docs):
     assert simhash_dedup.drop_near_duplicates(no_docs).count() == 0
 
 
+def test_one_row_stays_of_each_component_without_good_ids(spark):
+    """Different texts whose id is null, or all the same: none of them vanishes, and their copies go."""
+    rnd = random.Random(9)
+    texts = [" ".join(f"w{rnd.randint(0, 10**6)}" for _ in range(60)) for _ in range(24)]
+    rows = [(None, t) for t in texts[:8]] + [(7, t) for t in texts[8:16]] + [(k, t) for k, t in enumerate(texts[16:], 20)]
+    rows += [(None, texts[2]), (7, texts[9]), (None, texts[10]), (5, texts[3]), (7, texts[17]), (7, texts[17]), (30, texts[12])]
+    want = [(None, t) for k, t in enumerate(texts[:8]) if k != 3] + [(5, texts[3])] + [(7, t) for t in texts[8:16]] + [(7, texts[17])] + [(k, t) for k, t in enumerate(texts[16:], 20) if k != 21]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in simhash_dedup.drop_near_duplicates(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize(("tile", "distinct"), [(2048, 600), (20, 600), (2048, 2_000_000)])
 def test_links_are_exact(spark, monkeypatch, tile, distinct):
     """Groups of near copies, some denser than a tile, among random words; long and short block keys."""
