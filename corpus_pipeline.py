@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palaver.llm import decontamination, language_id, quality_classifier, sentencepiece_codec, simhash_dedup
+from palaver.llm import decontamination, language_id, quality_classifier, sentencepiece_codec, similar_texts
 from palaver.llm.common import fresh, read
 
 #: Scores from here on stay: the cutoff of the classifier's own query.
@@ -35,8 +35,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the smallest id."""
-    return simhash_dedup.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates (five-word shingles, Jaccard 0.8) stays: the one
+    with the smallest id."""
+    return similar_texts.drop_similar(docs)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

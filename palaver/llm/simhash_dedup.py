@@ -42,23 +42,29 @@ TILE = 2048
 CHUNK = 1 << 14
 
 
-def simhash(text: str | None, words: int = 4) -> int:
-    """The fingerprint of a whole text."""
+def digests(text: str | None, words: int = 4):
+    """The 8-byte hashes of a text's word shingles, CHUNK of them at a time."""
     import xxhash
 
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return
     line = b" ".join(parts)
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     end = np.cumsum(size + 1) - 1
     begin = (end - size)[: max(1, len(parts) - words + 1)].tolist()
     end = end[min(words, len(parts)) - 1 :].tolist()
     digest = xxhash.xxh64_digest
-    votes, n = np.zeros(64, np.int64), len(begin)
-    for at in range(0, n, CHUNK):
-        raw = b"".join([digest(line[a:b], SEED) for a, b in zip(begin[at : at + CHUNK], end[at : at + CHUNK], strict=True)])
+    for at in range(0, len(begin), CHUNK):
+        yield b"".join([digest(line[a:b], SEED) for a, b in zip(begin[at : at + CHUNK], end[at : at + CHUNK], strict=True)])
+
+
+def simhash(text: str | None, words: int = 4) -> int:
+    """The fingerprint of a whole text."""
+    votes, n = np.zeros(64, np.int64), 0
+    for raw in digests(text, words):
         votes += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+        n += len(raw) // 8
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
