@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,15 +55,50 @@ def planned_counts(planned: DataFrame) -> DataFrame:
     return planned.groupBy(label(F.col("provider")).alias("provider")).agg(F.count("*").alias("n"))
 
 
-def manifest(written: DataFrame) -> DataFrame:
-    """provider, grp, section: the lines of the index for each group, newest first."""
+def _entries(written: DataFrame) -> DataFrame:
     day = F.coalesce(blank_to_null(F.substring("created_at", 1, 10)), F.lit("????-??-??"))
     name = F.coalesce(blank_to_null(F.col("name")), F.lit(UNTITLED))
     line = F.concat(F.lit("- "), day, F.lit(" — ["), name, F.lit("]("), "rel_path", F.lit(")"), F.when(F.col("item_type") == "project", " *(project)*").otherwise(""))
-    entry = F.struct(F.coalesce("created_at", F.lit("")).alias("t"), F.col("rel_path").alias("p"), line.alias("line"))
+    return written.select("provider", "grp", F.coalesce("created_at", F.lit("")).alias("t"), F.col("rel_path").alias("p"), line.alias("line"))
+
+
+def _heading() -> Column:
+    return F.concat(F.lit("## "), label(F.col("provider")), F.lit(" / "), "grp", F.lit("\n"))
+
+
+def manifest(written: DataFrame) -> DataFrame:
+    """provider, grp, section: the lines of the index for each group, newest first. A section is one
+    value, built by one task; for groups of any size take ``manifest_lines``."""
+    entry = F.struct("t", "p", "line")
     newest = F.transform(F.sort_array(F.collect_list(entry), asc=False), lambda e: e["line"])
-    heading = F.concat(F.lit("## "), label(F.col("provider")), F.lit(" / "), "grp", F.lit("\n\n"))
-    return written.groupBy("provider", "grp").agg(newest.alias("lines")).select("provider", "grp", F.concat(heading, F.array_join("lines", "\n"), F.lit("\n")).alias("section"))
+    return _entries(written).groupBy("provider", "grp").agg(newest.alias("lines")).select("provider", "grp", F.concat(_heading(), F.lit("\n"), F.array_join("lines", "\n"), F.lit("\n")).alias("section"))
+
+
+def _kept(df: DataFrame) -> DataFrame:
+    """Written to the checkpoint folder that all machines share, so that every reader sees the same ranges."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not at and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return df.checkpoint(eager=True)
+
+
+def manifest_lines(written: DataFrame) -> DataFrame:
+    """provider, grp, line_no, line: the same as rows, so that no group has to fit into a task. Line 0 is
+    the heading with the empty line after it; entries count from 1, newest first."""
+    order = ["provider", "grp", F.desc("t"), F.desc("p"), "line"]
+    entries = _entries(written)
+    dealt = _kept(entries.where("line IS NOT NULL").repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    group, inside = ["provider", "grp"], ["part", "provider", "grp"]
+    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy(*inside).agg(F.count("*").alias("n"))  # a row for each range and group in it
+    starts = counts.select(F.col("part").alias("part_"), F.col("provider").alias("provider_"), F.col("grp").alias("grp_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    numbered = dealt.withColumn("k", F.row_number().over(Window.partitionBy(*inside).orderBy(*order[2:])))
+    joined = numbered.join(starts, (F.col("part") == F.col("part_")) & F.col("provider").eqNullSafe(F.col("provider_")) & F.col("grp").eqNullSafe(F.col("grp_")))
+    heads = entries.select(*group).distinct().select(*group, F.lit(0).cast("long").alias("line_no"), _heading().alias("line"))
+    return joined.select(*group, (F.col("start") + F.col("k")).alias("line_no"), "line").unionByName(heads)
 
 
 # Documents ----------------------------------------------------------------------------------------

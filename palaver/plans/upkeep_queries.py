@@ -136,6 +136,12 @@ def export_manifest(spark, sf_dir):
     return export.manifest(export.plan(_export_items(spark, sf_dir)))
 
 
+@query(f"""{_EX} SELECT provider, grp, row_number() OVER (PARTITION BY provider, grp ORDER BY day DESC, rel_path DESC) AS line_no, '- ' || day || ' — [' || name || '](' || rel_path || ')' AS line FROM p
+  UNION ALL SELECT DISTINCT provider, grp, 0, '## ' || CASE provider WHEN 'claude' THEN 'claude.ai' ELSE provider END || ' / ' || grp || chr(10) FROM p""")
+def export_manifest_lines(spark, sf_dir):
+    return export.manifest_lines(export.plan(_export_items(spark, sf_dir)))
+
+
 # Personal data ------------------------------------------------------------------------------------
 
 

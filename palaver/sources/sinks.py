@@ -23,6 +23,14 @@ def write_documents(docs: DataFrame, path: str) -> DataFrame:
     return rows.groupBy("status").agg(F.count("*").alias("n"))
 
 
+def write_manifest(lines: DataFrame, path: str) -> None:
+    """Write ``export.manifest_lines`` as text, a folder for each provider and group; the files of a folder,
+    in the order of their names, are its index."""
+    order = ["provider", "grp", "line_no"]
+    dealt = lines.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt.select("provider", "grp", "line").write.mode("overwrite").partitionBy("provider", "grp").text(path)
+
+
 def append_anomalies(found: DataFrame, path: str) -> None:
     """ts, kind, path, detail of what upkeep noticed."""
     found.select(F.current_timestamp().alias("ts"), "kind", "path", "detail").write.mode("append").parquet(path)
