@@ -40,6 +40,8 @@ PIVOT_WORDS = (np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97
 TILE = 2048
 #: Words of a text whose hashes are summed at once.
 CHUNK = 1 << 14
+#: Up to so many narrow rows are sent to all tasks; more of them are joined.
+MOST_SENT = 500_000
 
 
 def digests(text: str | None, words: int = 4):
@@ -61,8 +63,13 @@ def digests(text: str | None, words: int = 4):
 
 def simhash(text: str | None, words: int = 4) -> int:
     """The fingerprint of a whole text."""
+    return majority(digests(text, words))
+
+
+def majority(chunks) -> int:
+    """The bits set in over half of all hashes."""
     votes, n = np.zeros(64, np.int64), 0
-    for raw in digests(text, words):
+    for raw in chunks:
         votes += np.unpackbits(np.frombuffer(raw, np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
         n += len(raw) // 8
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
@@ -122,14 +129,14 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
     dealt = rows.repartition("g").sortWithinPartitions("g")
 
     def find(batches):
-        for part in _whole_groups(batches):
+        for part in whole_groups(batches):
             a, b = forest(part["g"].to_numpy(), part["fp"].to_numpy(), part["second"].to_numpy(), part["cross"].to_numpy(), radius)
             yield pd.DataFrame({"a": a, "b": b})
 
     return dealt.select("g", "fp", "second", "cross").mapInPandas(find, "a long, b long").distinct()
 
 
-def _whole_groups(batches):
+def whole_groups(batches):
     """Join batches so that no group (rows are sorted by g) is cut. A group has 2 * TILE rows at most,
     but for chance meetings of group hashes, which only add comparisons."""
     rest = None
@@ -206,7 +213,7 @@ def _labelled(docs: DataFrame, text: str, words: int, radius: int, **more: Colum
     prints = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     parts = connected_components(links(prints.select("fp"), radius))
     labelled = checkpointed(prints.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("label")))
-    lowest = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
+    lowest = checkpointed(labelled.groupBy("label").agg(F.min("least").alias("component_id")))  # so that both sides of the join can be split
     return rows.join(labelled.join(lowest, "label").select("fp", "label", "component_id"), "fp")
 
 
@@ -219,15 +226,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 def first_of_each(docs: DataFrame, found: DataFrame, doc_id: str, text: str) -> DataFrame:
     """``docs`` with one row for each label of ``found`` (doc_id, mark, label; mark is the hash of the
-    text): the one with the smallest id, a null id last, and of several texts with it the smallest mark."""
+    text): the one with the smallest id, a null id last, and of several texts with it the smallest mark.
+    The rows that go are sent to all tasks as (id, mark), so that no text is shuffled, or joined if they
+    are too many."""
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "n")
-    least = found.groupBy("label", "doc_id", "mark").agg(F.count("*").alias("n")).groupBy("label").agg(F.min(row).alias("r"))
     i, h, m = fresh(docs, "keep", "hash", "mark")
-    keep = checkpointed(least.select(F.col("r.doc_id").alias(i), F.col("r.mark").alias(h), F.col("r.n").alias("n")))
+    rows = checkpointed(found.groupBy("label", "doc_id", "mark").agg(F.count("*").alias("n")))
+    least = checkpointed(rows.groupBy("label").agg(F.min(row).alias("r")))
+    judged = rows.join(least, "label").select("doc_id", "mark", "n", (F.col("doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("mark") == F.col("r.mark"))).alias("stays"))
+    judged = checkpointed(judged.select(F.col("doc_id").alias(i), F.col("mark").alias(h), "n", "stays"))
     marked = docs.withColumn(m, F.xxhash64(text))
-    kept = marked.join(keep.select(i, h), marked[doc_id].eqNullSafe(F.col(i)) & (F.col(m) == F.col(h)), "left_semi")
-    if keep.where("n > 1").limit(1).count():
-        kept = kept.dropDuplicates([doc_id, m])  # rows of one id and text, hence of one component
+
+    def beside(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        right = right.select(i, h)
+        right = F.broadcast(right) if right.count() <= MOST_SENT else right
+        return left.join(right, left[doc_id].eqNullSafe(right[i]) & (left[m] == right[h]), how)
+
+    kept = beside(marked, judged.where("NOT stays"), "left_anti")
+    repeated = judged.where("stays AND n > 1")
+    if repeated.limit(1).count():  # rows of one id and text
+        kept = beside(kept, repeated, "left_anti").unionByName(beside(kept, repeated, "left_semi").dropDuplicates([doc_id, m]))
     return kept.select(*docs.columns)
 
 

@@ -6,14 +6,18 @@ that radius are too short to part anything. So SimHash and its pivots (``simhash
 name the first, cheap candidates, and a prefix filter finds the rest: of two sets of that similarity,
 the first n - ceil(0.8 n) + 1 shingles of each, in one order for all, have one in common. That makes the
 result exact, but for chance collisions of 64-bit hashes. In the order, shingles of many texts come
-last; which ones is only a matter of speed, so they are counted in a sample.
-
-Every candidate is verified by its shingles, after a bound from counts of shingles in ``BUCKETS`` parts
-of the hashes has thrown out those that can't be similar enough. Pairs are tried in two rounds: SimHash
-links and the first text under each of a text's keys, then all pairs under a key that are still in
-different components. So a large group of near copies never becomes all its pairs.
-
-Null texts and texts without words are copies of each other; a text of fewer words has one shingle.
+last; which ones is only a matter of speed, so they are counted in a sample of the texts.
+
+A shingle that several prefixes hold stands for the smallest set that has it, its lead; from then on only
+(lead, set) matters, a few rows for each set. Round one compares each set with the lead it shares most
+shingles with, and SimHash's links. Round two takes, under each lead, the sets of different components:
+in tiles of bounded size, counts of shingles in ``BUCKETS`` parts of the hashes bound each pair's
+similarity from above, and only pairs that can reach it leave the task. All pairs that are left are
+verified by the shingles of their texts. So a large group of near copies never becomes all its pairs,
+and a shingle that very many sets share is dealt out by set before its lead is known.
+
+Null texts and texts without words are copies of each other; a text of fewer words has one shingle. Null
+and repeated ids change nothing here; very long texts cost in proportion; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,25 +31,30 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed, small_batches
 from .components import connected_components
-from .simhash_dedup import digests, first_of_each, links, simhash
+from .simhash_dedup import MOST_SENT, digests, first_of_each, links, majority
 
 WORDS = 5
 SIMILARITY = 0.8
-#: Radius of the first candidates. It has no influence on the result.
+#: Radius of SimHash's candidates. It has no influence on the result.
 RADIUS = 4
 #: Of the texts, one in SAMPLE is counted; a shingle in the prefixes of more than COMMON of them comes last.
 SAMPLE, COMMON, MOST_COMMON = 8, 8, 200_000
+#: A shingle of more than so many sampled prefixes is dealt out as SALTS groups.
+HOT, SALTS = 2000, 64
 #: Parts of the hashes that are counted for the bound on a pair's similarity.
-BUCKETS = 128
-#: Up to so many texts to fetch are sent to all tasks; more of them are joined.
-MOST_SENT = 500_000
+BUCKETS = 256
+#: Sets of a lead that are compared in one task at once, and pairs of them bounded in one step.
+TILE, STEP = 2048, 1 << 16
 #: Texts that a task remembers in order to give the keys of a copy once only.
 SEEN = 1 << 18
 
 
 def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
     """The different shingles of a text as sorted hashes."""
-    raw = b"".join(digests(text, words))
+    return _different(b"".join(digests(text, words)))
+
+
+def _different(raw: bytes) -> np.ndarray:
     return np.unique(np.frombuffer(raw, ">u8").astype(np.uint64))
 
 
@@ -65,8 +74,8 @@ def prefix(found: np.ndarray, similarity: float, common: np.ndarray | None = Non
     return found[:keys].view(np.int64)
 
 
-def alike(a: bytes, b: bytes, similarity: float) -> bool:
-    x, y, least = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64), Fraction(str(similarity))
+def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    least = Fraction(str(similarity))
     both = len(np.intersect1d(x, y, assume_unique=True))
     return both * least.denominator >= (len(x) + len(y) - both) * least.numerator
 
@@ -77,10 +86,9 @@ def sketch(found: np.ndarray) -> bytes:
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
-def possible(a: pd.Series, b: pd.Series, similarity: float) -> np.ndarray:
-    """Whether sets with these sketches can be similar enough: no bucket holds more common shingles than
-    the lesser of its counts. Full buckets say nothing."""
-    x, y = (np.frombuffer(b"".join(c), np.uint8).reshape(-1, BUCKETS) for c in (a, b))
+def possible(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets with these sketches (rows of x and y) can be similar enough: no bucket holds more
+    common shingles than the lesser of its counts. Full buckets say nothing."""
     full = ((x == 255) | (y == 255)).any(axis=1)
     both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
     least = Fraction(str(similarity))
@@ -88,134 +96,197 @@ def possible(a: pd.Series, b: pd.Series, similarity: float) -> np.ndarray:
     return full | (both * least.denominator >= either * least.numerator)
 
 
-def _prints(text: Column, words: int, similarity: float) -> Column:
-    """fp, sid, sketch, and the keys of the sampled texts."""
+def _rows_of(sketches: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BUCKETS)
 
-    @F.pandas_udf("fp long, sid long, sketch binary, sample array<long>")
-    def of(texts: pd.Series) -> pd.DataFrame:
-        out = []
-        for t in texts:
-            sid = set_id(found := shingles(t, words))
-            fp = int(np.uint64(simhash(t, words)).view(np.int64))
-            out.append((fp, sid, sketch(found), prefix(found, similarity).tolist() if sid % SAMPLE == 0 else None))
-        return pd.DataFrame(out, columns=["fp", "sid", "sketch", "sample"])
 
-    return of(text)
-
-
-def shared_keys(docs: DataFrame, text: str, words: int, similarity: float, common: np.ndarray) -> DataFrame:
-    """key, sid, n (the set's size), lead (the smallest sid of the key), of keys with several sids."""
-    sent = docs.sparkSession.sparkContext.broadcast(common)
+def common_shingles(docs: DataFrame, text: str, words: int, similarity: float) -> list[tuple[int, int]]:
+    """(shingle, count) of those in many sampled prefixes, MOST_COMMON at most. Copies count once a task."""
 
     def keys(batches):
         seen = set()
         for part in batches:
             for t in part["text"]:
                 found = shingles(t, words)
-                sid = set_id(found)
-                if sid in seen:
-                    continue
+                if (sid := set_id(found)) not in seen:
+                    if len(seen) >= SEEN:
+                        seen.clear()
+                    seen.add(sid)
+                    yield pd.DataFrame({"key": prefix(found, similarity)})
+
+    sampled = docs.select(F.col(text).alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    counted = sampled.mapInPandas(keys, "key long").groupBy("key").count().where(F.col("count") > COMMON)
+    return [tuple(r) for r in counted.orderBy(F.desc("count"), "key").limit(MOST_COMMON).collect()]
+
+
+def _prints(text: Column, words: int, similarity: float, sent) -> Column:
+    """fp (SimHash), sid, n (shingles), sketch, keys; the keys of a copy only once in a task."""
+    seen: set[int] = set()
+
+    @F.pandas_udf("fp long, sid long, n int, sketch binary, keys array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            raw = b"".join(digests(t, words))
+            sid, keys = set_id(found := _different(raw)), None
+            if sid not in seen:
                 if len(seen) >= SEEN:
                     seen.clear()
                 seen.add(sid)
-                if len(k := prefix(found, similarity, sent.value)):
-                    yield pd.DataFrame({"key": k, "sid": np.int64(sid), "n": np.int32(len(found))})
+                keys = prefix(found, similarity, sent.value)
+            out.append((int(np.uint64(majority([raw])).view(np.int64)), sid, len(found), sketch(found), keys))
+        return pd.DataFrame(out, columns=["fp", "sid", "n", "sketch", "keys"])
+
+    return of(text)
+
+
+def _leads(keyed: DataFrame) -> DataFrame:
+    """``keyed``: hot (the key, if its sets are dealt out, else null), key, sid. Returns hot, sid and lead,
+    the smallest sid of the key (of a group of the key, if it is hot), of keys with several sids."""
 
     def several(batches):
         """Rows come sorted by key and sid; a key's first sid is held back until a second one comes."""
         last, first, held = (None, None), None, None
         for part in batches:
-            key, sid, n = (part[c].to_numpy() for c in ("key", "sid", "n"))
+            key, sid, hot = part["g"].to_numpy(), part["sid"].to_numpy(), part["hot"].to_numpy()
             if not len(key):
                 continue
-            new_key = np.append(key[0] != last[0] if last[0] is not None else True, key[1:] != key[:-1])
-            new = new_key | np.append(True if last[0] is None else sid[0] != last[1], sid[1:] != sid[:-1])
+            new_key = np.append(last[0] is None or key[0] != last[0], key[1:] != key[:-1])
+            new = new_key | np.append(last[0] is None or sid[0] != last[1], sid[1:] != sid[:-1])
             last = (key[-1], sid[-1])
-            key, sid, n, new_key = key[new], sid[new], n[new], new_key[new]
+            key, sid, hot, new_key = key[new], sid[new], hot[new], new_key[new]
             if not len(key):
                 continue
-            if not new_key[0]:  # goes on with the key of the batch before
-                if held is not None:
-                    yield pd.DataFrame([(*held, first)], columns=["key", "sid", "n", "lead"])
-                    held = None
+            if not new_key[0] and held is not None:  # goes on with the key of the batch before
+                yield pd.DataFrame({"sid": [held], "lead": [held], "key": [0], "hot": [False]})
+            held = None
             begin = np.flatnonzero(new_key)
             start = np.maximum.accumulate(np.where(new_key, np.arange(len(key)), -1))
             lead = np.where(start >= 0, sid[start], 0 if first is None else first)
             alone = np.zeros(len(key), bool)
             alone[begin] = np.append(new_key[1:], True)[begin]
-            if alone[-1]:
-                held = (key[-1], sid[-1], n[-1])
-            elif len(begin):
-                held = None
-            first = lead[-1]
-            yield pd.DataFrame({"key": key, "sid": sid, "n": n, "lead": lead})[~alone]
+            alone &= ~hot  # a hot key's group may be one of several
+            held, first = sid[-1] if alone[-1] else None, lead[-1]
+            own = part["key"].to_numpy()[new]
+            yield pd.DataFrame({"sid": sid, "lead": lead, "key": own, "hot": hot})[~alone]
+
+    found = keyed.repartition("g").sortWithinPartitions("g", "sid").mapInPandas(several, "sid long, lead long, key long, hot boolean")
+    return found
+
+
+def lead_rows(rows: DataFrame, common: list[tuple[int, int]]) -> DataFrame:
+    """lead, sid, shared (how many keys name that lead), each lead itself among its sids."""
+    keyed = rows.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "sid")
+    hot = [k for k, n in common if n > HOT]
+    if not hot:
+        found = _leads(keyed.select("key", "sid", F.col("key").alias("g"), F.lit(False).alias("hot")))
+    else:
+        # MOST_COMMON bounds it.
+        marked = keyed.join(F.broadcast(rows.sparkSession.createDataFrame([(k, True) for k in hot], "key long, hot boolean")), "key", "left")
+        group = F.when(F.col("hot"), F.xxhash64("key", F.pmod("sid", F.lit(SALTS)))).otherwise(F.col("key"))
+        found = checkpointed(_leads(marked.select("key", "sid", group.alias("g"), F.coalesce("hot", F.lit(False)).alias("hot"))))
+        top = F.broadcast(found.where("hot").groupBy("key").agg(F.min("lead").alias("top")))
+        found = found.join(top, ["key"], "left").withColumn("lead", F.when(F.col("hot"), F.col("top")).otherwise(F.col("lead")))
+    return checkpointed(found.groupBy("lead", "sid").agg(F.count("*").alias("shared")))
+
+
+def candidates(group: np.ndarray, sid: np.ndarray, n: np.ndarray, part: np.ndarray, second: np.ndarray, cross: np.ndarray, sketches: np.ndarray, similarity: float):
+    """Pairs (a, b) of one group, in different parts, that can be similar enough. ``group`` is sorted."""
+    least = Fraction(str(similarity))
+    order = np.lexsort((n, group))
+    group, sid, n, part, second, cross, sketches = (x[order] for x in (group, sid, n, part, second, cross, sketches))
+    # Beginning and end of the sets at least as large as each, and not too large for it.
+    edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
+    ends = np.empty(len(group), np.int64)
+    for a, b in zip(edges, edges[1:], strict=False):
+        most = n[a:b].astype(np.int64) * least.denominator // least.numerator
+        ends[a:b] = a + np.searchsorted(n[a:b], most, "right")
+    many = ends - np.arange(len(group)) - 1
+    at = 0
+    while at < len(group):  # so many rows that about STEP pairs begin with them
+        to = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), STEP, "right")) + at)
+        left = np.repeat(np.arange(at, to), many[at:to])
+        right = left + 1 + np.arange(len(left)) - np.repeat(np.cumsum(many[at:to]) - many[at:to], many[at:to])
+        ok = (part[left] != part[right]) & (~cross[left] | (second[left] != second[right]))
+        left, right = left[ok], right[ok]
+        for k in range(0, len(left), STEP):
+            x, y = left[k : k + STEP], right[k : k + STEP]
+            ok = possible(sketches[x], sketches[y], similarity)
+            x, y = x[ok], y[ok]
+            yield pd.DataFrame({"a": np.minimum(sid[x], sid[y]), "b": np.maximum(sid[x], sid[y])})
+        at = to
+
+
+def _second_round(under: DataFrame, sets: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) of different components under one lead that can be similar enough."""
+    member = under.select("lead", "sid").join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("lead", "sid", F.coalesce("component", "sid").alias("part"))
+    member = checkpointed(member)
+    mixed = member.groupBy("lead").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("many")).where("low <> high")
+    mixed = checkpointed(mixed.select("lead", F.ceil(F.col("many") / TILE).cast("int").alias("tiles")))
+    own = F.pmod(F.xxhash64("sid"), F.col("tiles").cast("long")).cast("int")
+    dealt = member.join(mixed, "lead").withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    t1, t2 = F.least("tile", "other"), F.greatest("tile", "other")
+    dealt = dealt.select(F.xxhash64("lead", t1, t2).alias("g"), "sid", "part", (F.col("tile") == t2).alias("second"), (t1 != t2).alias("cross"))
+    full = dealt.join(sets.select("sid", "n", "sketch"), "sid").repartition("g").sortWithinPartitions("g")
+
+    def find(batches):
+        from .simhash_dedup import whole_groups
+
+        for p in whole_groups(batches):
+            yield from candidates(*(p[c].to_numpy() for c in ("g", "sid", "n", "part", "second", "cross")), _rows_of(p["sketch"]), similarity)
+
+    return full.mapInPandas(find, "a long, b long").distinct()
+
+
+def _verified(docs: DataFrame, text: str, pairs: DataFrame, sets: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (a, b) that are similar enough, by the shingles of their texts."""
+    needed = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("mark", "sid")
+    needed = checkpointed(needed)
+    sent = F.broadcast(needed) if needed.count() <= MOST_SENT else needed
+    texts = docs.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).join(sent, "mark")
+    known = checkpointed(texts.groupBy("sid").agg(F.any_value("text").alias("text")))
+    for c in ("a", "b"):
+        pairs = pairs.join(known.select(F.col("sid").alias(c), F.col("text").alias(f"text_{c}")), c)
+
+    @F.pandas_udf("boolean")
+    def verified(a: pd.Series, b: pd.Series) -> pd.Series:
+        found = {t: shingles(t, words) for t in {*a, *b}}
+        return pd.Series([alike(found[x], found[y], similarity) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    found = docs.select(F.col(text).alias("text")).mapInPandas(keys, "key long, sid long, n int")
-    dealt = found.repartition("key").sortWithinPartitions("key", "sid")
-    return checkpointed(dealt.mapInPandas(several, "key long, sid long, n int, lead long"))
+    return checkpointed(pairs.where(verified("text_a", "text_b")).select("a", "b"))
 
 
 def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each of ``docs``: doc_id, mark (hash of the text) and label, the same in a component."""
-    small_batches(docs.sparkSession)
-    said = _prints(F.col(text), words, similarity)
+    spark = docs.sparkSession
+    small_batches(spark)
+    common = common_shingles(docs, text, words, similarity)
+    sent = spark.sparkContext.broadcast(np.sort(np.array([k for k, _ in common], np.int64).view(np.uint64)))
+    said = _prints(F.col(text), words, similarity, sent)
     rows = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), said.alias("p")).select("doc_id", "mark", "p.*"))
-    counted = rows.where("sample IS NOT NULL").groupBy("sid").agg(F.first("sample").alias("sample")).select(F.explode("sample").alias("key")).groupBy("key").count()
-    often = counted.where(F.col("count") > COMMON).orderBy(F.desc("count"), "key").limit(MOST_COMMON).select("key").collect()
-    shared = shared_keys(docs, text, words, similarity, np.sort(np.array([r["key"] for r in often], np.int64).view(np.uint64)))
+    under = lead_rows(rows, common)
+    sets = checkpointed(rows.groupBy("sid").agg(F.min("mark").alias("mark"), F.min("fp").alias("fp"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
 
-    prints = checkpointed(rows.groupBy("fp", "sid").agg(F.min("mark").alias("mark")))
-    reps = checkpointed(prints.groupBy("fp").agg(F.min("sid").alias("rep")))
+    reps = checkpointed(sets.groupBy("fp").agg(F.min("sid").alias("rep")))
     linked = links(reps.select("fp"), RADIUS)
     for c in ("a", "b"):
         linked = linked.join(reps.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_")), c).drop(c).withColumnRenamed(f"{c}_", c)
-    same = prints.join(reps, "fp").where("sid <> rep").select(F.col("rep").alias("a"), F.col("sid").alias("b"))
-    under = shared.where("sid <> lead").select(F.col("lead").alias("a"), F.col("sid").alias("b"))
-    sketches = checkpointed(rows.groupBy("sid").agg(F.max("sketch").alias("sketch")))
-    marks = prints.groupBy("sid").agg(F.min("mark").alias("m"))
+    same = sets.join(reps, "fp").where("sid <> rep").select(F.col("rep").alias("a"), F.col("sid").alias("b"))
+    best = under.where("sid <> lead").groupBy("sid").agg(F.max(F.struct("shared", "lead")).alias("x")).select(F.col("x.lead").alias("a"), F.col("sid").alias("b"))
+    first = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same).unionByName(best).distinct()
 
     @F.pandas_udf("boolean")
     def may(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(possible(a, b, similarity))
-
-    @F.pandas_udf("boolean")
-    def verified(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([alike(x, y, similarity) for x, y in zip(a, b, strict=True)], dtype=bool)
+        return pd.Series(possible(_rows_of(a), _rows_of(b), similarity))
 
-    def sets(batches):
-        for part in batches:
-            found = [shingles(t, words) for t in part["text"].drop_duplicates()]
-            yield pd.DataFrame({"sid": np.array([set_id(x) for x in found], np.int64), "words": [x.tobytes() for x in found]})
-
-    def both(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
-        for c in ("a", "b"):
-            pairs = pairs.join(table.select(F.col("sid").alias(c), F.col(value).alias(f"{value}_{c}")), c)
-        return pairs
-
-    def near(pairs: DataFrame) -> DataFrame:
-        left = checkpointed(both(pairs, sketches, "sketch").where(may("sketch_a", "sketch_b")).select("a", "b"))
-        needed = checkpointed(marks.join(left.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("m"))
-        needed = F.broadcast(needed) if needed.count() <= MOST_SENT else needed
-        texts = docs.select(F.xxhash64(text).alias("m"), F.col(text).alias("text")).join(needed, "m", "left_semi").select("text")
-        known = checkpointed(texts.mapInPandas(sets, "sid long, words binary").dropDuplicates(["sid"]))
-        return checkpointed(both(left, known, "words").where(verified("words_a", "words_b")).select("a", "b"))
-
-    first = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).unionByName(same).unionByName(under).distinct()
-    edges = near(first)
-    parts = connected_components(edges)
-
-    now = shared.join(parts.withColumnRenamed("node", "sid"), "sid", "left").withColumn("part", F.coalesce("component", "sid"))
-    now = checkpointed(now.select("key", "sid", "n", "lead", "part"))
-    split = now.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("key")
-    now = now.where("sid <> lead").join(split, "key", "left_semi")
-    b = now.select("key", F.col("sid").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    a = now.select("key", F.col("sid").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    least = Fraction(str(similarity))
-    fits = F.least("na", "nb") * least.denominator >= F.greatest("na", "nb") * least.numerator
-    pairs = b.join(a, "key").where((F.col("a") < F.col("b")) & (F.col("pa") != F.col("pb")) & fits).select("a", "b").distinct()
-    parts = connected_components(edges.unionByName(near(pairs)))
-    labels = prints.select("sid").distinct().join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("label"))
-    return rows.join(labels, "sid").select("doc_id", "mark", "label")
+    for c in ("a", "b"):
+        first = first.join(sets.select(F.col("sid").alias(c), F.col("sketch").alias(f"sketch_{c}")), c)
+    first = checkpointed(first.where(may("sketch_a", "sketch_b")).select("a", "b"))
+    edges = _verified(docs, text, first, sets, words, similarity)
+    more = checkpointed(_second_round(under, sets, connected_components(edges), similarity))
+    parts = connected_components(edges.unionByName(_verified(docs, text, more, sets, words, similarity)))
+    labels = checkpointed(sets.select("sid").join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("label")))
+    return rows.select("doc_id", "mark", "sid").join(labels, "sid").select("doc_id", "mark", "label")
 
 
 def drop_similar(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

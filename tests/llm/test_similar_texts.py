@@ -53,6 +53,16 @@ def test_stage_is_brute_force_jaccard(spark, monkeypatch, edited, common):
     assert got.schema == docs.schema and kept == sorted(set(parts.values()))
 
 
+def test_hot_shingles_and_small_tiles(spark, monkeypatch, edited):
+    """Every shared shingle dealt out by set, leads compared in many tiles: the same components."""
+    for name, value in {"SAMPLE": 1, "COMMON": 0, "HOT": 1, "SALTS": 3, "TILE": 5, "STEP": 7}.items():
+        monkeypatch.setattr(similar_texts, name, value)
+    sets = [shingle_set(t) for t in edited]
+    parts = brute_components(list(range(len(sets))), lambda a, b: near(sets[a], sets[b]))
+    docs = spark.createDataFrame(list(enumerate(edited)), "doc_id long, text string").repartition(3)
+    assert sorted(r["doc_id"] for r in similar_texts.drop_similar(docs).collect()) == sorted(set(parts.values()))
+
+
 def test_no_text(spark, no_docs):
     assert similar_texts.drop_similar(no_docs).count() == 0
 
