@@ -28,6 +28,8 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+#: Up to so many narrow rows are sent to all tasks; more of them are joined.
+MOST_SENT = 500_000
 #: Bytes of the rows that go to a Python worker at once.
 BATCH_BYTES = 8 << 20
 

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, fresh, read, small_batches
+from .common import MOST_SENT, checkpointed, fresh, read, small_batches
 from .components import connected_components
 
 SEED = 42
@@ -40,8 +40,6 @@ PIVOT_WORDS = (np.arange(1, PIVOTS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97
 TILE = 2048
 #: Words of a text whose hashes are summed at once.
 CHUNK = 1 << 14
-#: Up to so many narrow rows are sent to all tasks; more of them are joined.
-MOST_SENT = 500_000
 
 
 def digests(text: str | None, words: int = 4):

@@ -29,9 +29,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, small_batches
+from .common import MOST_SENT, checkpointed, small_batches
 from .components import connected_components
-from .simhash_dedup import MOST_SENT, digests, first_of_each, links, majority
+from .simhash_dedup import digests, first_of_each, links, majority, whole_groups
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -230,8 +230,6 @@ def _second_round(under: DataFrame, sets: DataFrame, parts: DataFrame, similarit
     full = dealt.join(sets.select("sid", "n", "sketch"), "sid").repartition("g").sortWithinPartitions("g")
 
     def find(batches):
-        from .simhash_dedup import whole_groups
-
         for p in whole_groups(batches):
             yield from candidates(*(p[c].to_numpy() for c in ("g", "sid", "n", "part", "second", "cross")), _rows_of(p["sketch"]), similarity)
 

@@ -122,6 +122,48 @@ def test_leaks(spark, monkeypatch, block):
     assert decontamination.contamination(docs.limit(0), bench).count() == 0
 
 
+def brute_near(text, item, counts, terms=6, span=20):
+    words = brute_words(text)
+    rare = sorted(set(brute_words(item)), key=lambda w: counts.get(w, 0))[:terms]
+    return any(set(rare) <= set(words[k : k + span]) for k in range(max(1, len(words) - span + 1)))
+
+
+@pytest.mark.parametrize("block", [500_000, 40])
+def test_proximity_is_brute_force(spark, monkeypatch, block):
+    """Items and texts over words with distinct counts, so that the rarest are the same for both."""
+    monkeypatch.setattr(decontamination, "BLOCK_WORDS", block)
+    rnd = random.Random(4)
+    names = [f"w{k}" for k in range(30)]
+    texts = [" ".join(rnd.choices(names, range(1, 31), k=rnd.choice([3, 25, 90]))) for _ in range(60)]
+    texts.append(" ".join(" ".join([w] * (200 * k + 200)) for k, w in enumerate(names)))  # counts differ from word to word
+    counts = {}
+    for t in texts:
+        for w in t.split():
+            counts[w] = counts.get(w, 0) + 1
+    assert len(set(counts.values())) == len(names)
+    items = [(k, " ".join(rnd.sample(names, rnd.choice([1, 3, 8, 12])))) for k in range(25)]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(99, None)], "doc_id long, text string")
+    got = decontamination.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        text = texts[r["doc"]] if r["doc"] < 99 else None
+        assert r["near_items"] == [i for i, t in items if brute_near(text, t, counts)]
+
+
+def test_all_terms_indexed(spark, monkeypatch):
+    """Without the filter by the benchmark's terms, and with words cut piece by piece: the same matches."""
+    monkeypatch.setattr(decontamination, "MOST_TERMS", 0)
+    monkeypatch.setattr(decontamination, "PIECE", 50)
+    monkeypatch.setattr(decontamination, "MEMO", 3)
+    rnd = random.Random(5)
+    texts = [" ".join(rnd.choice(["a", "b", "c"]) for _ in range(rnd.choice([5, 300]))) for _ in range(20)] + ["word " * 400_000 + "a b c d"]
+    items = [(k, " ".join(rnd.choice(["a", "b", "c"]) for _ in range(12))) for k in range(5)] + [(8, "word a b c d")]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in decontamination.matches(docs, spark.createDataFrame(items, "item_id long, text string")).collect():
+        want = brute_leak(texts[r["doc"]], items) if r["doc"] < 20 else (400_004, 5, [8])
+        assert (r["n_words"], r["n_hit"], r["items"]) == want
+
+
 def test_proximity(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu"
     near = "x zeta epsilon x delta gamma beta alpha"
