@@ -42,9 +42,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark passage go."""
-    (found,) = fresh(docs, "found")
-    items = decontamination.matching_items(docs, read(spark, sf_dir, "benchmark"))
-    return docs.withColumn(found, items).where(F.size(found) == 0).drop(found)
+    return decontamination.drop_leaked(docs, read(spark, sf_dir, "benchmark"))
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
