@@ -14,7 +14,7 @@ shingles with, and SimHash's links. Round two takes, under each lead, the sets o
 in tiles of bounded size, counts of shingles in ``BUCKETS`` parts of the hashes bound each pair's
 similarity from above, and only pairs that can reach it leave the task. All pairs that are left are
 verified by the shingles of their texts. So a large group of near copies never becomes all its pairs,
-and a shingle that very many sets share is dealt out by set before its lead is known.
+and the lead of a shingle that very many sets share is found by a minimum in each task.
 
 Null texts and texts without words are copies of each other; a text of fewer words has one shingle. Null
 and repeated ids change nothing here; very long texts cost in proportion; an empty table gives no rows.
@@ -39,8 +39,8 @@ SIMILARITY = 0.8
 RADIUS = 4
 #: Of the texts, one in SAMPLE is counted; a shingle in the prefixes of more than COMMON of them comes last.
 SAMPLE, COMMON, MOST_COMMON = 8, 8, 200_000
-#: A shingle of more than so many sampled prefixes is dealt out as SALTS groups.
-HOT, SALTS = 2000, 64
+#: The rows of a shingle of more than so many sampled prefixes are not shuffled by it.
+HOT = 2000
 #: Parts of the hashes that are counted for the bound on a pair's similarity.
 BUCKETS = 256
 #: Sets of a lead that are compared in one task at once, and pairs of them bounded in one step.
@@ -141,52 +141,46 @@ def _prints(text: Column, words: int, similarity: float, sent) -> Column:
 
 
 def _leads(keyed: DataFrame) -> DataFrame:
-    """``keyed``: hot (the key, if its sets are dealt out, else null), key, sid. Returns hot, sid and lead,
-    the smallest sid of the key (of a group of the key, if it is hot), of keys with several sids."""
+    """``keyed``: key, sid. Returns sid and lead, the smallest sid of the key, of keys with several sids."""
 
     def several(batches):
         """Rows come sorted by key and sid; a key's first sid is held back until a second one comes."""
         last, first, held = (None, None), None, None
         for part in batches:
-            key, sid, hot = part["g"].to_numpy(), part["sid"].to_numpy(), part["hot"].to_numpy()
+            key, sid = part["key"].to_numpy(), part["sid"].to_numpy()
             if not len(key):
                 continue
             new_key = np.append(last[0] is None or key[0] != last[0], key[1:] != key[:-1])
             new = new_key | np.append(last[0] is None or sid[0] != last[1], sid[1:] != sid[:-1])
             last = (key[-1], sid[-1])
-            key, sid, hot, new_key = key[new], sid[new], hot[new], new_key[new]
+            key, sid, new_key = key[new], sid[new], new_key[new]
             if not len(key):
                 continue
             if not new_key[0] and held is not None:  # goes on with the key of the batch before
-                yield pd.DataFrame({"sid": [held], "lead": [held], "key": [0], "hot": [False]})
-            held = None
+                yield pd.DataFrame({"sid": [held], "lead": [held]})
             begin = np.flatnonzero(new_key)
             start = np.maximum.accumulate(np.where(new_key, np.arange(len(key)), -1))
             lead = np.where(start >= 0, sid[start], 0 if first is None else first)
             alone = np.zeros(len(key), bool)
             alone[begin] = np.append(new_key[1:], True)[begin]
-            alone &= ~hot  # a hot key's group may be one of several
             held, first = sid[-1] if alone[-1] else None, lead[-1]
-            own = part["key"].to_numpy()[new]
-            yield pd.DataFrame({"sid": sid, "lead": lead, "key": own, "hot": hot})[~alone]
+            yield pd.DataFrame({"sid": sid, "lead": lead})[~alone]
 
-    found = keyed.repartition("g").sortWithinPartitions("g", "sid").mapInPandas(several, "sid long, lead long, key long, hot boolean")
-    return found
+    return keyed.repartition("key").sortWithinPartitions("key", "sid").mapInPandas(several, "sid long, lead long")
 
 
 def lead_rows(rows: DataFrame, common: list[tuple[int, int]]) -> DataFrame:
-    """lead, sid, shared (how many keys name that lead), each lead itself among its sids."""
+    """lead, sid, shared (how many keys name that lead), each lead itself among its sids. The lead of a hot
+    key is a minimum that each task forms before the shuffle; its rows stay where they are."""
     keyed = rows.where("keys IS NOT NULL").select(F.explode("keys").alias("key"), "sid")
-    hot = [k for k, n in common if n > HOT]
+    hot = [(k,) for k, n in common if n > HOT]
     if not hot:
-        found = _leads(keyed.select("key", "sid", F.col("key").alias("g"), F.lit(False).alias("hot")))
+        found = _leads(keyed)
     else:
-        # MOST_COMMON bounds it.
-        marked = keyed.join(F.broadcast(rows.sparkSession.createDataFrame([(k, True) for k in hot], "key long, hot boolean")), "key", "left")
-        group = F.when(F.col("hot"), F.xxhash64("key", F.pmod("sid", F.lit(SALTS)))).otherwise(F.col("key"))
-        found = checkpointed(_leads(marked.select("key", "sid", group.alias("g"), F.coalesce("hot", F.lit(False)).alias("hot"))))
-        top = F.broadcast(found.where("hot").groupBy("key").agg(F.min("lead").alias("top")))
-        found = found.join(top, ["key"], "left").withColumn("lead", F.when(F.col("hot"), F.col("top")).otherwise(F.col("lead")))
+        hot = F.broadcast(rows.sparkSession.createDataFrame(hot, "key long"))  # MOST_COMMON bounds it
+        many = keyed.join(hot, "key", "left_semi")
+        top = F.broadcast(many.groupBy("key").agg(F.min("sid").alias("lead")))
+        found = _leads(keyed.join(hot, "key", "left_anti")).unionByName(many.join(top, "key").select("sid", "lead"))
     return checkpointed(found.groupBy("lead", "sid").agg(F.count("*").alias("shared")))
 
 
