@@ -3,10 +3,12 @@
 Allow and block entries (``host/path``) go into one trie: host labels from the last to the first,
 then whole path segments; what an entry has after its last slash is a prefix of the next segment.
 The trie is small (``MOST_RULES`` bounds it) and is broadcast; each url walks it once, and the
-longest entry met wins (of two alike, the block entry). Urls that no entry fits get the default.
+longest entry met wins (of two as long, a block entry, then the later one in order). Urls that no entry
+fits get the default.
 
 A null url, or one without ``://``, has an empty host and path and fits no entry. Repeated rows are
-judged each; other columns pass through.
+judged each; very long urls whole; other columns pass through, and columns named host, path, rule or
+verdict are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -63,13 +65,18 @@ def build(rules: list[tuple[str, str]]) -> Node:
     return root
 
 
+def _strength(entry: tuple[str, str]) -> tuple[int, bool, str]:
+    rule, verdict = entry
+    return len(rule), verdict == "block", rule
+
+
 def judge(root: Node, host: str, path: str) -> tuple[str, str] | None:
     """The longest fitting (rule, verdict)."""
     best: tuple[str, str] | None = None
 
     def better(found: tuple[str, str]) -> None:
         nonlocal best
-        if best is None or len(found[0]) > len(best[0]):
+        if best is None or _strength(found) > _strength(best):
             best = found
 
     segments = path[1:].split("/") if path.startswith("/") else None
