@@ -31,7 +31,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 #: Up to so many narrow rows are sent to all tasks; more of them are joined.
 MOST_SENT = 500_000
 #: Bytes of the rows that go to a Python worker at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -70,6 +70,13 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def sampled(by: list[Column], share: Column | float) -> Column:
+    """Whether a row is in a sample of about that share, by a 62-bit hash of ``by``: no share of a count
+    that fits a long is ever 0."""
+    share = share if isinstance(share, Column) else F.lit(float(share))
+    return F.shiftrightunsigned(F.xxhash64(*by), 2) < (share * float(1 << 62)).cast("long")
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, modulo 5, is 0. A null id is not held out and never learned from."""
     crc = F.crc32(F.encode(doc_id.cast("string"), "UTF-8"))

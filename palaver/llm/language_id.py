@@ -6,27 +6,31 @@ was never seen there, the context's escape (method C: distinct followers / (foll
 is paid and the next shorter context asked, down to a uniform order -1. The language with the
 shortest code for the whole text wins; the score is its share of 2 ** -length over all languages.
 
-Texts are lower-cased. The fit takes, per language, about ``ROWS`` texts of at most ``BYTES`` bytes
-(chosen by hash of the id); counts are summed on Spark, and the frozen trees, whose size that sample
-bounds, are broadcast. Costs of all contexts are tabled beforehand, so scoring looks up one
-four-byte table for each byte, and shorter ones where it fails.
+Texts are lower-cased. The fit takes, per language, about ``rows`` texts of any length (chosen by hash of
+id and text; fewer where there are very many languages), of equal ones one; counts are summed on Spark.
+Of the four-byte contexts at most ``most_grams`` over all languages are kept, each language's most
+frequent ones, which bounds what comes to the driver and is broadcast. Costs of all contexts are tabled
+beforehand, so scoring looks up one four-byte table for each byte, and shorter ones where it fails.
+Over ``MOST_LANGUAGES`` languages are refused: their tables of two-byte contexts (0.5 MB each) would
+no longer fit a task.
 
 Null texts and texts without a letter are ``und`` with score 0; ties go to the first language in
-order; without any labelled row every text is ``und``. Repeated rows are scored each.
+order; without any labelled row every text is ``und``. Repeated rows are scored each; very long texts are
+scored whole, in slices; columns that clash are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, held_out, read, small_batches
+from .common import checkpointed, fresh, held_out, read, sampled, small_batches
 
 ROWS = 1500
-BYTES = 200_000
-MOST_LANGUAGES = 64
+#: Sampled texts over all languages, four-byte contexts over all languages, languages.
+MOST_ROWS, MOST_GRAMS, MOST_LANGUAGES = 100_000, 4_000_000, 256
 ORDER = 3
 PAD = b"\n" * ORDER
 #: Bytes looked up at once.
@@ -167,28 +171,48 @@ def _shorter(n: np.ndarray, cost: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return escape, np.where(n > 0, -np.log2(np.maximum(n, 1) / np.maximum(total + kinds, 1)), escape + cost)
 
 
-def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS) -> Model:
-    """Count the context trees of a sample of the labelled rows that are not held out."""
-    labelled = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")))
-    usable = labelled.where(F.octet_length("t") <= BYTES)
-    have = {r["l"]: r["n"] for r in usable.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(MOST_LANGUAGES + 1).collect()}
+def shares(have: dict[str, int], rows: int = ROWS) -> dict[str, float]:
+    """The share of each language's texts to learn from; never 0."""
     if len(have) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
+    each = max(1, min(rows, MOST_ROWS // max(1, len(have))))
+    return {name: min(1.0, each / n) for name, n in have.items()}
+
+
+def count_grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The different four-byte contexts of some texts and their counts; a text is counted in slices."""
+    found = []
+    for t in texts:
+        data = np.frombuffer(PAD + _bytes(t), np.uint8)
+        for a in range(0, max(1, len(data) - ORDER), SLICE):
+            found.append(np.unique(grams(data[a : a + SLICE + ORDER]), return_counts=True))
+    gram, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    gram, back = np.unique(gram, return_inverse=True)
+    return gram, np.bincount(back, weights=n, minlength=len(gram)).astype(np.int64)
+
+
+def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = ROWS, most_grams: int = MOST_GRAMS) -> Model:
+    """Count the context trees of a sample of the labelled rows that are not held out."""
+    labelled = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t"), F.col(lang).cast("string").alias("l")).where(F.col("i").isNotNull() & F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")))
+    have = {r["l"]: r["n"] for r in labelled.groupBy("l").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if not have:
         return Model({})
-    share = F.lit(0)
-    for name, n in have.items():
-        share = F.when(F.col("l") == name, int(1_000_000 * min(1, rows / n))).otherwise(share)
-    sample = usable.where(F.pmod(F.xxhash64(F.col("i")), F.lit(1_000_000)) < share)
+    share = F.lit(0.0)
+    for name, part in shares(have, rows).items():
+        share = F.when(F.col("l") == name, part).otherwise(share)
+    sample = labelled.where(sampled([F.col("i"), F.col("t")], share)).select("l", "t").distinct()
 
     def count(batches):
         for part in batches:
             for name, group in part.groupby("l"):
-                data = [np.frombuffer(PAD + _bytes(t), np.uint8) for t in group["t"]]
-                gram, n = np.unique(np.concatenate([grams(d) for d in data]), return_counts=True)
+                gram, n = count_grams(list(group["t"]))
                 yield pd.DataFrame({"l": name, "g": gram.astype(np.int64), "n": n})
 
-    found = sample.select("l", "t").mapInPandas(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")).toPandas()
+    counts = checkpointed(sample.mapInPandas(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")))
+    if counts.count() > most_grams:
+        rank = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))
+        counts = counts.withColumn("rank", rank).where(F.col("rank") <= max(1, most_grams // len(have))).drop("rank")
+    found = counts.toPandas()
     return Model({name: (g["g"].to_numpy(), g["n"].to_numpy()) for name, g in found.groupby("l")})
 
 

@@ -14,7 +14,7 @@ SPACE = "▁"
 #: Inside of a character class: ASCII letters and digits, Latin, Greek and Cyrillic letters.
 LETTERS = "A-Za-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f\u0370-\u052f"
 #: Entries of the memo of neighbour tests and of word memos; a full memo is emptied, results stay.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 150_000
 
 
 class Pieces:
