@@ -1,13 +1,14 @@
 """Operator 4: quality scores by histogram gradient-boosted trees.
 
-Each text becomes a row of ``FEATURES`` statistics. The fit takes at most about ``ROWS`` labelled
-rows (chosen by hash of the id); their statistics, a bounded matrix, come to the driver, which cuts
+Each text becomes a row of ``FEATURES`` statistics. The fit takes about ``rows`` labelled ids (chosen by
+hash, of several texts of an id one); their statistics, a bounded matrix, come to the driver, which cuts
 each into quantile bins and grows complete trees of fixed depth on gradient histograms. The trees
 are flattened into arrays, so that all rows of a batch walk a tree in one numpy step a level.
 
 Null and empty texts have all-zero statistics and are scored like any other. Labels other than 0 and
 1 and null labels are not used; a repeated id has the mean of its labels, rounded. Without any label
-of either kind, every score is the share of label 1 (0.5 without labels). Repeated rows are scored each.
+of either kind, every score is the share of label 1 (0.5 without labels). Repeated rows are scored each,
+very long texts whole; an empty table gives no rows; ``quality`` is a column, so no name can clash.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import held_out, read, small_batches
+from .common import held_out, read, sampled, small_batches
 
 ROWS = 20_000
 BINS, DEPTH, TREES, RATE, RIDGE = 64, 4, 100, 0.15, 1.0
@@ -124,15 +125,16 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = labels.select(F.col(doc_id).alias("i"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("i").isNotNull() & ~held_out(F.col("i")))
     known = known.groupBy("i").agg(F.round(F.avg("y")).cast("int").alias("y"))
     share = min(1.0, rows / max(1, known.count()))
-    sample = known.where(F.pmod(F.xxhash64("i"), F.lit(1_000_000)) < int(1_000_000 * share)).limit(2 * rows)
-    # About `rows` rows, twice that at most: small enough to broadcast.
+    sample = known.where(sampled([F.col("i")], share))
+    # About `rows` ids, as a hash takes them: small enough to broadcast.
     chosen = docs.select(F.col(doc_id).alias("i"), F.col(text).alias("t")).join(F.broadcast(sample), "i")
 
     def measure(batches):
         for part in batches:
-            yield pd.DataFrame({"x": [statistics(t) for t in part["t"]], "y": part["y"]})
+            yield pd.DataFrame({"h": part["h"], "x": [statistics(t) for t in part["t"]], "y": part["y"]})
 
-    found = chosen.select("t", "y").mapInPandas(measure, "x array<double>, y int").limit(4 * rows).toPandas()
+    measured = chosen.select(F.xxhash64("i").alias("h"), "t", "y").mapInPandas(measure, "h long, x array<double>, y int")
+    found = measured.groupBy("h", "y").agg(F.min("x").alias("x")).toPandas()
     x = np.array(found["x"].tolist(), np.float64).reshape(-1, len(FEATURES))
     order = np.lexsort(x.T)  # the sums below then don't depend on the order of partitions
     return grow(x[order], found["y"].to_numpy(np.float64)[order])

@@ -3,10 +3,11 @@ import random
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from palaver.llm import language_id, quality_classifier
-from palaver.llm.common import held_out
+from palaver.llm.common import held_out, sampled
 
 from .conftest import word
 
@@ -108,3 +109,43 @@ def test_quality(spark, odd_docs, no_docs):
     assert len(odd) == odd_docs.count() and all(0 <= r["s"] <= 1 for r in odd)
     empty = quality_classifier.fit(no_docs, labels.limit(0))
     assert {r["s"] for r in odd_docs.select(quality_classifier.quality(F.col("text"), empty, spark).alias("s")).collect()} == {0.5}
+
+
+def test_no_language_is_lost():
+    """Shares of a sample stay above 0 however many rows there are, and shrink with the languages."""
+    huge = language_id.shares({"en": 10**10, "fr": 3, "de": 2 * 10**12})
+    assert huge == {"en": 1500 / 10**10, "fr": 1.0, "de": 1500 / (2 * 10**12)}
+    many = language_id.shares({str(k): 10**9 for k in range(200)})
+    assert all(0 < s * 10**9 <= 500 for s in many.values())
+    with pytest.raises(ValueError):
+        language_id.shares({str(k): 1 for k in range(300)})
+
+
+def test_sample_of_a_tiny_share(spark):
+    """A share of 1 in 10**10 still has a threshold above 0, and a share of 1 takes all rows."""
+    df = spark.range(2000)
+    assert df.where(sampled([F.col("id")], 1.0)).count() == 2000
+    assert 300 < df.where(sampled([F.col("id")], F.lit(0.25))).count() < 700
+    threshold = spark.range(1).select((F.lit(1e-10) * float(1 << 62)).cast("long").alias("x")).first()["x"]
+    assert threshold > 10**8
+
+
+def test_long_texts_and_few_contexts_are_learned(spark):
+    """A language that has only long texts is learned; a small bound on contexts leaves the frequent ones."""
+    rows = [(k, ("sch ein keit ver " if k % 2 else "eau tre ou ") * 30_000, "de" if k % 2 else "fr") for k in range(12)]
+    docs = spark.createDataFrame([*rows, rows[0], (None, "x y z", "xx"), (50, None, "de"), (51, "", "fr")], "doc_id long, text string, lang string")
+    for most in (language_id.MOST_GRAMS, 40):
+        model = language_id.fit(docs, most_grams=most)
+        assert model.languages == ["de", "fr"] and len(model.cost4) <= most
+        got = language_id.identify(spark.createDataFrame([("ein schein",), ("ou treeau",)], "text string"), model).collect()
+        assert [r["lang_pred"] for r in got] == ["de", "fr"]
+
+
+def test_labels_of_repeated_ids(spark):
+    """Many texts under one id count as one; scores don't depend on how rows are dealt out."""
+    rnd = random.Random(3)
+    docs = [(k, " ".join(rnd.choice(["word", "other", "thing"]) for _ in range(30)) if k % 2 else "buy!!! | " * 20) for k in range(200)] + [(1, f"text {k}") for k in range(400)]
+    labels = [(k, k % 2) for k in range(200)]
+    fitted = [quality_classifier.fit(spark.createDataFrame(docs, "doc_id long, text string").repartition(n), spark.createDataFrame(labels, "doc_id long, quality int"), rows=rows) for n, rows in ((1, 20_000), (5, 20_000))]
+    x = np.array([quality_classifier.statistics(t) for _, t in docs[:50]])
+    assert (fitted[0].score(x) == fitted[1].score(x)).all() and ((fitted[0].score(x) > 0.5) == [k % 2 == 1 for k in range(50)]).all()
