@@ -73,7 +73,7 @@ class Terms:
             at = end
             if len(self.hashes) > MEMO:
                 self.hashes.clear()
-            new = list(set(words) - self.hashes.keys())
+            new = [w for w in set(words) if w not in self.hashes]
             codes = np.array([term(w) for w in new], np.int64)
             if self.wanted is not None:
                 codes[~np.isin(codes, self.wanted)] = 0
