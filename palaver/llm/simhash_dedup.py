@@ -188,12 +188,17 @@ def forest(group: np.ndarray, fp: np.ndarray, second: np.ndarray, cross: np.ndar
 
 def _unite(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Union by pairs; returns those that joined two trees."""
+    kept = joins(parent, left, right)
+    return left[kept], right[kept]
+
+
+def joins(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Union by pairs, in order; the numbers of those that joined two trees."""
     while (parent != parent[parent]).any():
         parent[:] = parent[parent]
-    apart = parent[left] != parent[right]
-    left, right = left[apart], right[apart]
+    apart = np.flatnonzero(parent[left] != parent[right])
     kept = []
-    for k, (x, y) in enumerate(zip(left.tolist(), right.tolist(), strict=True)):
+    for k, x, y in zip(apart.tolist(), left[apart].tolist(), right[apart].tolist(), strict=True):
         while parent[x] != x:
             parent[x] = x = parent[parent[x]]
         while parent[y] != y:
@@ -201,7 +206,7 @@ def _unite(parent: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.
         if x != y:
             parent[max(x, y)] = min(x, y)
             kept.append(k)
-    return left[kept], right[kept]
+    return np.array(kept, np.int64)
 
 
 def _labelled(docs: DataFrame, text: str, words: int, radius: int, **more: Column) -> DataFrame:

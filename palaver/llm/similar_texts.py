@@ -10,10 +10,11 @@ last; which ones is only a matter of speed, so they are counted in a sample of t
 
 A shingle that several prefixes hold stands for the smallest set that has it, its lead; from then on only
 (lead, set) matters, a few rows for each set. Round one compares each set with the lead it shares most
-shingles with, and SimHash's links. Round two takes, under each lead, the sets of different components:
-in tiles of bounded size, counts of shingles in ``BUCKETS`` parts of the hashes bound each pair's
-similarity from above, and only pairs that can reach it leave the task. All pairs that are left are
-verified by the shingles of their texts. So a large group of near copies never becomes all its pairs,
+shingles with, and SimHash's links. The rounds after it take, under each lead, the sets of different
+components: in tiles of bounded size, counts of shingles in ``BUCKETS`` parts of the hashes bound each
+pair's similarity from above, and only pairs that can reach it leave the task: in round two those that
+likely join the most components, in round three all that are left. Every pair is verified by the
+shingles of its texts. So a large group of near copies never becomes all its pairs,
 and the lead of a shingle that very many sets share is found by a minimum in each task.
 
 Null texts and texts without words are copies of each other; a text of fewer words has one shingle. Null
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import MOST_SENT, checkpointed, small_batches
 from .components import connected_components
-from .simhash_dedup import digests, first_of_each, links, majority, whole_groups
+from .simhash_dedup import digests, first_of_each, joins, links, majority, whole_groups
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -44,7 +45,7 @@ HOT = 2000
 #: Parts of the hashes that are counted for the bound on a pair's similarity.
 BUCKETS = 256
 #: Sets of a lead that are compared in one task at once, and pairs of them bounded in one step.
-TILE, STEP = 2048, 1 << 16
+TILE, STEP = 1024, 1 << 16
 #: Texts that a task remembers in order to give the keys of a copy once only.
 SEEN = 1 << 18
 
@@ -184,8 +185,9 @@ def lead_rows(rows: DataFrame, common: list[tuple[int, int]]) -> DataFrame:
     return checkpointed(found.groupBy("lead", "sid").agg(F.count("*").alias("shared")))
 
 
-def candidates(group: np.ndarray, sid: np.ndarray, n: np.ndarray, part: np.ndarray, second: np.ndarray, cross: np.ndarray, sketches: np.ndarray, similarity: float):
-    """Pairs (a, b) of one group, in different parts, that can be similar enough. ``group`` is sorted."""
+def candidates(group: np.ndarray, sid: np.ndarray, n: np.ndarray, part: np.ndarray, second: np.ndarray, cross: np.ndarray, sketches: np.ndarray, similarity: float, forest: bool):
+    """Pairs (a, b) of a group, in different parts, that can be similar enough; with ``forest`` only those
+    that join parts not yet joined, likely ones first. ``group`` is sorted."""
     least = Fraction(str(similarity))
     order = np.lexsort((n, group))
     group, sid, n, part, second, cross, sketches = (x[order] for x in (group, sid, n, part, second, cross, sketches))
@@ -196,7 +198,8 @@ def candidates(group: np.ndarray, sid: np.ndarray, n: np.ndarray, part: np.ndarr
         most = n[a:b].astype(np.int64) * least.denominator // least.numerator
         ends[a:b] = a + np.searchsorted(n[a:b], most, "right")
     many = ends - np.arange(len(group)) - 1
-    at = 0
+    parts = np.unique(part, return_inverse=True)[1]
+    parent, at = np.arange(parts.max(initial=0) + 1), 0
     while at < len(group):  # so many rows that about STEP pairs begin with them
         to = max(at + 1, int(np.searchsorted(np.cumsum(many[at:]), STEP, "right")) + at)
         left = np.repeat(np.arange(at, to), many[at:to])
@@ -205,27 +208,45 @@ def candidates(group: np.ndarray, sid: np.ndarray, n: np.ndarray, part: np.ndarr
         left, right = left[ok], right[ok]
         for k in range(0, len(left), STEP):
             x, y = left[k : k + STEP], right[k : k + STEP]
+            both = np.minimum(sketches[x], sketches[y]).sum(axis=1, dtype=np.int64)
             ok = possible(sketches[x], sketches[y], similarity)
+            if forest:
+                likely = np.flatnonzero(ok)
+                likely = likely[np.argsort(-(both / np.maximum(n[x], n[y]))[likely], kind="stable")]
+                ok = likely[joins(parent, parts[x[likely]], parts[y[likely]])]
             x, y = x[ok], y[ok]
             yield pd.DataFrame({"a": np.minimum(sid[x], sid[y]), "b": np.maximum(sid[x], sid[y])})
         at = to
 
 
-def _second_round(under: DataFrame, sets: DataFrame, parts: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) of different components under one lead that can be similar enough."""
+def _second_round(under: DataFrame, sets: DataFrame, parts: DataFrame, similarity: float, forest: bool) -> DataFrame:
+    """(a, b) of different components under one lead that can be similar enough.
+
+    The sets of a lead's largest component needn't be compared with each other, so they meet only the
+    others: tiles of the one with tiles of the other. The others meet each other, too."""
     member = under.select("lead", "sid").join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("lead", "sid", F.coalesce("component", "sid").alias("part"))
     member = checkpointed(member)
-    mixed = member.groupBy("lead").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count("*").alias("many")).where("low <> high")
-    mixed = checkpointed(mixed.select("lead", F.ceil(F.col("many") / TILE).cast("int").alias("tiles")))
-    own = F.pmod(F.xxhash64("sid"), F.col("tiles").cast("long")).cast("int")
-    dealt = member.join(mixed, "lead").withColumn("tile", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    t1, t2 = F.least("tile", "other"), F.greatest("tile", "other")
-    dealt = dealt.select(F.xxhash64("lead", t1, t2).alias("g"), "sid", "part", (F.col("tile") == t2).alias("second"), (t1 != t2).alias("cross"))
+    counts = member.groupBy("lead", "part").agg(F.count("*").alias("n"))
+    mixed = counts.groupBy("lead").agg(F.max(F.struct("n", "part")).alias("big"), F.sum("n").alias("n")).where("n > big.n")
+    tiles = lambda n: F.ceil(n / TILE).cast("int")
+    mixed = checkpointed(mixed.select("lead", F.col("big.part").alias("most"), tiles(F.col("big.n")).alias("big"), tiles(F.col("n") - F.col("big.n")).alias("small")))
+    dealt = member.join(mixed, "lead")
+    is_big = F.col("part") == F.col("most")
+    own = F.pmod(F.xxhash64("sid"), F.when(is_big, F.col("big")).otherwise(F.col("small")).cast("long")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    place = lambda kind, t, u, second, cross: F.struct(F.xxhash64("lead", F.lit(kind), t, u).alias("g"), second.alias("second"), cross.alias("cross"))
+    yes = F.lit(True)
+    of_big = F.transform(every("small"), lambda j: place("big", F.col("own"), j, yes, yes))
+    of_small = F.concat(
+        F.transform(every("big"), lambda i: place("big", i, F.col("own"), ~yes, yes)),
+        F.transform(every("small"), lambda o: place("small", F.least("own", o), F.greatest("own", o), F.col("own") >= o, F.col("own") != o)),
+    )
+    dealt = dealt.withColumns({"own": own, "is_big": is_big}).select("sid", "part", F.explode(F.when(F.col("is_big"), of_big).otherwise(of_small)).alias("p")).select("sid", "part", "p.*")
     full = dealt.join(sets.select("sid", "n", "sketch"), "sid").repartition("g").sortWithinPartitions("g")
 
     def find(batches):
         for p in whole_groups(batches):
-            yield from candidates(*(p[c].to_numpy() for c in ("g", "sid", "n", "part", "second", "cross")), _rows_of(p["sketch"]), similarity)
+            yield from candidates(*(p[c].to_numpy() for c in ("g", "sid", "n", "part", "second", "cross")), _rows_of(p["sketch"]), similarity, forest)
 
     return full.mapInPandas(find, "a long, b long").distinct()
 
@@ -275,8 +296,11 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
         first = first.join(sets.select(F.col("sid").alias(c), F.col("sketch").alias(f"sketch_{c}")), c)
     first = checkpointed(first.where(may("sketch_a", "sketch_b")).select("a", "b"))
     edges = _verified(docs, text, first, sets, words, similarity)
-    more = checkpointed(_second_round(under, sets, connected_components(edges), similarity))
-    parts = connected_components(edges.unionByName(_verified(docs, text, more, sets, words, similarity)))
+    parts, tried = connected_components(edges), first
+    for forest in (True, False):  # what likely joins components, then all that may still do so
+        more = checkpointed(_second_round(under, sets, parts, similarity, forest).join(tried, ["a", "b"], "left_anti"))
+        edges, tried = edges.unionByName(_verified(docs, text, more, sets, words, similarity)), tried.unionByName(more)
+        parts = connected_components(edges)
     labels = checkpointed(sets.select("sid").join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("label")))
     return rows.select("doc_id", "mark", "sid").join(labels, "sid").select("doc_id", "mark", "label")
 
