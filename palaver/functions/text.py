@@ -112,6 +112,15 @@ def highlight(text: Column, terms: list[str], left: str = "<<", right: str = ">>
     return F.regexp_replace(text, "(?iu)(" + "|".join(map(quoted, distinct)) + ")", f"{left}$1{right}")
 
 
+def highlight_query(text: Column, query: str, exact: bool = False, left: str = "<<", right: str = ">>") -> Column:
+    """Mark a query's words, or all of it if ``exact``, in one pass: where several could begin, the one that
+    comes first in the query is marked."""
+    terms = [query] if exact else query.split()
+    if not terms:
+        return text
+    return F.regexp_replace(text, "(?iu)(" + "|".join(map(quoted, terms)) + ")", f"{left}$1{right}")
+
+
 def prettify_model(model: Column) -> Column:
     """A readable model name; unknown shapes pass unchanged, null becomes empty."""
     # The model name patterns.
@@ -182,6 +191,15 @@ def mask_id(value: Column, salt: str = "") -> Column:
     return F.array_join(F.transform(chars, lambda ch, k: F.when(ch.rlike("[0-9a-fA-F]"), F.substring(digits, k + 1, F.lit(1))).otherwise(ch)), "")
 
 
+def mask_token(value: Column, salt: str = "") -> Column:
+    """``mask_id`` for ids of logs: what follows ``call_`` is replaced letter by letter, too."""
+    digits = F.sha2(F.concat(F.lit(salt), value), 256)
+    digits = F.concat(digits, F.sha2(digits, 256))
+    chars = F.split(F.substring(value, 6, 1 << 30), "")
+    call = F.transform(chars, lambda ch, k: F.when(ch.rlike("[0-9A-Za-z]"), F.substring(digits, k + 6, F.lit(1))).otherwise(ch))
+    return F.when(F.startswith(value, F.lit("call_")), F.concat(F.lit("call_"), F.array_join(call, ""))).otherwise(mask_id(value, salt))
+
+
 def archive_path(path: Column, anchor: str) -> Column:
     """The part of a path below ``/anchor/``; null without it or with a ``..`` step."""
     tail = blank_to_null(F.regexp_extract(path, f"/{quoted(anchor)}/(.*)$", 1))

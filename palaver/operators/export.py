@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import times
 from ..functions.text import UNTITLED, blank_to_null
 from ..sources import exports
 from ..sources.providers import is_local_cli, label, shell_quote
+from .numbering import kept, numbered
 
 
 def export_group(provider: Column, host: Column, email: Column) -> Column:
@@ -20,34 +19,49 @@ def export_group(provider: Column, host: Column, email: Column) -> Column:
 
 
 def plan(items: DataFrame, extension: str = "md") -> DataFrame:
-    """Adds grp and rel_path. In a directory, items with one stem are told apart by -2, -3, ... in order
-    of time and id. Where a name made so is also the natural name of another item, the items of that
-    directory whose stems differ only in such endings are planned row by row, since which names are
-    taken then depends on the order."""
+    """Adds grp and rel_path to every item, also to those without an id or with one that repeats. In a
+    directory, items with one stem are told apart by -2, -3, ... in order of time and id. Where a name
+    made so is also the natural name of another item, the items of that directory whose stems differ
+    only in such endings are named one after another, since which names are taken then depends on the
+    order: they stream through one task, which keeps a counter for each stem."""
     rows = items.withColumn("grp", export_group(F.col("provider"), F.col("host"), F.col("email")))
     rows = rows.withColumns({"dir": F.concat_ws("/", "provider", "grp", F.concat("item_type", F.lit("s"))), "stem": times.file_stem(F.col("created_at"), F.col("name"))})
-    k = F.row_number().over(Window.partitionBy("dir", "stem").orderBy("created_at", "uuid"))
-    rows = rows.withColumn("k", k).withColumn("named", F.when(F.col("k") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), F.col("k").cast("string"))))
-    rows = rows.withColumn("family", F.regexp_replace("stem", r"(-\d+)+$", ""))
+    rows = numbered(rows, ["dir", "stem"], ["created_at", "uuid"])
+    rows = rows.withColumns({"named": F.when(F.col("k") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), F.col("k").cast("string"))), "family": F.regexp_replace("stem", r"(-\d+)+$", "")})
     made = rows.where("k > 1").select("dir", F.col("named").alias("stem")).distinct()
-    clash = rows.where("k = 1").join(made, ["dir", "stem"], "left_semi").select("dir", "family").distinct()
-    plain = rows.join(clash, ["dir", "family"], "left_anti").select("dir", "created_at", "uuid", "named")
-
-    def one_family(part: pd.DataFrame) -> pd.DataFrame:
-        taken, names = set(), []
-        part = part.sort_values(["created_at", "uuid"], kind="stable")
-        for stem in part["stem"]:
-            name, k = stem, 2
-            while name in taken:
-                name, k = f"{stem}-{k}", k + 1
-            taken.add(name)
+    clash = kept(rows.where("k = 1").join(made, ["dir", "stem"], "left_semi").select("dir", "family").distinct())
+    if clash.limit(1).count():
+        hard = rows.join(clash, ["dir", "family"], "left_semi").select("dir", "family", "created_at", "uuid", "row_id", "stem")
+        dealt = hard.repartition("dir", "family").sortWithinPartitions("dir", "family", "created_at", "uuid", "row_id").select("dir", "family", "row_id", "stem")
+        again = dealt.mapInPandas(_one_by_one, "row_id long, again string")
+        rows = rows.join(again, "row_id", "left").withColumn("named", F.coalesce("again", "named")).drop("again")
+    return rows.withColumn("rel_path", F.concat("dir", F.lit("/"), "named", F.lit("." + extension))).drop("dir", "stem", "k", "named", "family", "row_id")
+
+
+def _one_by_one(batches):
+    """Names in the order of rows, which come by directory and family. All names from a stem's first one up
+    to its counter are taken, by its own items or by others."""
+    family, counter, natural = None, {}, set()
+
+    def taken(name: str) -> bool:
+        base, dash, k = name.rpartition("-")
+        given = dash and k.isdigit() and not k.startswith("0") and 2 <= int(k) < counter.get(base, 2)
+        return bool(given) or name in natural
+
+    for part in batches:
+        names = []
+        for key, stem in zip(zip(part["dir"], part["family"], strict=True), part["stem"], strict=True):
+            if key != family:
+                family, counter, natural = key, {}, set()
+            if taken(stem):
+                k = counter.get(stem, 2)
+                while f"{stem}-{k}" in natural or counter.get(f"{stem}-{k}", 2) > 2:
+                    k += 1
+                name, counter[stem] = f"{stem}-{k}", k + 1
+            else:
+                natural.add(name := stem)
             names.append(name)
-        return part.assign(named=names)[["dir", "created_at", "uuid", "named"]]
-
-    kind = items.select("created_at", "uuid").schema
-    hard = rows.join(clash, ["dir", "family"], "left_semi").select("dir", "family", "created_at", "uuid", "stem").groupBy("dir", "family").applyInPandas(one_family, f"dir string, created_at {kind['created_at'].dataType.simpleString()}, uuid {kind['uuid'].dataType.simpleString()}, named string")
-    named = plain.unionByName(hard).withColumn("rel_path", F.concat("dir", F.lit("/"), "named", F.lit("." + extension)))
-    return rows.drop("named", "k", "stem", "family").join(named.select("dir", "uuid", "rel_path"), ["dir", "uuid"]).drop("dir")
+        yield pd.DataFrame({"row_id": part["row_id"], "again": names})
 
 
 def planned_counts(planned: DataFrame) -> DataFrame:
@@ -74,31 +88,13 @@ def manifest(written: DataFrame) -> DataFrame:
     return _entries(written).groupBy("provider", "grp").agg(newest.alias("lines")).select("provider", "grp", F.concat(_heading(), F.lit("\n"), F.array_join("lines", "\n"), F.lit("\n")).alias("section"))
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the checkpoint folder that all machines share, so that every reader sees the same ranges."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        at = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not at and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def manifest_lines(written: DataFrame) -> DataFrame:
     """provider, grp, line_no, line: the same as rows, so that no group has to fit into a task. Line 0 is
     the heading with the empty line after it; entries count from 1, newest first."""
-    order = ["provider", "grp", F.desc("t"), F.desc("p"), "line"]
-    entries = _entries(written)
-    dealt = _kept(entries.where("line IS NOT NULL").repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
-    group, inside = ["provider", "grp"], ["part", "provider", "grp"]
-    before = Window.partitionBy(*group).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    counts = dealt.groupBy(*inside).agg(F.count("*").alias("n"))  # a row for each range and group in it
-    starts = counts.select(F.col("part").alias("part_"), F.col("provider").alias("provider_"), F.col("grp").alias("grp_"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    numbered = dealt.withColumn("k", F.row_number().over(Window.partitionBy(*inside).orderBy(*order[2:])))
-    joined = numbered.join(starts, (F.col("part") == F.col("part_")) & F.col("provider").eqNullSafe(F.col("provider_")) & F.col("grp").eqNullSafe(F.col("grp_")))
+    entries, group = _entries(written), ["provider", "grp"]
+    lines = numbered(entries.where("line IS NOT NULL"), group, [F.desc("t"), F.desc("p"), "line"], "line_no")
     heads = entries.select(*group).distinct().select(*group, F.lit(0).cast("long").alias("line_no"), _heading().alias("line"))
-    return joined.select(*group, (F.col("start") + F.col("k")).alias("line_no"), "line").unionByName(heads)
+    return lines.select(*group, "line_no", "line").unionByName(heads)
 
 
 # Documents ----------------------------------------------------------------------------------------

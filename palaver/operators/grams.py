@@ -6,12 +6,12 @@ rarest grams: fewer than all is still a superset, and a gram that most items hav
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Buckets of the written index; readers of a gram touch one of them.
+#: Buckets of the written index; readers of a gram read the files of one of them.
 BUCKETS = 64
 
 
@@ -24,10 +24,13 @@ def frequencies(index: DataFrame) -> DataFrame:
     return index.groupBy("gram").agg(F.count("*").alias("items"))
 
 
+def _bucket(gram: Column) -> Column:
+    return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
+
+
 def write(index: DataFrame, path: str) -> None:
     """By bucket of the gram, sorted inside, so that a lookup prunes both files and row groups."""
-    bucket = F.pmod(F.xxhash64("gram"), F.lit(BUCKETS)).cast("int")
-    index.withColumn("bucket", bucket).repartition("bucket", F.pmod(F.xxhash64(*index.columns), F.lit(16))).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(path)
+    index.withColumn("bucket", _bucket(F.col("gram"))).repartition("bucket", F.pmod(F.xxhash64(*index.columns), F.lit(16))).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(path)
 
 
 def query_grams(query: str, exact: bool = False) -> list[str]:
@@ -42,6 +45,9 @@ def candidates(index: DataFrame, query: str, key: list[str], exact: bool = False
     if not grams:
         return None
     wanted = index.where(F.col("gram").isin(grams))
+    if "bucket" in index.columns:  # literals, so that the scan of a written index prunes by them
+        asked = index.sparkSession.createDataFrame([(g,) for g in grams], "gram string")
+        wanted = wanted.where(F.col("bucket").isin([r["b"] for r in asked.select(_bucket(F.col("gram")).alias("b")).distinct().collect()]))
     if len(grams) > most:
         # The query's own grams only: a handful of rows.
         counts = {r["gram"]: r["items"] for r in frequencies(wanted).collect()}

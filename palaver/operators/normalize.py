@@ -163,42 +163,56 @@ def rollout_events(lines: DataFrame) -> DataFrame:
 
 def event_texts(events: DataFrame) -> DataFrame:
     """Searchable texts of sessions: what was typed and answered, not tools or thoughts."""
-    return events.where(F.col("kind").isin("user", "text")).select("path", (F.col("line_no") * 10_000 + F.col("ev_no")).alias("pos"), F.col("value").alias("text"))
+    return events.where(F.col("kind").isin("user", "text")).select("path", (F.shiftleft(F.col("line_no").cast("long"), 32) + F.col("ev_no")).alias("pos"), F.col("value").alias("text"))
 
 
 def session_metadata(lines: DataFrame) -> DataFrame:
-    """path, session_id, cwd, git_branch, created_at, updated_at and name of each session log."""
+    """path, session_id, cwd, git_branch, created_at, updated_at and name of each session log. The branch is
+    the first one named until id and directory are both known; the creation is the time of the first
+    user line with text, whatever it is; without any time after it, that is the update too."""
     v = F.col("v")
     s = lambda at: T.blank_to_null(F.try_variant_get(v, at, "string"))
     content = _string(v, "$.message.content")
     typed, kind = user_text(v), s("$.type")
     command = command_of(F.when(kind == "user", content).when(kind == "system", _string(v, "$.content")))
     prose = F.when(command_of(content).isNull(), typed)
-    rows = lines.select("path", "line_no", s("$.sessionId").alias("sid"), s("$.cwd").alias("cwd"), s("$.gitBranch").alias("branch"), s("$.timestamp").alias("ts"), F.when((kind == "user") & content.isNotNull(), s("$.timestamp")).alias("first"), prose.alias("prose"), T.blank_to_null(command).alias("command"))
+    rows = lines.select("path", "line_no", s("$.sessionId").alias("sid"), s("$.cwd").alias("cwd"), s("$.gitBranch").alias("branch"), s("$.timestamp").alias("ts"), ((kind == "user") & (T.ws_trim(content) != "")).alias("asked"), prose.alias("prose"), T.blank_to_null(command).alias("command"))
     at = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line_no")))
-    found = rows.groupBy("path").agg(at("sid").alias("session_id"), at("cwd").alias("cwd"), at("branch").alias("git_branch"), at("first").alias("created_at"), F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("line_no"))).alias("updated_at"), at("prose").alias("prose"), at("command").alias("command"))
+    line = lambda c: F.min(F.when(F.col(c).isNotNull(), F.col("line_no")))
+    first = F.min_by("ts", F.when(F.col("asked"), F.col("line_no")))
+    last = F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("line_no")))
+    known = F.when(line("sid").isNotNull() & line("cwd").isNotNull(), F.greatest(line("sid"), line("cwd")))
+    branch = F.when(known.isNull() | (line("branch") <= known), at("branch"))
+    found = rows.groupBy("path").agg(at("sid").alias("session_id"), at("cwd").alias("cwd"), branch.alias("git_branch"), first.alias("created_at"), F.coalesce(last, first).alias("updated_at"), at("prose").alias("prose"), at("command").alias("command"))
     name = F.coalesce(T.truncate_name(F.col("prose")), T.truncate_name(F.col("command")), F.lit(T.UNTITLED))
     return found.withColumn("name", name).drop("prose", "command")
 
 
 def rollout_metadata(lines: DataFrame) -> DataFrame:
-    """The same for rollouts, from the first session_meta record; they have no branch."""
+    """The same for rollouts, all from the first session_meta record; they have no branch."""
     v = F.col("v")
     s = lambda at: T.blank_to_null(F.try_variant_get(v, at, "string"))
     meta, typed = s("$.type") == "session_meta", (s("$.type") == "event_msg") & (s("$.payload.type") == "user_message")
     message = _string(v, "$.payload.message")
-    rows = lines.select("path", "line_no", s("$.timestamp").alias("ts"), F.when(meta, s("$.payload.id")).alias("sid"), F.when(meta, s("$.payload.cwd")).alias("cwd"), F.when(meta, s("$.payload.timestamp")).alias("created"), F.when(typed & (T.ws_trim(message) != ""), message).alias("typed"))
+    rows = lines.select("path", "line_no", s("$.timestamp").alias("ts"), F.when(meta, F.struct(s("$.payload.id").alias("id"), s("$.payload.cwd").alias("cwd"), s("$.payload.timestamp").alias("created"))).alias("meta"), F.when(typed & (T.ws_trim(message) != ""), message).alias("typed"))
     at = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("line_no")))
-    found = rows.groupBy("path").agg(at("sid").alias("session_id"), at("cwd").alias("cwd"), F.lit("").alias("git_branch"), F.coalesce(at("created"), at("ts")).alias("created_at"), F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("line_no"))).alias("updated_at"), at("typed").alias("typed"))
+    created, last = F.coalesce(at("meta")["created"], at("ts")), F.max_by("ts", F.when(F.col("ts").isNotNull(), F.col("line_no")))
+    found = rows.groupBy("path").agg(at("meta")["id"].alias("session_id"), at("meta")["cwd"].alias("cwd"), F.lit("").alias("git_branch"), created.alias("created_at"), F.coalesce(last, created).alias("updated_at"), at("typed").alias("typed"))
     return found.withColumn("name", F.coalesce(T.truncate_name(F.col("typed")), F.lit(T.UNTITLED))).drop("typed")
 
 
-def session_models(lines: DataFrame, at: str = "$.message.model") -> DataFrame:
-    """path, model: the one most lines name (of equals the earliest); synthetic and empty ones aside."""
-    named = lines.select("path", "line_no", F.try_variant_get("v", at, "string").alias("model")).where("model <> '' AND model <> '<synthetic>'")
+def session_models(lines: DataFrame, at: str = "$.message.model", kind: str = "assistant") -> DataFrame:
+    """path, model: the one most lines of a kind name (of equals the earliest); synthetic and empty ones aside."""
+    of_kind = lines.where(F.try_variant_get("v", "$.type", "string") == kind)
+    named = of_kind.select("path", "line_no", F.try_variant_get("v", at, "string").alias("model")).where("model <> '' AND model <> '<synthetic>'")
     return dominant(named, "path", "model", "line_no")
 
 
+def rollout_models(lines: DataFrame) -> DataFrame:
+    """The same for rollouts, where only the records that open a turn name the model."""
+    return session_models(lines, "$.payload.model", "turn_context")
+
+
 def dominant(rows: DataFrame, group: str, value: str, order: str) -> DataFrame:
     """Most frequent value of each group; of equals, the one that comes first."""
     counted = rows.groupBy(group, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))

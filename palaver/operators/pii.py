@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .numbering import kept
 
 # The patterns, by label.
 PATTERNS = {
@@ -40,10 +41,24 @@ UUID = r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F
 HEX40 = r"^[0-9a-fA-F]{40}$"
 
 
+def may_hold(text: Column) -> dict[str, Column]:
+    """By label, what a text must hold to match its pattern: much cheaper to look for than the pattern."""
+    pair = text.rlike("[0-9A-Fa-f]:[0-9A-Fa-f]")
+    has = lambda part: F.contains(text, F.lit(part))
+    return {
+        "email": has("@"), "ipv4": text.rlike(r"\d\.\d"), "ipv6": pair, "mac": pair, "home_path": has("/home/"), "users_path": has("/Users/"), "windows_path": has(":\\Users\\"), "url": has("://"),
+        "secret_assign": text.rlike("(?i)(?:bearer|token|key|secret|passw)[a-z]*\\s*[=:]"), "aws_key": has("AKIA"), "openai_key": has("sk-"), "jwt": has("eyJ"), "timezone": text.rlike("[ac]/[A-Z_a-z]|(?:Europe|Indian)/"),
+    }
+
+
 def findings(records: DataFrame, line: str = "line", text: str = "text") -> DataFrame:
-    """label, value, n, first_line of every match of every pattern."""
+    """label, value, n, first_line of every match of every pattern. A pattern is only run over texts that
+    hold what it can't do without."""
+    none, may = F.array().cast("array<struct<label: string, value: string>>"), may_hold(F.col(text))
+
     def of(label: str, pattern: str) -> Column:
-        return F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(label).alias("label"), v.alias("value")))
+        found = F.transform(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)), lambda v: F.struct(F.lit(label).alias("label"), v.alias("value")))
+        return F.when(may[label], found).otherwise(none)
 
     rows = records.select(F.col(line).alias("line"), F.explode(F.concat(*[of(name, p) for name, p in PATTERNS.items()])).alias("f"))
     return rows.groupBy("f.label", "f.value").agg(F.count("*").alias("n"), F.min("line").alias("first_line"))
@@ -88,16 +103,63 @@ def entropy_tokens(records: DataFrame, least: float = 3.6, line: str = "line", t
     return distinct.where(~F.col("token").rlike(UUID) & ~F.col("token").rlike(HEX40)).withColumn("entropy", T.entropy(F.col("token"))).where(F.col("entropy") >= least)
 
 
+#: Ids as they stand inside of other text.
+ID_SHAPES = UUID.strip("^$") + r"|\b[0-9a-fA-F]{40}\b|\bcall_[A-Za-z0-9]+"
+#: Times that ids with a mask that is taken get another one.
+MASK_ROUNDS = 8
+
+
+def _own_ids(text: Column) -> Column:
+    """The ids that a log record gives: of the session and its commit, of a turn, of a call."""
+    field = lambda at: F.get_json_object(text, at)
+    meta = field("$.type") == "session_meta"
+    found = F.array_compact(F.array(F.when(meta, field("$.payload.id")), F.when(meta, field("$.payload.git.commit_hash")), field("$.payload.turn_id"), field("$.payload.call_id")))
+    return F.filter(found, lambda i: i != "")
+
+
+def masks(ids: DataFrame, salt: str = "") -> DataFrame:
+    """id, mask: one mask for each different id, of its shape, no two alike and none that is an id itself."""
+    ids = kept(ids.select("id").where("id IS NOT NULL").distinct())
+    done, left = None, ids
+    for k in range(MASK_ROUNDS):
+        made = left.select("id", T.mask_token(F.col("id"), salt + "!" * k).alias("mask"))
+        free = made.groupBy("mask").agg(F.min("id").alias("id")).join(ids.select(F.col("id").alias("mask")), "mask", "left_anti")
+        free = free if done is None else free.join(done.select("mask"), "mask", "left_anti")
+        done = kept(free.select("id", "mask") if done is None else done.unionByName(free.select("id", "mask")))
+        left = kept(ids.join(done.select("id"), "id", "left_anti"))
+        if not left.limit(1).count():
+            return done
+    raise ValueError("ids too short to be masked apart")
+
+
+def redact_logs(records: DataFrame, key: list[str], text: str = "text", home: str = "", zone: str = "", salt: str = "") -> DataFrame:
+    """Logs whose records are known by ``key``: every id that any record gives is masked in all of them,
+    alike everywhere and different from all others; the rest as in ``redact``."""
+    table = masks(records.select(F.explode(_own_ids(F.col(text))).alias("id")), salt)
+    tokens = F.array_distinct(F.concat(_own_ids(F.col(text)), F.regexp_extract_all(F.col(text), F.lit(ID_SHAPES), F.lit(0))))
+    named = records.select(*key, F.explode(tokens).alias("id")).join(table, "id")
+    longest = F.sort_array(F.collect_list(F.struct(F.length("id").alias("n"), "id", "mask")), asc=False)
+    found = named.groupBy(*key).agg(longest.alias("masks_"))  # a record's own ids
+    joined = records.join(found, key, "left")
+    masked = F.aggregate(F.coalesce("masks_", F.array().cast("array<struct<n: int, id: string, mask: string>>")), _neutral(F.col(text), home, zone), lambda acc, m: F.replace(acc, m["id"], m["mask"]))
+    return joined.withColumn(text, masked).drop("masks_")
+
+
+def _neutral(c: Column, home: str, zone: str) -> Column:
+    if home:
+        c = F.regexp_replace(c, T.quoted(home), "/home/user")
+    if zone:
+        c = F.regexp_replace(c, T.quoted(zone), TIMEZONE)
+    c = F.regexp_replace(c, r'("(?:used_percent|window_minutes|resets_at|resets_in_seconds)"\s*:\s*)[0-9.]+', "$10")
+    return F.regexp_replace(c, r'("plan_type"\s*:\s*)"[^"]*"', "$1null")
+
+
 def redact(records: DataFrame, columns: list[str], home: str = "", zone: str = "", salt: str = "") -> DataFrame:
-    """Ids masked alike everywhere, other time zones made neutral, the home directory a placeholder and
-    rate-limit numbers zero."""
+    """UUIDs masked alike everywhere, other time zones made neutral, the home directory a placeholder, the
+    plan null and rate-limit numbers zero. For ids of other shapes see ``redact_logs``."""
 
     def clean(c: Column) -> Column:
-        if home:
-            c = F.regexp_replace(c, T.quoted(home), "/home/user")
-        if zone:
-            c = F.regexp_replace(c, T.quoted(zone), TIMEZONE)
-        c = F.regexp_replace(c, r'("(?:used_percent|window_minutes|resets_at|resets_in_seconds)"\s*:\s*)[0-9.]+', "$10")
+        c = _neutral(c, home, zone)
         ids = F.array_distinct(F.regexp_extract_all(c, F.lit(UUID.strip("^$")), F.lit(0)))
         return F.aggregate(ids, c, lambda acc, i: F.replace(acc, i, T.mask_id(i, salt)))
 

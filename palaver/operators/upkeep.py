@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import file_stem
+from .numbering import numbered
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -23,18 +24,18 @@ def conflicts(old: DataFrame, new: DataFrame, uuid: str = "uuid", account: str =
 
 
 def last_wins(batch: DataFrame, uuid: str = "uuid", order: str = "pos") -> DataFrame:
-    """Of rows with one id in a batch, the last. Pre-aggregated: no window over a hot id."""
-    columns = batch.columns
-    return batch.groupBy(uuid).agg(F.max_by(F.struct(*columns), order).alias("r")).select("r.*")
+    """Of rows with one id in a batch, the last; rows without an id all stay. Pre-aggregated: no window
+    over a hot id."""
+    last = batch.where(F.col(uuid).isNotNull()).groupBy(uuid).agg(F.max_by(F.struct(*batch.columns), order).alias("r")).select("r.*")
+    return last.unionByName(batch.where(F.col(uuid).isNull()))
 
 
 def unique_names(items: DataFrame, created_at: str = "created_at", name: str = "name", uuid: str = "uuid") -> DataFrame:
     """file_name: the stem alone if it is unique, else with -1, -2, ... by time and id."""
-    rows = items.withColumn("stem", file_stem(F.col(created_at), F.col(name)))
-    shared = Window.partitionBy("stem")
-    number = F.row_number().over(shared.orderBy(created_at, uuid))
-    n = F.count("*").over(shared)
-    return rows.withColumns({"k": number, "n": n}).withColumn("file_name", F.when(F.col("n") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), F.col("k").cast("string")))).drop("stem", "k", "n")
+    rows = numbered(items.withColumn("stem", file_stem(F.col(created_at), F.col(name))), ["stem"], [created_at, uuid])
+    shared = rows.where("k = 2").select("stem", F.lit(True).alias("shared"))
+    file_name = F.when(F.col("shared"), F.concat("stem", F.lit("-"), F.col("k").cast("string"))).otherwise(F.col("stem"))
+    return rows.join(shared, "stem", "left").withColumn("file_name", file_name).drop("stem", "k", "shared", "row_id")
 
 
 def catalog_diff(catalog: DataFrame, disk: DataFrame, key: str = "path", facts: tuple[str, ...] = ("size", "modified", "content_hash")) -> DataFrame:
@@ -73,8 +74,8 @@ def view_freshness(cached: DataFrame, fresh: DataFrame, key: str = "uuid", body:
 
 
 def duplicates(rows: DataFrame, uuid: str, path: str) -> DataFrame:
-    """Ids that stand in more than one row, with the files."""
-    return rows.groupBy(uuid).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(path)).alias("paths")).where("n > 1")
+    """Ids that stand in more than one row, with the files. Rows without an id are no copies of each other."""
+    return rows.where(F.col(uuid).isNotNull()).groupBy(uuid).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(path)).alias("paths")).where("n > 1")
 
 
 def refresh_totals(appended: DataFrame, path: str = "path") -> DataFrame:

@@ -119,6 +119,12 @@ def search_highlight(spark, sf_dir):
     return docs.select("doc_id", T.highlight(F.col("text"), ["the", "tion"]).alias("marked"))
 
 
+@query("SELECT doc_id, regexp_replace(text, '(?i)(th|the|on|tion)', '<<\\1>>', 'g') AS marked FROM documents")
+def search_highlight_order(spark, sf_dir):
+    """Words of which one begins another: the one that comes first in the query is marked."""
+    return read(spark, sf_dir, "documents").select("doc_id", T.highlight_query(F.col("text"), "th the on tion").alias("marked"))
+
+
 @query("""
 SELECT doc_id, s AS shown, CAST(greatest(n - 2, 0) AS INT) AS more FROM (
   SELECT doc_id, regexp_extract_all(text, '(?i)tion') AS m, len(regexp_extract_all(text, '(?i)tion')) AS n, CAST(least(2, len(regexp_extract_all(text, '(?i)tion'))) AS INT) AS s

@@ -82,6 +82,24 @@ def thread_texts(spark, sf_dir):
     return item.select("conv_id", F.array_join(normalize.thread_texts(F.col("item")), "\n").alias("body"), T.prettify_model(normalize.thread_model(F.col("item"))).alias("model"))
 
 
+@query("""
+SELECT conv_id, array_to_string(list_concat([CAST('T' || conv_id AS VARCHAR)], coalesce(list(text ORDER BY turn) FILTER (WHERE text <> ''), [])), chr(10)) AS body
+FROM conversations GROUP BY conv_id
+""")
+def thread_batch_order(spark, sf_dir):
+    """A batch file for each conversation, whose mapping's keys stand against their order as strings."""
+    c = read(spark, sf_dir, "conversations")
+    content = F.struct(F.lit("text").alias("content_type"), F.array("text").alias("parts"))
+    node = F.to_json(F.struct(F.struct(content.alias("content")).alias("message")))
+    entry = F.concat(F.lit('"'), F.lpad((F.lit(99_999) - F.col("turn")).cast("string"), 5, "0"), F.lit('": '), node)
+    nodes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", entry.alias("e")))), lambda n: n["e"]), ", ")
+    files = c.groupBy("conv_id").agg(nodes.alias("nodes"))
+    value = F.concat(F.lit(' [{"title": "T'), F.col("conv_id").cast("string"), F.lit('", "id": "t", "create_time": 1.0, "mapping": {'), "nodes", F.lit("}}]"))
+    files = files.select(F.col("conv_id").alias("path"), value.alias("value")).withColumn("parsed", F.try_parse_json("value"))
+    found = exports.records(files, exports.THREAD)
+    return found.select(F.col("path").alias("conv_id"), F.array_join(normalize.thread_texts(F.col("item")), "\n").alias("body"))
+
+
 def _lines(spark, sf_dir):
     """Session log lines: path, line_no, line."""
     c = read(spark, sf_dir, "conversations")
@@ -118,6 +136,41 @@ def session_metadata(spark, sf_dir):
     return normalize.session_metadata(good).drop("git_branch")
 
 
+_BRANCH = f"""
+WITH l AS (SELECT *, {_TIME} AS said_at, CASE WHEN turn >= conv_id % 3 THEN 'b' || turn END AS branch, CASE WHEN turn >= 1 AND conv_id % 5 <> 0 THEN '/w' || turn END AS cwd,
+  CASE WHEN turn % 4 = 0 THEN ' ' ELSE text END AS said FROM conversations),
+g AS (SELECT conv_id, min(turn) AS sid_line, min(turn) FILTER (WHERE cwd IS NOT NULL) AS cwd_line, min(turn) FILTER (WHERE branch IS NOT NULL) AS branch_line,
+  arg_min(cwd, turn) FILTER (WHERE cwd IS NOT NULL) AS cwd, arg_min(branch, turn) FILTER (WHERE branch IS NOT NULL) AS branch,
+  arg_min(said_at, turn) FILTER (WHERE role = 'user' AND trim(said, E' \\n\\t') <> '') AS created_at FROM l GROUP BY conv_id)
+"""
+
+
+@query(f"""{_BRANCH}
+SELECT CAST(conv_id AS VARCHAR) AS path, 's' || conv_id AS session_id, cwd, CASE WHEN cwd_line IS NULL OR branch_line <= greatest(sid_line, cwd_line) THEN branch END AS git_branch,
+  created_at FROM g""")
+def session_branches(spark, sf_dir):
+    """Branch, directory and creation where they stand in different lines, some prompts being blank."""
+    c = read(spark, sf_dir, "conversations")
+    turn, conv = F.col("turn"), F.col("conv_id")
+    said = F.when(turn % 4 == 0, " ").otherwise(F.col("text"))
+    fields = [F.col("role").alias("type"), _time(turn).alias("timestamp"), F.concat(F.lit("s"), conv).alias("sessionId"), F.when((turn >= 1) & (conv % 5 != 0), F.concat(F.lit("/w"), turn)).alias("cwd"), F.when(turn >= conv % 3, F.concat(F.lit("b"), turn)).alias("gitBranch")]
+    line = F.to_json(F.struct(*fields, F.struct(said.alias("content")).alias("message")))
+    good, _ = sessions.parsed_lines(c.select(conv.cast("string").alias("path"), turn.alias("line_no"), line.alias("line")))
+    return normalize.session_metadata(good).select("path", "session_id", "cwd", "git_branch", "created_at")
+
+
+@query("""
+WITH c AS (SELECT conv_id, 'm' || (turn % 3) AS model, count(*) AS n, min(turn) AS f FROM conversations WHERE role = 'user' GROUP BY ALL)
+SELECT CAST(conv_id AS VARCHAR) AS path, model FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, f) = 1
+""")
+def rollout_models(spark, sf_dir):
+    """Only records that open a turn (here: the user's) count, though all name a model."""
+    kind = F.when(F.col("role") == "user", "turn_context").otherwise("event_msg")
+    line = F.to_json(F.struct(kind.alias("type"), F.struct(F.concat(F.lit("m"), F.col("turn") % 3).alias("model")).alias("payload")))
+    good, _ = sessions.parsed_lines(read(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("path"), F.col("turn").alias("line_no"), line.alias("line")))
+    return normalize.rollout_models(good)
+
+
 @query("""
 WITH c AS (SELECT conv_id, 'm' || (turn % 3) AS model, count(*) AS n, min(turn) AS f FROM conversations WHERE role = 'assistant' GROUP BY ALL)
 SELECT CAST(conv_id AS VARCHAR) AS path, model FROM c QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, f) = 1

@@ -125,6 +125,21 @@ def export_plan(spark, sf_dir):
     return export.plan(_export_items(spark, sf_dir)).select("uuid", "grp", "rel_path")
 
 
+@query("""
+WITH d AS (SELECT CASE WHEN doc_id % 7 <> 0 THEN 'u' || (doc_id % 50) END AS uuid, source AS grp, '2024-01-01_' || lang AS stem FROM documents),
+k AS (SELECT *, row_number() OVER (PARTITION BY grp, stem ORDER BY uuid NULLS FIRST) AS k FROM d)
+SELECT uuid, grp, 'codex/' || grp || '/conversations/' || stem || CASE WHEN k = 1 THEN '' ELSE '-' || k END || '.md' AS rel_path FROM k
+""")
+def export_plan_repeats(spark, sf_dir):
+    """Items without an id and with repeated ids: each is planned once."""
+    d = read(spark, sf_dir, "documents")
+    items = d.select(
+        F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("u"), F.col("doc_id") % 50)).alias("uuid"), F.lit("codex").alias("provider"), F.lit("2024-01-01T00:00:00Z").alias("created_at"),
+        F.col("lang").alias("name"), F.lit("conversation").alias("item_type"), F.col("source").alias("host"), F.lit("").alias("email"),
+    )
+    return export.plan(items).select("uuid", "grp", "rel_path")
+
+
 @query(f"{_EX} SELECT CASE provider WHEN 'claude' THEN 'claude.ai' ELSE provider END AS provider, count(*) AS n FROM p GROUP BY 1")
 def export_counts(spark, sf_dir):
     return export.planned_counts(export.plan(_export_items(spark, sf_dir)))
@@ -211,6 +226,32 @@ def masked_ids(spark, sf_dir):
     return ids.select(T.mask_id(F.col("id"), "s").alias("m")).agg(F.count("*").alias("n"), F.count_distinct("m").alias("n_masks"))
 
 
+_UUID = "regexp_replace(md5({0}), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})', '\\1-\\2-\\3-\\4-')"
+_DIGITS = "sha256('s' || {0}) || sha256(sha256('s' || {0}))"
+
+
+@query(f"""
+WITH i AS (SELECT conv_id, turn, role, {_UUID.format("'s' || conv_id")} AS sid, sha1('k' || conv_id) AS commit, {_UUID.format("'t' || conv_id || '-' || turn")} AS tid, 'call_' || substr(md5('c' || conv_id || '-' || turn), 1, 12) || 'xyZ' AS cid FROM conversations),
+d AS (SELECT *, {_DIGITS.format("sid")} AS sd, {_DIGITS.format("commit")} AS kd, {_DIGITS.format("tid")} AS td, {_DIGITS.format("cid")} AS cd FROM i),
+m AS (SELECT conv_id, turn, role, substr(sd, 1, 8) || '-' || substr(sd, 10, 4) || '-' || substr(sd, 15, 4) || '-' || substr(sd, 20, 4) || '-' || substr(sd, 25, 12) AS sid, substr(kd, 1, 40) AS commit,
+  substr(td, 1, 8) || '-' || substr(td, 10, 4) || '-' || substr(td, 15, 4) || '-' || substr(td, 20, 4) || '-' || substr(td, 25, 12) AS tid, 'call_' || substr(cd, 6, 15) AS cid FROM d)
+SELECT conv_id, turn, CASE WHEN turn = 0 THEN '{{"type":"session_meta","payload":{{"id":"' || sid || '","cwd":"/home/user/x","git":{{"commit_hash":"' || commit || '"}}}}}}'
+  WHEN role = 'assistant' THEN '{{"type":"response_item","payload":{{"call_id":"' || cid || '","arguments":"resume ' || sid || ' at ' || commit || ' for ' || cid || '"}}}}'
+  ELSE '{{"type":"event_msg","payload":{{"turn_id":"' || tid || '","rate":{{"used_percent": 0}},"plan_type": null,"tz":"America/New_York"}}}}' END AS text FROM m
+""")
+def redacted_logs(spark, sf_dir):
+    """Sessions, turns, calls and commits named in one record and repeated in others."""
+    c, id_of = read(spark, sf_dir, "conversations"), lambda *p: F.regexp_replace(F.md5(F.concat(*p)), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-")
+    turn = F.concat(F.col("conv_id").cast("string"), F.lit("-"), F.col("turn").cast("string"))
+    sid, commit, tid = id_of(F.lit("s"), F.col("conv_id").cast("string")), F.sha1(F.concat(F.lit("k"), F.col("conv_id").cast("string"))), id_of(F.lit("t"), turn)
+    cid = F.concat(F.lit("call_"), F.substring(F.md5(F.concat(F.lit("c"), turn)), 1, 12), F.lit("xyZ"))
+    meta = F.concat(F.lit('{"type":"session_meta","payload":{"id":"'), sid, F.lit('","cwd":"/root/x","git":{"commit_hash":"'), commit, F.lit('"}}}'))
+    call = F.concat(F.lit('{"type":"response_item","payload":{"call_id":"'), cid, F.lit('","arguments":"resume '), sid, F.lit(" at "), commit, F.lit(" for "), cid, F.lit('"}}'))
+    event = F.concat(F.lit('{"type":"event_msg","payload":{"turn_id":"'), tid, F.lit('","rate":{"used_percent": 12.5},"plan_type": "free","tz":"Europe/Rome"}}'))
+    lines = c.select("conv_id", "turn", F.when(F.col("turn") == 0, meta).when(F.col("role") == "assistant", call).otherwise(event).alias("text"))
+    return pii.redact_logs(lines, ["conv_id", "turn"], home="/root", zone="Europe/Rome", salt="s")
+
+
 # Data quality and scalars -------------------------------------------------------------------------
 
 

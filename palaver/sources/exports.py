@@ -25,11 +25,12 @@ def documents(spark: SparkSession, paths: str | list[str], pattern: str = "*.jso
 
 
 def records(files: DataFrame, kind: str) -> DataFrame:
-    """The objects of files that hold a list of them or one: path, pos, raw (JSON text), item."""
+    """The objects of files that hold a list of them or one: path, pos, raw (the object's own text, so that
+    fields and mappings keep their order), item."""
     is_list = F.ltrim("value").startswith("[")
-    each = F.when(is_list, F.from_json("value", "array<variant>")).otherwise(F.array(F.try_parse_json("value")))
-    out = files.where(F.col("parsed").isNotNull()).select("path", F.posexplode_outer(each).alias("pos", "v"))
-    return out.select("path", "pos", F.to_json("v").alias("raw")).withColumn("item", F.from_json("raw", kind))
+    each = F.when(is_list, F.from_json("value", "array<string>")).otherwise(F.array("value"))
+    out = files.where(F.col("parsed").isNotNull()).select("path", F.posexplode_outer(each).alias("pos", "raw"))
+    return out.withColumn("item", F.from_json("raw", kind))
 
 
 def archive(spark: SparkSession, root: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from palaver.operators import analytics, pii, turns, upkeep
+from palaver.operators import analytics, export, pii, turns, upkeep
 from palaver.streaming import mirror
 
 LINES = "path string, line_no long, line string"
@@ -111,6 +111,72 @@ def test_each_label_found_and_vetted(spark):
     assert {r["label"] for r in pii.guard(found).collect()} == set(pii.HARD)
 
 
+def test_masks_are_never_shared(spark):
+    """Ids of three digits collide at once; each still gets a mask of its own, none of which is an id."""
+    ids = [f"{k:03x}" for k in range(0, 1200, 2)] + ["call_Ab9", "call_Ab8"]
+    table = {r["id"]: r["mask"] for r in pii.masks(spark.createDataFrame([(i,) for i in [*ids, ids[0], None]], "id string"), "x").collect()}
+    assert set(table) == set(ids) and len(set(table.values())) == len(ids) and not set(table.values()) & set(ids)
+    assert all(len(i) == len(m) for i, m in table.items()) and table["call_Ab9"].startswith("call_")
+
+
+def test_logs_keep_no_id(spark):
+    sid, commit = "0f1e2d3c-aaaa-bbbb-cccc-0123456789ab", "a" * 39 + "1"
+    lines = [
+        f'{{"type":"session_meta","payload":{{"id":"{sid}","git":{{"commit_hash":"{commit}"}}}}}}', '{"type":"event_msg","payload":{"turn_id":"7","call_id":"call_Zz9","plan_type" : "pro"}}',
+        f'{{"type":"response_item","payload":{{"x":"call_Zz9 of {sid} and {commit}"}}}}', "not json", None,
+    ]
+    got = {r["n"]: r["text"] for r in pii.redact_logs(spark.createDataFrame(list(enumerate(lines)), "n long, text string"), ["n"]).collect()}
+    assert all(i not in (t or "") for t in got.values() for i in (sid, commit, "call_Zz9", '"7"', "pro")) and got[3] == "not json" and got[4] is None
+    masked = got[0].split('"id":"')[1][:36]
+    assert masked in got[2] and got[1].count("null") == 1
+
+
+def test_numbers_inside_of_hot_groups(spark):
+    """A group that many ranges share is numbered without gaps, in order; null groups are groups too."""
+    from palaver.operators.numbering import numbered
+
+    rnd = random.Random(2)
+    rows = [("hot" if k % 3 else None if k % 2 else f"g{k % 11}", rnd.randrange(500), k) for k in range(3000)]
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    got = numbered(spark.createDataFrame(rows, "g string, o int, k_ int").repartition(5), ["g"], ["o", "k_"]).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    want = {}
+    for g in {g for g, _, _ in rows}:
+        for n, (_, _, k) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:]), 1):
+            want[k] = n
+    assert {r["k_"]: r["k"] for r in got} == want
+
+
+def test_names_that_clash_one_after_another(spark):
+    """Random stems that are each other's numbered names, against one pass over all items."""
+    rnd = random.Random(6)
+    names = ["a", "a-2", "a-3", "a-2-2", "b", "b-2", "a-02"]
+    rows = [(f"{k:03d}" if k % 9 else None, "codex", f"2024-01-01T00:00:{k // 3 % 60:02d}Z", rnd.choice(names), "conversation", rnd.choice(["h", "i"]), "") for k in range(120)]
+    got = export.plan(spark.createDataFrame(rows, "uuid string, provider string, created_at string, name string, item_type string, host string, email string").repartition(3)).collect()
+    assert len(got) == len(rows) and len({r["rel_path"] for r in got}) == len(rows)
+    taken, want = {}, []
+    for uuid, _, at, name, _, host, _ in sorted(rows, key=lambda r: (r[2], r[0] or "")):
+        mine, stem = taken.setdefault(host, set()), f"2024-01-01_{name}"
+        new, k = stem, 2
+        while new in mine:
+            new, k = f"{stem}-{k}", k + 1
+        mine.add(new)
+        want.append((uuid, host, new))
+    assert sorted(((r["uuid"], r["host"], r["rel_path"].rsplit("/", 1)[1][:-3]) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_written_grams_are_pruned(spark, tmp_path):
+    from palaver.operators import grams
+
+    texts = spark.createDataFrame([(k, f"text number {k} of some") for k in range(50)], "path long, text string")
+    grams.write(grams.build(texts, ["path"]), f"{tmp_path}/grams")
+    index = spark.read.parquet(f"{tmp_path}/grams")
+    found = grams.candidates(index, "number 17", ["path"])
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    assert {r["path"] for r in found.collect()} >= {17}
+
+
 def test_entropy_and_redaction(spark):
     token, uid = "aB3xQ9zL0pWm7Tt5RkYv2NcD", "019e8f7d-51e3-7ba2-9c52-4bd9e19a14fc"
     df = spark.createDataFrame([(1, f"{token} {uid} {'a' * 30}"), (2, token)], "line long, text string")
