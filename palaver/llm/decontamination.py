@@ -26,6 +26,8 @@ words piece by piece; empty tables give no rows or no matches.
 
 from __future__ import annotations
 
+from itertools import repeat
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -36,10 +38,10 @@ from .common import MOST_SENT, checkpointed, fresh, read, shared_dir, small_batc
 
 #: Words of an index block, unless a single text has more.
 BLOCK_WORDS = 500_000
-#: Different benchmark terms up to which the tasks get their hashes (8 bytes each) as a filter.
-MOST_TERMS = 4_000_000
+#: Different benchmark words up to which the tasks get them (some 100 bytes each) as a filter.
+MOST_TERMS = 400_000
 #: Bytes of a text that are cut into words at once, and words whose hashes a task remembers.
-PIECE, MEMO = 1 << 20, 400_000
+PIECE, MEMO = 1 << 20, 200_000
 
 #: A-Z become a-z; of ASCII, all but letters and digits separates words.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
@@ -57,11 +59,11 @@ def term(word: bytes) -> int:
 
 
 class Terms:
-    """Turns texts into hashes of their words, those in ``wanted`` (None: all)."""
+    """Turns texts into hashes of their words, those in ``wanted`` (by word; None: all)."""
 
-    def __init__(self, wanted: np.ndarray | None):
-        self.wanted = wanted
-        self.hashes: dict[bytes, int] = {}
+    def __init__(self, wanted: dict[bytes, int] | None):
+        self.all = wanted is None
+        self.hashes = {} if self.all else wanted
 
     def look(self, data: bytes | None) -> tuple[int, np.ndarray, np.ndarray]:
         """Number of words, and the places and terms of the wanted ones."""
@@ -71,14 +73,11 @@ class Terms:
             end = len(data) if end < 0 else end
             words = data[at:end].split()
             at = end
-            if len(self.hashes) > MEMO:
-                self.hashes.clear()
-            new = [w for w in set(words) if w not in self.hashes]
-            codes = np.array([term(w) for w in new], np.int64)
-            if self.wanted is not None:
-                codes[~np.isin(codes, self.wanted)] = 0
-            self.hashes.update(zip(new, codes.tolist(), strict=True))
-            found = np.fromiter(map(self.hashes.__getitem__, words), np.int64, len(words))
+            if self.all:
+                if len(self.hashes) > MEMO:
+                    self.hashes.clear()
+                self.hashes.update((w, term(w)) for w in set(words) if w not in self.hashes)
+            found = np.fromiter(map(self.hashes.get, words, repeat(0)), np.int64, len(words))
             known = np.flatnonzero(found)
             places.append(known + n)
             terms.append(found[known])
@@ -89,7 +88,7 @@ class Terms:
 def build_index(docs: DataFrame, wanted, path: str, gap: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write the index of ``docs`` below ``path`` and read it. Rows with a term: block, term, places, n
     (how many). Rows without: block, doc (the id), mark (hash of the text), first (place of its first
-    word), n (words). ``wanted``: a broadcast of the terms to keep, or of None."""
+    word), n (words). ``wanted``: a broadcast of the words to keep and their terms, or of None."""
     import pyarrow as pa
 
     kind = docs.schema[doc_id].dataType
@@ -136,6 +135,16 @@ def build_index(docs: DataFrame, wanted, path: str, gap: int, doc_id: str = "doc
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
+def item_words(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
+    """The different words of all items with an id, as column ``word``."""
+
+    @F.pandas_udf("array<string>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([sorted({w.decode("utf-8", "surrogatepass") for w in words_of(t)}) for t in texts], dtype=object)
+
+    return benchmark.where(F.col(item_id).isNotNull()).select(F.explode(of(F.col(text).cast("string"))).alias("word")).distinct()
+
+
 def item_terms(benchmark: DataFrame, item_id: str, text: str) -> DataFrame:
     """item, terms (hashes in the order of the text) of every item with an id and a word."""
 
@@ -261,22 +270,25 @@ def matches(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text:
     spark = docs.sparkSession
     small_batches(spark)
     items = checkpointed(item_terms(benchmark, item_id, item_text))
-    terms = items.select(F.explode("terms").alias("term")).distinct()
-    few = terms.count() <= MOST_TERMS
-    wanted = spark.sparkContext.broadcast(terms.toPandas()["term"].to_numpy(np.int64) if few else None)
+    words = item_words(benchmark, item_id, item_text).limit(MOST_TERMS + 1).collect()
+    few = len(words) <= MOST_TERMS
+    known = (r["word"].encode("utf-8", "surrogatepass") for r in words)
+    wanted = spark.sparkContext.broadcast({w: term(w) for w in known} if few else None)
     path = shared_dir(spark, "postings")
     index = build_index(docs, wanted, path, max(size, near_span), doc_id, text)
     lists, texts = index.where("term IS NOT NULL"), index.where("term IS NULL")
 
     counts = lists.groupBy("term").agg(F.sum("n").alias("total"))
-    counts = checkpointed(counts if few else counts.join(terms, "term", "left_semi"))
+    counts = checkpointed(counts if few else counts.join(items.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi"))
     wins, owners = windows_of(items, size)
     placed = wins.select("win", "owner", F.posexplode("terms").alias("offset", "term"))
     exact = ranked(placed, ["win", "owner"], counts).select(F.lit(False).alias("close"), F.col("owner").alias("asked"), "e")
     different = items.select("item", F.xxhash64("terms").alias("said"), F.explode("terms").alias("term")).distinct().withColumn("offset", F.lit(0))
     near = ranked(different, ["item", "said"], counts, near_terms).select(F.lit(True).alias("close"), F.col("item").alias("asked"), "e")
     asked = checkpointed(exact.unionByName(near).select("close", "asked", F.col("e.term").alias("terms"), F.col("e.offset").alias("offsets"), F.col("e")[0]["term"].alias("term")))
-    hope = lists.select("block", "term", "places").join(asked, "term").select("block", "close", "asked", "terms", "offsets", F.when(~F.col("close"), F.col("places")).alias("places"))
+    anchors = checkpointed(asked.select("term").distinct())
+    anchors = F.broadcast(anchors) if anchors.count() <= MOST_SENT else anchors
+    hope = lists.select("block", "term", "places").join(anchors, "term", "left_semi").join(asked, "term").select("block", "close", "asked", "terms", "offsets", F.when(~F.col("close"), F.col("places")).alias("places"))
 
     again = spark.read.schema(index.schema).parquet(path).where("term IS NOT NULL")  # a plan of its own, to be joined to the one above
     used = again if few else again.join(asked.select(F.explode("terms").alias("term")).distinct(), "term", "left_semi")
