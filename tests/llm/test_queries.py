@@ -14,7 +14,7 @@ from palaver.llm import language_id, quality_classifier
 from palaver.llm.common import read
 from palaver.llm.queries import ORACLE_SQL, QUERIES
 
-from .test_archive_urls_leaks import brute_leak
+from .test_archive_urls_leaks import brute_leak, brute_words
 from .test_classifiers import walked
 from .test_hashes import brute_components, brute_fingerprint
 
@@ -105,3 +105,68 @@ def test_stages_keep_the_columns(spark):
 def test_folds(spark):
     rows = QUERIES["op4_quality_classifier"](spark, DATA).collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in rows)
+
+
+@pytest.mark.parametrize("stage", [f for _, f in corpus_pipeline.STAGES], ids=[f.__name__ for _, f in corpus_pipeline.STAGES])
+def test_stages_on_odd_rows(spark, odd_docs, no_docs, library, stage):
+    """Nulls in any column, empty and very long texts, copies, repeated rows and no rows at all."""
+    assert stage(spark, no_docs, DATA).count() == 0
+    got, rows = stage(spark, odd_docs, DATA).collect(), odd_docs.collect()
+    if stage is corpus_pipeline.encoding_stage:
+        want = [(r["doc_id"], None if r["text"] is None else library.encode(r["text"])) for r in rows]
+        assert sorted(map(str, ((r["doc_id"], r["token_ids"]) for r in got))) == sorted(map(str, want))
+        return
+    if stage is corpus_pipeline.quality_stage:
+        trees = quality_classifier.fit(read(spark, DATA, "documents"), read(spark, DATA, "labels"))
+        stays = [walked(trees, [quality_classifier.statistics(r["text"])])[0] >= corpus_pipeline.QUALITY for r in rows]
+    elif stage is corpus_pipeline.language_stage:
+        model = language_id.fit(read(spark, DATA, "documents"))
+        bits = model.lengths([r["text"] or "" for r in rows])
+        share = 1 / np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000)).sum(axis=1)
+        stays = [p >= corpus_pipeline.CONFIDENCE and any(c.isalpha() for c in r["text"] or "") for r, p in zip(rows, share, strict=True)]
+    elif stage is corpus_pipeline.decontamination_stage:
+        items = [(r["item_id"], r["text"]) for r in read(spark, DATA, "benchmark").collect()]
+        stays = [not leaked(r["text"], items) for r in rows]
+    else:
+        sets = [shingle_set(r["text"]) for r in rows]
+        parts = brute_components(list(range(len(rows))), lambda a, b: jaccard(sets[a], sets[b]))
+        groups = {}
+        for k, r in enumerate(rows):
+            groups.setdefault(parts[k], []).append((r["doc_id"] is None, r["doc_id"]))
+        assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in got) == sorted((a, b or 0) for a, b in map(min, groups.values()))
+        return
+    assert sorted(map(str, got)) == sorted(str(r) for r, keep in zip(rows, stays, strict=True) if keep)
+
+
+def leaked(text, items):
+    words = " " + " ".join(brute_words(text)) + " "
+    for item, t in items:
+        ws = brute_words(t)
+        if item is not None and any(f" {' '.join(ws[k : k + 10])} " in words for k in range(max(1, len(ws) - 9)) if ws):
+            return True
+    return False
+
+
+def shingle_set(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def jaccard(a, b):
+    return 5 * len(a & b) >= 4 * len(a | b)
+
+
+def test_pipeline_by_hand_at_five_words(spark, docs, library):
+    """The stages by brute force, near-duplicates as stated: five words, a Jaccard similarity of 0.8."""
+    trees = quality_classifier.fit(read(spark, DATA, "documents"), read(spark, DATA, "labels"))
+    left = [i for i in sorted(docs) if walked(trees, [quality_classifier.statistics(docs[i]["text"])])[0] >= corpus_pipeline.QUALITY]
+    model = language_id.fit(read(spark, DATA, "documents"))
+    bits = model.lengths([docs[i]["text"] for i in left])
+    best = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
+    left = [i for i, p in zip(left, best, strict=True) if p >= corpus_pipeline.CONFIDENCE and any(c.isalpha() for c in docs[i]["text"])]
+    sets = {i: shingle_set(docs[i]["text"]) for i in left}
+    parts = brute_components(left, lambda a, b: jaccard(sets[a], sets[b]))
+    items = [(r["item_id"], r["text"]) for r in read(spark, DATA, "benchmark").collect()]
+    left = [i for i in sorted(set(parts.values())) if not leaked(docs[i]["text"], items)]
+    got = corpus_pipeline.run(spark, DATA).collect()
+    assert {r["doc_id"]: r["token_ids"] for r in got} == {i: library.encode(docs[i]["text"]) for i in left}
