@@ -5,14 +5,19 @@ indexed by a suffix array. Every piece of the vocabulary is binary-searched for
 occurrences; each occurrence is an edge from its first to behind its last character. Edges are
 sorted by position and relaxed front to back: an edge is taken if its piece may follow the one that
 ends where it starts. The model is BPE, so exactly one edge into each position passes; following
-them back gives the ids that the public library gives. Parts met before are kept in a bounded memo.
+them back gives the ids that the public library gives. Parts met before are kept in a bounded memo. Short
+parts are relaxed side by side; one of more than ``LONG`` characters (a text without a sure cut) is
+indexed piece by piece and its edges are walked one after another.
 
-Null texts give null ids; empty texts none; repeated rows are encoded each; other columns pass.
+Null texts give null ids; empty texts none; repeated rows are encoded each; very long texts whole; other
+columns pass, and columns named n_tokens, token_ids or round_trip are replaced; an empty table gives no rows.
 Decoding inverts encoding for every text without a literal U+2581, which the model reads as a space.
 """
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -23,6 +28,8 @@ from .pieces import MEMO_ENTRIES, SPACE, Pieces, loaded, model_bytes
 
 #: Characters of distinct parts indexed at once, which bounds the arrays of a batch.
 INDEX_CHARS = 1 << 18
+#: Characters of a part from which on it is encoded by itself.
+LONG = 2000
 _CACHE_BITS = 20
 _ID_BITS = 21
 
@@ -135,6 +142,10 @@ class Codec:
 
     def encode_parts(self, parts: list[str]) -> list[bytes]:
         """Ids of each part, as bytes of int32."""
+        long = [k for k, w in enumerate(parts) if len(w) > LONG]
+        if long:
+            out = iter(self.encode_parts([w for w in parts if len(w) <= LONG]))
+            return [self._encode_long(w) if len(w) > LONG else next(out) for w in parts]
         if not parts:
             return []
         size = np.array([len(w) for w in parts], np.int64)
@@ -169,6 +180,29 @@ class Codec:
             out[k] = self._bytes_for_lone(np.frombuffer(out[k], np.int32))
         return out
 
+    def _encode_long(self, part: str) -> bytes:
+        """Ids of one part of any length: edges in the order of their first characters, each taken if its piece
+        may follow the one that ends there."""
+        size, may, names = self.pieces.size, self.pieces.neighbours, self.names
+        before = array("q", bytes(8 * (len(part) + 1)))  # the token that ends at a place
+        before[0] = self.start
+        for a in range(0, len(part), INDEX_CHARS):
+            window = part[a : a + INDEX_CHARS + self.pieces.longest]
+            codes = np.append(np.frombuffer(window.encode("utf-32-le", "surrogatepass"), np.uint32) + np.uint32(1), np.uint32(0))
+            first, token, length = self._edges(codes)
+            mine = np.flatnonzero(first < INDEX_CHARS)
+            mine = mine[np.argsort(first[mine], kind="stable")]
+            for at, t, n in zip((first[mine] + a).tolist(), token[mine].tolist(), length[mine].tolist(), strict=True):
+                old = before[at]
+                if may("" if old == self.start else names[old] if old < size else chr(old - size), names[t] if t < size else chr(t - size)):
+                    before[at + n] = t
+        ids, at = [], len(part)
+        while at > 0:
+            ids.append(t := before[at])
+            at -= len(names[t]) if t < size else 1
+        out = np.array(ids[::-1], np.int64)
+        return out.astype(np.int32).tobytes() if (out < size).all() else self._bytes_for_lone(out)
+
     def _bytes_for_lone(self, ids: np.ndarray) -> bytes:
         """Characters without a piece become the pieces of their bytes."""
         out: list[int] = []
@@ -184,7 +218,7 @@ class Codec:
                 group, chars = [], 0
             if w is not None:
                 group.append(w)
-                chars += len(w) + 1
+                chars += min(len(w), LONG) + 1
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray | None]:
         if len(self.memo) >= MEMO_ENTRIES:
@@ -196,7 +230,11 @@ class Codec:
         new.difference_update(self.memo)
         self._learn(sorted(new))
         get = self.memo.__getitem__
-        return [None if ws is None else np.frombuffer(b"".join(map(get, ws)), np.int32) for ws in words]
+        out = [None if ws is None else np.frombuffer(b"".join(map(get, ws)), np.int32) for ws in words]
+        for w in new:
+            if len(w) > LONG:  # too large to be kept
+                del self.memo[w]
+        return out
 
     def decode(self, ids) -> str:
         """The text of ids; broken byte runs give U+FFFD. The space put before a text is removed."""
