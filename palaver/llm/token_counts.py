@@ -10,7 +10,10 @@ A block of text is a map from states to (state, tokens). Beyond its first sure c
 piece can lie across) the map is constant, so it is kept as the part before that cut, the tokens
 after it and the last state. Such maps compose associatively; a text's blocks are combined in a tree.
 
-Null and empty texts have 0 tokens; repeated rows are counted each; other columns pass through.
+The blocks of a text are mapped and composed in the task that has the text.
+
+Null and empty texts have 0 tokens; repeated rows are counted each; other columns pass through, and
+columns named n_bytes, n_tokens or over_limit are replaced; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -56,26 +59,31 @@ class Transducer:
             raise AssertionError("no token ends here")  # a prefix always has an encoding
         delta = rel + p.width(token)
         new = (("", token, 0), *((s, last, r - delta) for s, last, r in grown))
+        if len(self.states) > STATES:  # start anew from the state that is reached now
+            self._reset()
+            state = None
         if new not in self.numbers:
             self.numbers[new] = len(self.states)
             self.states.append(new)
             self.next.append({})
-        out = self.next[state][char] = (self.numbers[new], delta)
+        out = (self.numbers[new], delta)
+        if state is not None:
+            self.next[state][char] = out
         return out
 
     def run(self, text: str, state: int = 0) -> tuple[int, int]:
         """The state after ``text`` and the tokens it added."""
         total, nxt = 0, self.next
         for char in text:
-            t = nxt[state].get(char) or self._step(state, char)
+            t = nxt[state].get(char)
+            if t is None:
+                t, nxt = self._step(state, char), self.next
             state = t[0]
             total += t[1]
         return state, total
 
     def word(self, text: str) -> int:
         """Tokens of a part between two sure cuts."""
-        if len(self.states) > STATES:
-            self._reset()
         n = self.run(text)[1]
         if len(text) <= 64:
             if len(self.memo) >= MEMO_ENTRIES:

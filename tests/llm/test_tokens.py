@@ -1,5 +1,6 @@
 """Operators 1 and 6 against the tokenizer library."""
 
+import base64
 import random
 
 import public_tokenizers
@@ -79,3 +80,32 @@ def test_columns(spark, odd_docs, no_docs, library):
     back = odd_docs.select("text", sentencepiece_codec.decoded(ids, sentencepiece_codec.model_bytes(PATH)).alias("back")).collect()
     assert all(r["back"] == (r["text"] if r["text"] is None else r["text"].replace("▁", " ")) for r in back)
     assert token_counts.count_tokens(no_docs, PATH).count() == sentencepiece_codec.encode_documents(no_docs, PATH).count() == 0
+
+
+def long_parts():
+    """Texts without a place that no piece can lie across: letters, digits and symbols, Chinese, one sign."""
+    rnd = random.Random(8)
+    return {
+        "letters": "".join(rnd.choice("abcdefghijklmnop") for _ in range(150_000)),
+        "base64": base64.b64encode(rnd.randbytes(300_000)).decode(),
+        "chinese": "".join(rnd.choice("的一是不了在人有我他这中大来上国个到说们为子和你地出道也时年") for _ in range(120_000)),
+        "sign": "=" * 100_001,
+        "lone": "\u4e9c\U0001f600a" * 20_000,
+        "five megabytes": "".join(rnd.choice("etaoinshrdlu") for _ in range(5 << 20)),
+    }
+
+
+@pytest.mark.parametrize("kind", list(long_parts()))
+def test_long_parts_are_the_librarys(kind, model, library, monkeypatch):
+    text = long_parts()[kind]
+    want = library.encode(text)
+    if len(text) < 1 << 20:
+        monkeypatch.setattr(token_counts, "STATES", 2000)
+    machine = token_counts.Transducer(Pieces(model))
+    assert machine.text(text) == len(want) and len(machine.states) < token_counts.STATES + 100
+    if len(text) < 1 << 20:
+        monkeypatch.setattr(sentencepiece_codec, "INDEX_CHARS", 50_000)
+        codec = sentencepiece_codec.Codec(Pieces(model))
+        got, short, _ = codec.encode([text, "some words", text])
+        assert got.tolist() == want and short.tolist() == library.encode("some words")
+        assert codec.decode(got.tolist()) == text and all(len(w) <= sentencepiece_codec.LONG for w in codec.memo)
