@@ -28,9 +28,9 @@ def _bucket(gram: Column) -> Column:
     return F.pmod(F.xxhash64(gram), F.lit(BUCKETS)).cast("int")
 
 
-def write(index: DataFrame, path: str) -> None:
+def write(index: DataFrame, path: str, mode: str = "error") -> None:
     """By bucket of the gram, sorted inside, so that a lookup prunes both files and row groups."""
-    index.withColumn("bucket", _bucket(F.col("gram"))).repartition("bucket", F.pmod(F.xxhash64(*index.columns), F.lit(16))).sortWithinPartitions("bucket", "gram").write.partitionBy("bucket").parquet(path)
+    index.withColumn("bucket", _bucket(F.col("gram"))).repartition("bucket", F.pmod(F.xxhash64(*index.columns), F.lit(16))).sortWithinPartitions("bucket", "gram").write.mode(mode).partitionBy("bucket").parquet(path)
 
 
 def query_grams(query: str, exact: bool = False) -> list[str]:

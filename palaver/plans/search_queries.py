@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import times
-from ..operators import grams, search, upkeep
+from ..operators import grams, normalize, search, store, upkeep
 from .common import read
 from .registry import query
 
@@ -142,6 +142,39 @@ def search_grams(spark, sf_dir):
     return _search(grams.narrowed(texts, grams.build(texts, ["doc_id"]), "thing with", ["doc_id"]), "thing with", "doc_id")
 
 
+def _stored(spark, sf_dir):
+    """Tables of the documents as files: built, then refreshed after removals, additions and rewrites."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", "text", "lang", "source")
+    facts = {"size": F.octet_length("text").cast("long"), "content_hash": F.xxhash64("text")}
+    old = d.where("doc_id % 7 <> 0").withColumns(facts)
+    new = d.where("doc_id % 5 <> 0").withColumn("text", F.when(F.col("doc_id") % 11 == 0, F.concat("text", F.lit(" with a thing"))).otherwise(F.col("text"))).withColumns(facts)
+
+    def extract(files):
+        at = F.lit("2024-01-01T00:00:00Z")
+        c = F.col
+        return files.select(*normalize.item_row(c("path"), F.lit("llm"), c("path"), F.lit("conversation"), F.lit("claude"), c("lang"), at, at, F.lit(""), F.array("text"), host=c("source")))
+
+    root = store.new_folder(spark, "index")
+    store.refresh(spark, root, old, extract)
+    return root, store.refresh(spark, root, new, extract)
+
+
+_STORED = "(SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN text || ' with a thing' ELSE text END AS text FROM documents WHERE doc_id % 5 <> 0)"
+
+
+@query(f"SELECT CAST(doc_id AS VARCHAR) AS path, total_score, n_matches FROM ({_search_sql(_STORED, 'doc_id', 'thing with')})")
+def index_refreshed(spark, sf_dir):
+    """A search over tables that were refreshed file by file is one over the files as they are now."""
+    root, _ = _stored(spark, sf_dir)
+    return store.search_index(spark, root, "thing with").select("path", "total_score", "n_matches")
+
+
+@query("""SELECT change, count(*) AS n FROM (SELECT CASE WHEN doc_id % 7 = 0 THEN 'new' WHEN doc_id % 5 = 0 THEN 'removed' WHEN doc_id % 11 = 0 THEN 'rewritten' ELSE 'same' END AS change
+  FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 5 <> 0) GROUP BY change""")
+def index_changes(spark, sf_dir):
+    return _stored(spark, sf_dir)[1].groupBy("change").agg(F.count("*").alias("n"))
+
+
 @query("SELECT gram, count(*) AS items FROM (SELECT DISTINCT conv_id, substr(lower(text), CAST(i AS BIGINT) + 1, 3) AS gram FROM (SELECT conv_id, text, unnest(range(length(lower(text)) - 2)) AS i FROM conversations WHERE length(lower(text)) >= 3)) GROUP BY gram")
 def gram_frequencies(spark, sf_dir):
     return grams.frequencies(grams.build(read(spark, sf_dir, "conversations"), ["conv_id"]))

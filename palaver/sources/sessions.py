@@ -22,13 +22,13 @@ def parse_sources(text: str) -> list[tuple[str, str]]:
 
 
 def files(spark: SparkSession, sources: list[tuple[str, str]], pattern: str = "*.jsonl") -> DataFrame:
-    """Files of all hosts with host, path, rel_path, size, modified and content."""
+    """Files of all hosts with host, path, rel_path, size, modified, content_hash and content."""
 
     def one(host: str, path: str) -> DataFrame:
         found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
         plain = path.split("://")[-1].rstrip("/")
         rel = F.regexp_replace(F.col("path"), r"^\w+:/*" + "\\Q" + plain.lstrip("/") + "\\E/", "")
-        return found.select(F.lit(host).alias("host"), "path", rel.alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content")
+        return found.select(F.lit(host).alias("host"), "path", rel.alias("rel_path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.xxhash64("content").alias("content_hash"), "content")
 
     return reduce(DataFrame.unionByName, [one(h, p) for h, p in sources])
 
