@@ -14,11 +14,15 @@ no bytes (size 1), the crc32 and the key of the empty text; null ids share one k
 rows get a slot each. An empty table gives no rows.
 
 Slots are gapless in a shard: rows are numbered inside of cells (shard, text range, id range) in
-parallel, and each cell starts where the cells before it end.
+parallel, and each cell starts where the cells before it end. The more rows, the finer the cells, by
+bits of the id's hash, so that a very common text is cut up too. Null, empty and very long texts are
+dealt with alike; columns named as those that are added are replaced.
 """
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,8 +31,8 @@ from .common import checkpointed, fresh, read
 FANOUT = 512
 #: Key halves are longs from 0 on.
 KEY_BITS = 62
-#: Bits of the halves that make a cell: at most (256 + shards) * 64 cells, whatever the input.
-CELL_BITS = (8, 6)
+#: Bits of the halves that make a cell, at least; rows a cell should hold at most, on average.
+CELL_BITS, CELL_ROWS = (8, 6), 100_000
 
 
 def splitters(keys: DataFrame, size: str, halves: tuple[str, str], shards: int, tolerance: float) -> list[tuple[int, int]]:
@@ -95,17 +99,19 @@ def shard_documents(docs: DataFrame, shards: int = 16, text: str = "text", doc_i
         shard = F.lit(0)
         for a, b in cuts:
             shard = shard + F.when((F.col(k1) > a) | ((F.col(k1) == a) & (F.col(k2) >= b)), 1).otherwise(0)
-        return df.withColumns({"shard": shard, b1: F.shiftright(k1, KEY_BITS - CELL_BITS[0]).cast("int"), b2: F.shiftright(k2, KEY_BITS - CELL_BITS[1]).cast("int")})
+        return df.withColumns({"shard": shard, b1: F.shiftright(k1, KEY_BITS - CELL_BITS[0]).cast("int"), b2: F.shiftright(k2, KEY_BITS - CELL_BITS[1] - min(finer, 24)).cast("int")})
 
+    finer = max(0, ceil(log2(max(1, narrow.count()) / (CELL_ROWS << CELL_BITS[0]))) - CELL_BITS[1])
     cell = ["shard", b1, b2]
     counts = placed(narrow).groupBy(cell).agg(F.count("*").alias("n"))
     before = Window.partitionBy("shard").orderBy(b1, b2).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*cell, F.coalesce(F.sum("n").over(before), F.lit(0)).alias(first_slot))
     inside = F.row_number().over(Window.partitionBy(cell).orderBy(k1, k2))
+    starts = starts if finer else F.broadcast(starts)  # (256 + shards) * 64 rows; else joined as the cells are dealt out
     return (
         placed(keyed)
         .withColumn("slot", inside - F.lit(1))
-        .join(F.broadcast(starts), cell)  # CELL_BITS bounds it
+        .join(starts, cell)
         .withColumns({"slot": F.col("slot") + F.col(first_slot), "law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
         .drop(k1, k2, b1, b2, first_slot)
     )

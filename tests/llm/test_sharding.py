@@ -44,3 +44,16 @@ def test_few_rows(spark, no_docs):
     same = spark.createDataFrame([(1, "a")] * 5 + [(None, None)] * 2, "doc_id long, text string")
     assert sharding.shard_documents(same).count() == 7
     assert sharding.shard_documents(same).select("shard", "slot").distinct().count() == 7
+
+
+def test_finer_cells_number_alike(spark, monkeypatch):
+    """The cells that many rows would have: the same shards, and slots without gaps."""
+    rows = [(k, f"text {k % 700}") for k in range(1500)] + [(None, "same")] * 3 + [(2000 + k, "same") for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    before = sorted((str(r["doc_id"]), r["text"], r["shard"]) for r in sharding.shard_documents(df, shards=4).collect())
+    monkeypatch.setattr(sharding, "CELL_BITS", (2, 1))
+    monkeypatch.setattr(sharding, "CELL_ROWS", 1)
+    got = sharding.shard_documents(df, shards=4).collect()
+    assert sorted((str(r["doc_id"]), r["text"], r["shard"]) for r in got) == before
+    for s in range(4):
+        assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(r["shard"] == s for r in got)))
