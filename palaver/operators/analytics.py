@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import abbreviate_home, blank_to_null
 from ..sources.providers import is_local_cli, label
+from .numbering import kept
 
 #: Blank for zero, then eight heights.
 BLOCKS = " ▁▂▃▄▅▆▇█"
@@ -33,15 +34,21 @@ def by_host(items: DataFrame) -> DataFrame:
 
 def monthly(items: DataFrame, ts: str = "created_ts") -> DataFrame:
     """key (yyyy-MM), n for every month from the first to the last, empty ones too."""
-    counts = items.where(F.col(ts).isNotNull()).groupBy(F.date_format(ts, "yyyy-MM").alias("key")).agg(F.count("*").alias("n"))
+    return _every_month(items.where(F.col(ts).isNotNull()).groupBy(F.date_format(ts, "yyyy-MM").alias("key")).agg(F.count("*").alias("n")))
+
+
+def _every_month(counts: DataFrame) -> DataFrame:
     month = F.to_date(F.concat("key", F.lit("-01")))
     spine = counts.agg(F.min(month).alias("a"), F.max(month).alias("b")).where("a IS NOT NULL").select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("m")).select(F.date_format("m", "yyyy-MM").alias("key"))
     return spine.join(counts, "key", "left").select("key", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
 def _histogram(items: DataFrame, bucket: Column, size: int) -> DataFrame:
-    counts = items.groupBy(bucket.cast("long").alias("key")).agg(F.count("*").alias("n")).where("key IS NOT NULL")
-    spine = items.sparkSession.range(size).withColumnRenamed("id", "key")
+    return _every_bucket(items.groupBy(bucket.cast("long").alias("key")).agg(F.count("*").alias("n")).where("key IS NOT NULL"), size)
+
+
+def _every_bucket(counts: DataFrame, size: int) -> DataFrame:
+    spine = counts.sparkSession.range(size).withColumnRenamed("id", "key")
     return spine.join(F.broadcast(counts), "key", "left").select("key", F.coalesce("n", F.lit(0)).cast("long").alias("n"))  # `size` rows at most
 
 
@@ -103,15 +110,26 @@ def spark_line(histogram: DataFrame) -> DataFrame:
 
 
 def report(items: DataFrame, tools: DataFrame | None = None) -> DataFrame:
-    """All sections as one table: section, key, n, pct (of the section)."""
+    """All sections as one table: section, key, n, pct (of the section). One pass over the items counts the
+    keys of all sections, pre-aggregated before the shuffle; the sections are made of those counts."""
+    local, ts = is_local_cli(F.col("provider")), F.col("created_ts")
+    keys = {
+        "provider": label(F.col("provider")), "host": F.when(local, F.col("host")), "month": F.date_format(ts, "yyyy-MM"), "hour": F.hour(ts).cast("string"),
+        "weekday": F.weekday(ts).cast("string"), "directory": F.when(local, F.col("cwd")), "busiest_day": F.to_date(ts).cast("string"),
+    }
+    entries = F.array(*[F.struct(F.lit(s).alias("section"), k.alias("key")) for s, k in keys.items()])
+    counted = items.select(F.explode(entries).alias("e")).select("e.*").where("key <> ''").groupBy("section", "key").agg(F.count("*").alias("n"))
+    counted = kept(counted)
+    of = lambda section: counted.where(F.col("section") == section).drop("section")
     part = lambda name, df: df.select(F.lit(name).alias("section"), F.col(df.columns[0]).cast("string").alias("key"), F.col("n").cast("long").alias("n"))
+    bucket = lambda section, size: _every_bucket(of(section).withColumn("key", F.col("key").cast("long")), size)
     sections = [
-        part("provider", by_provider(items)), part("host", by_host(items)), part("month", monthly(items)), part("hour", hours(items)),
-        part("weekday", weekdays(items)), part("directory", top_directories(items)), part("busiest_day", busiest_day(items)),
+        counted.where("section IN ('provider', 'host')"), part("month", _every_month(of("month"))), part("hour", bucket("hour", 24)), part("weekday", bucket("weekday", 7)),
+        part("directory", leaderboard(of("directory"), 8, "key")), part("busiest_day", leaderboard(of("busiest_day"), 1, "key")),
     ]
     if tools is not None:
         sections.append(part("tool", leaderboard(tools)))
-    rows = reduce(DataFrame.unionByName, sections)
+    rows = kept(reduce(DataFrame.unionByName, sections))
     total = rows.groupBy("section").agg(F.sum("n").alias("total"))
     return rows.join(F.broadcast(total), "section").select("section", "key", "n", F.when(F.col("total") > 0, F.col("n") * 100.0 / F.col("total")).otherwise(0.0).alias("pct"))  # a row a section
 
