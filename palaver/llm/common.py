@@ -58,6 +58,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def compacted(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """Checkpointed, and read in as many partitions as its rows need: a small table that went through a
+    shuffle of many partitions then no longer costs many tasks and files in each step after it."""
+    df = checkpointed(df)
+    return df.coalesce(max(1, -(-df.count() // rows)))
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new folder for tables below the shared checkpoint folder."""
     import uuid

@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_SENT, checkpointed, fresh, read, small_batches
+from .common import MOST_SENT, checkpointed, compacted, fresh, read, small_batches
 from .components import connected_components
 
 SEED = 42
@@ -112,7 +112,7 @@ def links(prints: DataFrame, radius: int = 4) -> DataFrame:
 
     keyed = prints.select("fp", F.posexplode(F.array(*[key(s) for s in sets])).alias("band", "key"))
     crowded = keyed.groupBy("band", "key").agg(F.count("*").alias("n")).where(F.col("n") > TILE)
-    crowded = checkpointed(crowded)
+    crowded = compacted(crowded)
     if crowded.limit(1).count():
         tiles = F.coalesce(F.ceil(F.col("n") / TILE).cast("int"), F.lit(1))
         own = F.pmod(F.xxhash64("fp"), F.col("tiles").cast("long")).cast("int")
@@ -213,10 +213,10 @@ def _labelled(docs: DataFrame, text: str, words: int, radius: int, **more: Colum
     """One row for each of ``docs``: fp, its component's label (the smallest fingerprint) and ``more``."""
     small_batches(docs.sparkSession)
     rows = checkpointed(docs.select(fingerprint(F.col(text), words).alias("fp"), *[c.alias(n) for n, c in more.items()]))
-    prints = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    prints = compacted(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     parts = connected_components(links(prints.select("fp"), radius))
-    labelled = checkpointed(prints.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("label")))
-    lowest = checkpointed(labelled.groupBy("label").agg(F.min("least").alias("component_id")))  # so that both sides of the join can be split
+    labelled = compacted(prints.join(parts.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("component", "fp").alias("label")))
+    lowest = compacted(labelled.groupBy("label").agg(F.min("least").alias("component_id")))  # so that both sides of the join can be split
     return rows.join(labelled.join(lowest, "label").select("fp", "label", "component_id"), "fp")
 
 
@@ -234,10 +234,10 @@ def first_of_each(docs: DataFrame, found: DataFrame, doc_id: str, text: str) ->
     are too many."""
     row = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "mark", "n")
     i, h, m = fresh(docs, "keep", "hash", "mark")
-    rows = checkpointed(found.groupBy("label", "doc_id", "mark").agg(F.count("*").alias("n")))
-    least = checkpointed(rows.groupBy("label").agg(F.min(row).alias("r")))
+    rows = compacted(found.groupBy("label", "doc_id", "mark").agg(F.count("*").alias("n")))
+    least = compacted(rows.groupBy("label").agg(F.min(row).alias("r")))
     judged = rows.join(least, "label").select("doc_id", "mark", "n", (F.col("doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("mark") == F.col("r.mark"))).alias("stays"))
-    judged = checkpointed(judged.select(F.col("doc_id").alias(i), F.col("mark").alias(h), "n", "stays"))
+    judged = compacted(judged.select(F.col("doc_id").alias(i), F.col("mark").alias(h), "n", "stays"))
     marked = docs.withColumn(m, F.xxhash64(text))
 
     def beside(left: DataFrame, right: DataFrame, how: str) -> DataFrame:

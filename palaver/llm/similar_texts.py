@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import MOST_SENT, checkpointed, small_batches
+from .common import MOST_SENT, checkpointed, compacted, small_batches
 from .components import connected_components
 from .simhash_dedup import digests, first_of_each, joins, links, majority, whole_groups
 
@@ -182,7 +182,7 @@ def lead_rows(rows: DataFrame, common: list[tuple[int, int]]) -> DataFrame:
         many = keyed.join(hot, "key", "left_semi")
         top = F.broadcast(many.groupBy("key").agg(F.min("sid").alias("lead")))
         found = _leads(keyed.join(hot, "key", "left_anti")).unionByName(many.join(top, "key").select("sid", "lead"))
-    return checkpointed(found.groupBy("lead", "sid").agg(F.count("*").alias("shared")))
+    return compacted(found.groupBy("lead", "sid").agg(F.count("*").alias("shared")))
 
 
 def candidates(group: np.ndarray, sid: np.ndarray, n: np.ndarray, part: np.ndarray, second: np.ndarray, cross: np.ndarray, sketches: np.ndarray, similarity: float, forest: bool):
@@ -225,11 +225,11 @@ def _second_round(under: DataFrame, sets: DataFrame, parts: DataFrame, similarit
     The sets of a lead's largest component needn't be compared with each other, so they meet only the
     others: tiles of the one with tiles of the other. The others meet each other, too."""
     member = under.select("lead", "sid").join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("lead", "sid", F.coalesce("component", "sid").alias("part"))
-    member = checkpointed(member)
+    member = compacted(member)
     counts = member.groupBy("lead", "part").agg(F.count("*").alias("n"))
     mixed = counts.groupBy("lead").agg(F.max(F.struct("n", "part")).alias("big"), F.sum("n").alias("n")).where("n > big.n")
     tiles = lambda n: F.ceil(n / TILE).cast("int")
-    mixed = checkpointed(mixed.select("lead", F.col("big.part").alias("most"), tiles(F.col("big.n")).alias("big"), tiles(F.col("n") - F.col("big.n")).alias("small")))
+    mixed = compacted(mixed.select("lead", F.col("big.part").alias("most"), tiles(F.col("big.n")).alias("big"), tiles(F.col("n") - F.col("big.n")).alias("small")))
     dealt = member.join(mixed, "lead")
     is_big = F.col("part") == F.col("most")
     own = F.pmod(F.xxhash64("sid"), F.when(is_big, F.col("big")).otherwise(F.col("small")).cast("long")).cast("int")
@@ -254,7 +254,7 @@ def _second_round(under: DataFrame, sets: DataFrame, parts: DataFrame, similarit
 def _verified(docs: DataFrame, text: str, pairs: DataFrame, sets: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those of ``pairs`` (a, b) that are similar enough, by the shingles of their texts."""
     needed = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("mark", "sid")
-    needed = checkpointed(needed)
+    needed = compacted(needed)
     sent = F.broadcast(needed) if needed.count() <= MOST_SENT else needed
     texts = docs.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).join(sent, "mark")
     known = checkpointed(texts.groupBy("sid").agg(F.any_value("text").alias("text")))
@@ -266,7 +266,7 @@ def _verified(docs: DataFrame, text: str, pairs: DataFrame, sets: DataFrame, wor
         found = {t: shingles(t, words) for t in {*a, *b}}
         return pd.Series([alike(found[x], found[y], similarity) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    return checkpointed(pairs.where(verified("text_a", "text_b")).select("a", "b"))
+    return compacted(pairs.where(verified("text_a", "text_b")).select("a", "b"))
 
 
 def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -278,9 +278,9 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
     said = _prints(F.col(text), words, similarity, sent)
     rows = checkpointed(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("mark"), said.alias("p")).select("doc_id", "mark", "p.*"))
     under = lead_rows(rows, common)
-    sets = checkpointed(rows.groupBy("sid").agg(F.min("mark").alias("mark"), F.min("fp").alias("fp"), F.max("n").alias("n"), F.max("sketch").alias("sketch")))
+    sets = compacted(rows.groupBy("sid").agg(F.min("mark").alias("mark"), F.min("fp").alias("fp"), F.max("n").alias("n"), F.max("sketch").alias("sketch")), 50_000)
 
-    reps = checkpointed(sets.groupBy("fp").agg(F.min("sid").alias("rep")))
+    reps = compacted(sets.groupBy("fp").agg(F.min("sid").alias("rep")))
     linked = links(reps.select("fp"), RADIUS)
     for c in ("a", "b"):
         linked = linked.join(reps.select(F.col("fp").alias(c), F.col("rep").alias(f"{c}_")), c).drop(c).withColumnRenamed(f"{c}_", c)
@@ -294,14 +294,14 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     for c in ("a", "b"):
         first = first.join(sets.select(F.col("sid").alias(c), F.col("sketch").alias(f"sketch_{c}")), c)
-    first = checkpointed(first.where(may("sketch_a", "sketch_b")).select("a", "b"))
+    first = compacted(first.where(may("sketch_a", "sketch_b")).select("a", "b"))
     edges = _verified(docs, text, first, sets, words, similarity)
     parts, tried = connected_components(edges), first
     for forest in (True, False):  # what likely joins components, then all that may still do so
-        more = checkpointed(_second_round(under, sets, parts, similarity, forest).join(tried, ["a", "b"], "left_anti"))
+        more = compacted(_second_round(under, sets, parts, similarity, forest).join(tried, ["a", "b"], "left_anti"))
         edges, tried = edges.unionByName(_verified(docs, text, more, sets, words, similarity)), tried.unionByName(more)
         parts = connected_components(edges)
-    labels = checkpointed(sets.select("sid").join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("label")))
+    labels = compacted(sets.select("sid").join(parts.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("component", "sid").alias("label")))
     return rows.select("doc_id", "mark", "sid").join(labels, "sid").select("doc_id", "mark", "label")
 
 
