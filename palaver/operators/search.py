@@ -11,6 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types
 
 from ..functions import text as T
 from ..functions import times
@@ -97,8 +98,16 @@ def omit(results: DataFrame, terms: list[str], columns: list[str], arrays: list[
 
 
 def redact(results: DataFrame, pairs: dict[str, str], columns: list[str]) -> DataFrame:
-    """Replace real names by stand-ins in the given string columns."""
-    return results.withColumns({c: T.substitute(F.col(c), pairs) for c in columns})
+    """Replace real names by stand-ins in the given columns, also inside of arrays and structs."""
+
+    def within(c: Column, kind) -> Column:
+        if isinstance(kind, types.ArrayType):
+            return F.transform(c, lambda x: within(x, kind.elementType))
+        if isinstance(kind, types.StructType):
+            return F.when(c.isNotNull(), F.struct(*[within(c[f.name], f.dataType).alias(f.name) for f in kind.fields]))
+        return T.substitute(c, pairs) if isinstance(kind, types.StringType) else c
+
+    return results.withColumns({c: within(F.col(c), results.schema[c].dataType) for c in columns})
 
 
 def confined(path: Column, root: str) -> Column:

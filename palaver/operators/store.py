@@ -104,5 +104,5 @@ def search_index(spark: SparkSession, root: str, query: str, n: int | None = Non
         options = {} if as_of is None else {"updated": "updated_ts", "as_of": as_of}
         found = search.search(items.withColumn("updated_ts", F.col("updated_at").try_cast("timestamp")), texts, query, [KEY], exact, name_raw="name_raw", **options).drop("updated_ts")
     if stand_ins:
-        found = search.redact(found, stand_ins, [c for c, t in found.dtypes if t == "string" and c not in (KEY, "uuid")])
+        found = search.redact(found, stand_ins, [c for c in found.columns if c not in (KEY, "uuid")])
     return found if n is None else search.top(found, search.ranked(found, by, KEY, "updated_at", current_host), n)

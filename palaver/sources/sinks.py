@@ -17,9 +17,10 @@ def result_json(results: DataFrame) -> DataFrame:
 
 def write_documents(docs: DataFrame, path: str) -> DataFrame:
     """Write (rel_path, body) rows, a folder for each directory; returns the counts by status. A null
-    body is a failure of that row alone."""
+    body is a failure of that row alone. Rows are dealt out as ranges of paths, so that a directory is
+    written by few tasks, and a large one by several."""
     rows = docs.withColumns({"dir": F.regexp_replace("rel_path", "/[^/]*$", ""), "status": F.when(F.col("body").isNull(), "failed").otherwise("written")})
-    rows.where("status = 'written'").write.mode("overwrite").partitionBy("dir").parquet(path)
+    rows.where("status = 'written'").repartitionByRange("dir", "rel_path").write.mode("overwrite").partitionBy("dir").parquet(path)
     return rows.groupBy("status").agg(F.count("*").alias("n"))
 
 

@@ -178,6 +178,13 @@ def test_scope_and_omit(spark):
     assert search.redact(rows, {"proj": "demo"}, ["cwd"]).first()["cwd"] == "/demo"
 
 
+def test_redaction_reaches_matches_and_extra(spark):
+    rows = spark.createDataFrame([("joe", [("by Joe", 1.0), (None, 2.0)], ("/home/joe", None), 3), (None, None, None, None)], "name string, matches array<struct<text: string, score: double>>, extra struct<cwd: string, host: string>, n int")
+    first, second = search.redact(rows, {"joe": "ann"}, ["name", "matches", "extra", "n"]).collect()
+    assert (first["name"], [tuple(m) for m in first["matches"]], tuple(first["extra"]), first["n"]) == ("ann", [("by ann", 1.0), (None, 2.0)], ("/home/ann", None), 3)
+    assert tuple(second) == (None, None, None, None)
+
+
 def test_name_clash_is_planned_row_by_row(spark):
     rows = [("u1", "2024-01-01", "a"), ("u2", "2024-01-01", "a"), ("u3", "2024-01-01", "a-2"), ("u4", "2024-01-02", "b")]
     items = spark.createDataFrame([(*r, "claude", "conversation", "", "e") for r in rows], "uuid string, created_at string, name string, provider string, item_type string, host string, email string")
