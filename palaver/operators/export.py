@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +9,7 @@ from ..functions import times
 from ..functions.text import UNTITLED, blank_to_null
 from ..sources import exports
 from ..sources.providers import is_local_cli, label, shell_quote
-from .numbering import kept, numbered
+from .numbering import fresh, kept, numbered
 
 
 def export_group(provider: Column, host: Column, email: Column) -> Column:
@@ -23,19 +22,20 @@ def plan(items: DataFrame, extension: str = "md") -> DataFrame:
     directory, items with one stem are told apart by -2, -3, ... in order of time and id. Where a name
     made so is also the natural name of another item, the items of that directory whose stems differ
     only in such endings are named one after another, since which names are taken then depends on the
-    order: they stream through one task, which keeps a counter for each stem."""
+    order: they stream through one task, which keeps a counter for each stem. All other columns pass."""
     rows = items.withColumn("grp", export_group(F.col("provider"), F.col("host"), F.col("email")))
-    rows = rows.withColumns({"dir": F.concat_ws("/", "provider", "grp", F.concat("item_type", F.lit("s"))), "stem": times.file_stem(F.col("created_at"), F.col("name"))})
-    rows = numbered(rows, ["dir", "stem"], ["created_at", "uuid"])
-    rows = rows.withColumns({"named": F.when(F.col("k") == 1, F.col("stem")).otherwise(F.concat("stem", F.lit("-"), F.col("k").cast("string"))), "family": F.regexp_replace("stem", r"(-\d+)+$", "")})
-    made = rows.where("k > 1").select("dir", F.col("named").alias("stem")).distinct()
-    clash = kept(rows.where("k = 1").join(made, ["dir", "stem"], "left_semi").select("dir", "family").distinct())
+    top, stem, k, named, family, again = fresh(rows, "dir", "stem", "k", "named", "family", "again")
+    rows = rows.withColumns({top: F.concat_ws("/", "provider", "grp", F.concat("item_type", F.lit("s"))), stem: times.file_stem(F.col("created_at"), F.col("name"))})
+    rows = numbered(rows, [top, stem], ["created_at", "uuid"], k)
+    rows = rows.withColumns({named: F.when(F.col(k) == 1, F.col(stem)).otherwise(F.concat(stem, F.lit("-"), F.col(k).cast("string"))), family: F.regexp_replace(stem, r"(-\d+)+$", "")})
+    made = rows.where(F.col(k) > 1).select(top, F.col(named).alias(stem)).distinct()
+    clash = kept(rows.where(F.col(k) == 1).join(made, [top, stem], "left_semi").select(top, family).distinct())
     if clash.limit(1).count():
-        hard = rows.join(clash, ["dir", "family"], "left_semi").select("dir", "family", "created_at", "uuid", "row_id", "stem")
-        dealt = hard.repartition("dir", "family").sortWithinPartitions("dir", "family", "created_at", "uuid", "row_id").select("dir", "family", "row_id", "stem")
-        again = dealt.mapInPandas(_one_by_one, "row_id long, again string")
-        rows = rows.join(again, "row_id", "left").withColumn("named", F.coalesce("again", "named")).drop("again")
-    return rows.withColumn("rel_path", F.concat("dir", F.lit("/"), "named", F.lit("." + extension))).drop("dir", "stem", "k", "named", "family", "row_id")
+        hard = rows.join(clash, [top, family], "left_semi").select(F.col(top).alias("dir"), F.col(family).alias("family"), "created_at", "uuid", F.col(k).alias("k"), F.col(stem).alias("stem"))
+        dealt = hard.repartition("dir", "family").sortWithinPartitions("dir", "family", "created_at", "uuid", "stem", "k").select("dir", "family", "stem", "k")
+        names = dealt.mapInPandas(_one_by_one, "dir string, stem string, k long, again string").toDF(top, stem, k, again)
+        rows = rows.join(names, [top, stem, k], "left").withColumn(named, F.coalesce(again, named)).drop(again)
+    return rows.withColumn("rel_path", F.concat(top, F.lit("/"), named, F.lit("." + extension))).drop(top, stem, k, named, family)
 
 
 def _one_by_one(batches):
@@ -61,7 +61,7 @@ def _one_by_one(batches):
             else:
                 natural.add(name := stem)
             names.append(name)
-        yield pd.DataFrame({"row_id": part["row_id"], "again": names})
+        yield part[["dir", "stem", "k"]].assign(again=names)
 
 
 def planned_counts(planned: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import file_stem
-from .numbering import numbered
+from .numbering import fresh, numbered
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -32,10 +32,11 @@ def last_wins(batch: DataFrame, uuid: str = "uuid", order: str = "pos") -> DataF
 
 def unique_names(items: DataFrame, created_at: str = "created_at", name: str = "name", uuid: str = "uuid") -> DataFrame:
     """file_name: the stem alone if it is unique, else with -1, -2, ... by time and id."""
-    rows = numbered(items.withColumn("stem", file_stem(F.col(created_at), F.col(name))), ["stem"], [created_at, uuid])
-    shared = rows.where("k = 2").select("stem", F.lit(True).alias("shared"))
-    file_name = F.when(F.col("shared"), F.concat("stem", F.lit("-"), F.col("k").cast("string"))).otherwise(F.col("stem"))
-    return rows.join(shared, "stem", "left").withColumn("file_name", file_name).drop("stem", "k", "shared", "row_id")
+    stem, k, shared = fresh(items, "stem", "k", "shared")
+    rows = numbered(items.withColumn(stem, file_stem(F.col(created_at), F.col(name))), [stem], [created_at, uuid], k)
+    several = rows.where(F.col(k) == 2).select(stem, F.lit(True).alias(shared))
+    file_name = F.when(F.col(shared), F.concat(stem, F.lit("-"), F.col(k).cast("string"))).otherwise(F.col(stem))
+    return rows.join(several, stem, "left").withColumn("file_name", file_name).drop(stem, k, shared)
 
 
 def catalog_diff(catalog: DataFrame, disk: DataFrame, key: str = "path", facts: tuple[str, ...] = ("size", "modified", "content_hash")) -> DataFrame:

@@ -138,13 +138,25 @@ def test_numbers_inside_of_hot_groups(spark):
     rnd = random.Random(2)
     rows = [("hot" if k % 3 else None if k % 2 else f"g{k % 11}", rnd.randrange(500), k) for k in range(3000)]
     spark.conf.set("spark.sql.shuffle.partitions", "9")
-    got = numbered(spark.createDataFrame(rows, "g string, o int, k_ int").repartition(5), ["g"], ["o", "k_"]).collect()
+    df = spark.createDataFrame(rows, "g string, o int, k_ int").withColumns({"__n": F.lit(1), "__key_g": F.lit("mine")}).repartition(5)
+    got = [numbered(df, ["g"], ["o", "k_"], hot=h).collect() for h in (100, 1_000_000)]
     spark.conf.set("spark.sql.shuffle.partitions", "4")
     want = {}
     for g in {g for g, _, _ in rows}:
         for n, (_, _, k) in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: r[1:]), 1):
             want[k] = n
-    assert {r["k_"]: r["k"] for r in got} == want
+    for rows_ in got:
+        assert len(rows_) == len(rows) and {r["k_"]: r["k"] for r in rows_} == want and all((r["__n"], r["__key_g"]) == (1, "mine") for r in rows_)
+
+
+def test_plans_keep_the_items_own_columns(spark):
+    """Columns named as internal ones pass, in names of groups as well as in paths."""
+    own = ["k", "dir", "stem", "named", "family", "row_id", "again", "shared", "part_"]
+    items = spark.createDataFrame([(f"u{k}", "codex", "2024-01-01T00:00:00Z", n, "conversation", "h", "") for k, n in enumerate(["a", "a", "a-2", "b"])], "uuid string, provider string, created_at string, name string, item_type string, host string, email string")
+    items = items.withColumns({c: F.lit(f"own {c}") for c in own})
+    for got in (export.plan(items), upkeep.unique_names(items)):
+        rows = got.collect()
+        assert len(rows) == 4 and all(r[c] == f"own {c}" for r in rows for c in own)
 
 
 def test_names_that_clash_one_after_another(spark):
