@@ -1,7 +1,8 @@
 """The queries of this subpackage, and SQL for those that SQL can express."""
 
-from . import decontamination, hamming_search, url_filters, warc_archive
+from . import conversation_trie, decontamination, hamming_search, url_filters, warc_archive
 from .byte_bpe_codec import op11_byte_bpe_codec
+from .conversation_trie import op12_conversation_trie
 from .decontamination import op10_decontamination
 from .hamming_search import op5_hamming_search
 from .language_id import op3_language_id
@@ -13,11 +14,12 @@ from .token_counts import op1_token_counts
 from .url_filters import op9_url_filters
 from .warc_archive import op8_warc_archive
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_language_id, op4_quality_classifier, op5_hamming_search, op6_sentencepiece_codec, op7_simhash_dedup, op8_warc_archive, op9_url_filters, op10_decontamination, op11_byte_bpe_codec)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_language_id, op4_quality_classifier, op5_hamming_search, op6_sentencepiece_codec, op7_simhash_dedup, op8_warc_archive, op9_url_filters, op10_decontamination, op11_byte_bpe_codec, op12_conversation_trie)}
 
 ORACLE_SQL = {
     "op5_hamming_search": hamming_search.OP5_SQL,
     "op8_warc_archive": warc_archive.OP8_SQL,
     "op9_url_filters": url_filters.OP9_SQL,
     "op10_decontamination": decontamination.OP10_SQL,
+    "op12_conversation_trie": conversation_trie.OP12_SQL,
 }
