@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import permute
 from ..functions import text as T
+from . import literals
 from .numbering import kept
 
 # The patterns, by label.
@@ -91,11 +94,17 @@ def guard(found: DataFrame) -> DataFrame:
 
 
 def denylist(records: DataFrame, needles: list[str], line: str = "line", text: str = "text") -> DataFrame:
-    """needle, line of every record that holds it, without case. A configured list becomes expressions."""
+    """needle, line of every record that holds it, without case. A configured list becomes expressions; for
+    a table of needles see ``denylist_table``."""
     hits = F.array_compact(F.array(*[F.when(T.has_literal(F.col(text), n), F.lit(n)) for n in dict.fromkeys(filter(None, needles))]))
     return records.select(F.explode(hits).alias("needle"), F.col(line).alias("line"))
 
 
+def denylist_table(records: DataFrame, needles: DataFrame, line: str = "line", text: str = "text") -> DataFrame:
+    """The same for a table of needles (its first column) of any size."""
+    return literals.holding(records, text, needles, line).toDF("needle", "line")
+
+
 def entropy_tokens(records: DataFrame, least: float = 3.6, line: str = "line", text: str = "text") -> DataFrame:
     """token, first_line, entropy of long tokens that look random. Tokens are merged before they are measured."""
     tokens = records.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(TOKEN), F.lit(0))).alias("token"), F.col(line).alias("line"))
@@ -103,51 +112,85 @@ def entropy_tokens(records: DataFrame, least: float = 3.6, line: str = "line", t
     return distinct.where(~F.col("token").rlike(UUID) & ~F.col("token").rlike(HEX40)).withColumn("entropy", T.entropy(F.col("token"))).where(F.col("entropy") >= least)
 
 
-#: Ids as they stand inside of other text.
-ID_SHAPES = UUID.strip("^$") + r"|\b[0-9a-fA-F]{40}\b|\bcall_[A-Za-z0-9]+"
-#: Times that ids with a mask that is taken get another one.
-MASK_ROUNDS = 8
+#: Strings of a shape up to which its ids are masked in one task, and one in so many of them that an id may be
+#: in larger shapes for masks that avoid all ids.
+SMALL_SHAPE, SPARSE = 1 << 16, 8
+
 
+def own_ids(text: Column) -> Column:
+    """The ids that a log record gives: of the session and its commit, of a turn, of a call. Strings only."""
+    record = F.try_parse_json(text)
+
+    def field(at: str) -> Column:
+        value = F.try_variant_get(record, at, "variant")
+        return F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(record, at, "string"))
 
-def _own_ids(text: Column) -> Column:
-    """The ids that a log record gives: of the session and its commit, of a turn, of a call."""
-    field = lambda at: F.get_json_object(text, at)
     meta = field("$.type") == "session_meta"
     found = F.array_compact(F.array(F.when(meta, field("$.payload.id")), F.when(meta, field("$.payload.git.commit_hash")), field("$.payload.turn_id"), field("$.payload.call_id")))
     return F.filter(found, lambda i: i != "")
 
 
 def masks(ids: DataFrame, salt: str = "") -> DataFrame:
-    """id, mask: one mask for each different id, of its shape, no two alike and none that is an id itself."""
+    """id, mask: a mask of its shape for each different id, no two alike, whatever the ids' order.
+
+    A mask is the next string in its shape's permuted cycle; where that is an id itself, the cycle is
+    followed as one follows brackets, ids opening and other strings closing them, so that no two ids end at
+    one string. Masks then are no ids, if ids are few among the strings of their shape: at most half of
+    small shapes, one in ``SPARSE`` of larger ones. In a shape more crowded than that, masks are the next
+    strings as they are, one to one still. An id without a letter or digit of its own stays."""
     ids = kept(ids.select("id").where("id IS NOT NULL").distinct())
-    done, left = None, ids
-    for k in range(MASK_ROUNDS):
-        made = left.select("id", T.mask_token(F.col("id"), salt + "!" * k).alias("mask"))
-        free = made.groupBy("mask").agg(F.min("id").alias("id")).join(ids.select(F.col("id").alias("mask")), "mask", "left_anti")
-        free = free if done is None else free.join(done.select("mask"), "mask", "left_anti")
-        done = kept(free.select("id", "mask") if done is None else done.unionByName(free.select("id", "mask")))
-        left = kept(ids.join(done.select("id"), "id", "left_anti"))
-        if not left.limit(1).count():
-            return done
-    raise ValueError("ids too short to be masked apart")
-
-
-def redact_logs(records: DataFrame, key: list[str], text: str = "text", home: str = "", zone: str = "", salt: str = "") -> DataFrame:
-    """Logs whose records are known by ``key``: every id that any record gives is masked in all of them,
-    alike everywhere and different from all others; the rest as in ``redact``."""
-    table = masks(records.select(F.explode(_own_ids(F.col(text))).alias("id")), salt)
-    tokens = F.array_distinct(F.concat(_own_ids(F.col(text)), F.regexp_extract_all(F.col(text), F.lit(ID_SHAPES), F.lit(0))))
-    named = records.select(*key, F.explode(tokens).alias("id")).join(table, "id")
-    longest = F.sort_array(F.collect_list(F.struct(F.length("id").alias("n"), "id", "mask")), asc=False)
-    found = named.groupBy(*key).agg(longest.alias("masks_"))  # a record's own ids
-    joined = records.join(found, key, "left")
-    masked = F.aggregate(F.coalesce("masks_", F.array().cast("array<struct<n: int, id: string, mask: string>>")), _neutral(F.col(text), home, zone), lambda acc, m: F.replace(acc, m["id"], m["mask"]))
-    return joined.withColumn(text, masked).drop("masks_")
+
+    @F.pandas_udf("string")
+    def next_(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: permute.step(v, salt))
+
+    @F.pandas_udf("shape string, size double")
+    def shaped(values: pd.Series) -> pd.DataFrame:
+        shapes = values.map(permute.shape)
+        return pd.DataFrame({"shape": shapes, "size": shapes.map(lambda s: float(permute.size(s)))})
+
+    def small(group: pd.DataFrame) -> pd.DataFrame:
+        """All ids of a small shape."""
+        real, out = set(group["id"]), []
+        avoid = 2 * len(real) <= permute.size(permute.shape(group["id"].iloc[0]))
+        for value in group["id"]:
+            mask, open_ = permute.step(value, salt), 1
+            while avoid and (open_ := open_ + (1 if mask in real else -1)):
+                mask = permute.step(mask, salt)
+            out.append(mask)
+        return pd.DataFrame({"id": group["id"], "mask": out})
+
+    rows = kept(ids.withColumn("s", shaped("id")).select("id", "s.*"))
+    done = rows.where(F.col("size") <= SMALL_SHAPE).groupBy("shape").applyInPandas(small, "id string, mask string")  # SMALL_SHAPE rows at most
+    large = rows.where(F.col("size") > SMALL_SHAPE)
+    crowded = large.groupBy("shape", "size").agg(F.count("*").alias("n")).where(F.col("n") * SPARSE > F.col("size")).select("shape")
+    marked = large.join(crowded.withColumn("crowded", F.lit(True)), "shape", "left")
+    open_ = kept(marked.select("id", next_("id").alias("mask"), F.lit(1).alias("open"), F.col("crowded").isNotNull().alias("crowded")))
+    done = kept(done.unionByName(open_.where("crowded").select("id", "mask")))
+    open_ = open_.where("NOT crowded").drop("crowded")
+    real = ids.select(F.col("id").alias("mask"), F.lit(1).alias("real"))
+    while open_.limit(1).count():
+        at = kept(open_.join(real, "mask", "left").select("id", "mask", (F.col("open") + F.when(F.col("real").isNotNull(), 1).otherwise(-1)).alias("open")))
+        done = done.unionByName(at.where("open = 0").select("id", "mask"))
+        open_ = kept(at.where("open > 0").withColumn("mask", next_("mask")))
+    return done
+
+
+def redact_logs(records: DataFrame, text: str = "text", home: str = "", zone: str = "", salt: str = "", table: DataFrame | None = None) -> DataFrame:
+    """Logs with every id that any record gives masked in all of them, wherever it stands, alike everywhere and
+    different from all others; the rest as in ``redact``. ``table`` (id, mask) replaces the masks."""
+    if table is None:
+        table = masks(records.select(F.explode(own_ids(F.col(text))).alias("id")), salt)
+    masked = literals.replaced(records.withColumn(text, _at_home(F.col(text), home)), text, table.select("id", "mask"))
+    return masked.withColumn(text, _neutral(F.col(text), "", zone))
+
+
+def _at_home(c: Column, home: str) -> Column:
+    return F.regexp_replace(c, T.quoted(home), "/home/user") if home else c
 
 
 def _neutral(c: Column, home: str, zone: str) -> Column:
-    if home:
-        c = F.regexp_replace(c, T.quoted(home), "/home/user")
+    c = _at_home(c, home)
     if zone:
         c = F.regexp_replace(c, T.quoted(zone), TIMEZONE)
     c = F.regexp_replace(c, r'("(?:used_percent|window_minutes|resets_at|resets_in_seconds)"\s*:\s*)[0-9.]+', "$10")

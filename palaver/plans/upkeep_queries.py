@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import times
 from ..operators import analytics, export, pii, quality, upkeep
+from ..operators.numbering import kept
 from ..streaming import mirror
 from .common import read
 from .registry import query
@@ -249,7 +252,60 @@ def redacted_logs(spark, sf_dir):
     call = F.concat(F.lit('{"type":"response_item","payload":{"call_id":"'), cid, F.lit('","arguments":"resume '), sid, F.lit(" at "), commit, F.lit(" for "), cid, F.lit('"}}'))
     event = F.concat(F.lit('{"type":"event_msg","payload":{"turn_id":"'), tid, F.lit('","rate":{"used_percent": 12.5},"plan_type": "free","tz":"Europe/Rome"}}'))
     lines = c.select("conv_id", "turn", F.when(F.col("turn") == 0, meta).when(F.col("role") == "assistant", call).otherwise(event).alias("text"))
-    return pii.redact_logs(lines, ["conv_id", "turn"], home="/root", zone="Europe/Rome", salt="s")
+    ids = lines.select(F.explode(pii.own_ids(F.col("text"))).alias("id")).distinct()
+    return pii.redact_logs(lines, home="/root", zone="Europe/Rome", table=ids.withColumn("mask", T.mask_token(F.col("id"), "s")))
+
+
+_GATHERED = "EXISTS (SELECT 1 FROM conversations AS o WHERE o.conv_id = {0} AND {1})"
+_TURN, _CALL = "'turn-' || {0} || 'Q'", "'call_' || {0} || '-' || {1}"
+
+
+def _mask_if(condition: str, value: str) -> str:
+    return f"CASE WHEN {_GATHERED.format(*condition)} THEN 'm' || md5({value}) ELSE {value} END"
+
+
+@query(f"""
+WITH m AS (SELECT c.conv_id, c.turn, c.role, {_mask_if(("c.conv_id", "o.role = 'user'"), _TURN.format("c.conv_id"))} AS mine, {_mask_if(("c.conv_id + 1", "o.role = 'user'"), _TURN.format("(c.conv_id + 1)"))} AS other,
+  {_mask_if(("c.conv_id", "o.role = 'assistant' AND o.turn = c.turn"), _CALL.format("c.conv_id", "c.turn"))} AS call, {_mask_if(("c.conv_id + 1", "o.role = 'assistant' AND o.turn = c.turn + 1"), _CALL.format("(c.conv_id + 1)", "(c.turn + 1)"))} AS foreign_call FROM conversations AS c)
+SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN conv_id END AS session, CASE role WHEN 'user' THEN '{{"type":"event_msg","payload":{{"turn_id":"' || mine || '","note":"see ' || foreign_call || ' and ' || other || '"}}}}'
+  WHEN 'assistant' THEN '{{"type":"response_item","payload":{{"call_id":"' || call || '","arguments":"' || mine || mine || ', not ' || other || '"}}}}'
+  ELSE '{{"type":"event_msg","payload":{{"turn_id":7,"at":"2024-07-17T07:00:00Z","see":"' || other || '"}}}}' END AS text FROM m
+""")
+def quoted_logs(spark, sf_dir):
+    """Records, some under a null session, quote each other's ids: sequential ones, calls with hyphens; a numeric id masks nothing."""
+    c, text = read(spark, sf_dir, "conversations"), lambda *p: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in p])
+    conv, turn = F.col("conv_id"), F.col("turn")
+    mine, other = text("turn-", conv, "Q"), text("turn-", conv + 1, "Q")
+    user = text('{"type":"event_msg","payload":{"turn_id":"', mine, '","note":"see call_', conv + 1, "-", turn + 1, " and ", other, '"}}')
+    call = text('{"type":"response_item","payload":{"call_id":"call_', conv, "-", turn, '","arguments":"', mine, mine, ", not ", other, '"}}')
+    rest = text('{"type":"event_msg","payload":{"turn_id":7,"at":"2024-07-17T07:00:00Z","see":"', other, '"}}')
+    lines = c.select("conv_id", "turn", F.when(turn % 2 == 0, conv).alias("session"), F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", call).otherwise(rest).alias("text"))
+    ids = lines.select(F.explode(pii.own_ids(F.col("text"))).alias("id")).distinct()
+    return pii.redact_logs(lines, table=ids.select("id", F.concat(F.lit("m"), F.md5("id")).alias("mask")))
+
+
+@query("""
+WITH i AS (SELECT 'turn-' || doc_id AS id FROM documents UNION SELECT md5(doc_id::VARCHAR) FROM documents UNION SELECT 'call_' || chr(CAST(65 + doc_id % 26 AS INT)) || (doc_id % 7) FROM documents)
+SELECT id, length(id) AS length, regexp_replace(CASE WHEN id LIKE 'call#_%' ESCAPE '#' THEN substr(id, 6) ELSE id END, '[0-9A-Za-z]', '*', 'g') AS layout, 1 AS owners, false AS same, false AS real FROM i
+""")
+def permuted_masks(spark, sf_dir):
+    """Every id with what holds of its mask: layout, how many ids share it, whether it is the id or another one."""
+    d, doc = read(spark, sf_dir, "documents"), F.col("doc_id").cast("string")
+    ids = reduce(lambda a, b: a.union(b), [d.select(x.alias("id")) for x in (F.concat(F.lit("turn-"), doc), F.md5(doc), F.concat(F.lit("call_"), F.char(F.col("doc_id") % 26 + 65), (F.col("doc_id") % 7).cast("string")))]).distinct()
+    table = kept(pii.masks(ids, "s"))
+    owners = table.groupBy("mask").agg(F.count("*").cast("int").alias("owners"))
+    real = ids.select(F.col("id").alias("mask"), F.lit(True).alias("real"))
+    both = table.join(owners, "mask").join(real, "mask", "left")
+    tail = F.when(F.startswith("mask", F.lit("call_")), F.substring("mask", 6, 100)).otherwise(F.col("mask"))
+    return both.select("id", F.length("mask").cast("long").alias("length"), F.regexp_replace(tail, "[0-9A-Za-z]", "*").alias("layout"), "owners", (F.col("id") == F.col("mask")).alias("same"), F.coalesce("real", F.lit(False)).alias("real"))
+
+
+@query("SELECT 'Doc ' || b.doc_id AS needle, a.doc_id AS line FROM documents AS a JOIN documents AS b ON b.doc_id % 3 = 0 AND contains(lower(a.text || ' see DOC ' || (a.doc_id + 3)), lower('Doc ' || b.doc_id))")
+def denylist_many(spark, sf_dir):
+    """As many needles as a third of the documents, which refer to each other."""
+    d = read(spark, sf_dir, "documents")
+    lines = d.select(F.col("doc_id").alias("line"), F.concat("text", F.lit(" see DOC "), (F.col("doc_id") + 3).cast("string")).alias("text"))
+    return pii.denylist_table(lines, d.where("doc_id % 3 = 0").select(F.concat(F.lit("Doc "), F.col("doc_id").cast("string"))))
 
 
 # Data quality and scalars -------------------------------------------------------------------------

@@ -125,7 +125,7 @@ def test_logs_keep_no_id(spark):
         f'{{"type":"session_meta","payload":{{"id":"{sid}","git":{{"commit_hash":"{commit}"}}}}}}', '{"type":"event_msg","payload":{"turn_id":"7","call_id":"call_Zz9","plan_type" : "pro"}}',
         f'{{"type":"response_item","payload":{{"x":"call_Zz9 of {sid} and {commit}"}}}}', "not json", None,
     ]
-    got = {r["n"]: r["text"] for r in pii.redact_logs(spark.createDataFrame(list(enumerate(lines)), "n long, text string"), ["n"]).collect()}
+    got = {r["n"]: r["text"] for r in pii.redact_logs(spark.createDataFrame(list(enumerate(lines)), "n long, text string")).collect()}
     assert all(i not in (t or "") for t in got.values() for i in (sid, commit, "call_Zz9", '"7"', "pro")) and got[3] == "not json" and got[4] is None
     masked = got[0].split('"id":"')[1][:36]
     assert masked in got[2] and got[1].count("null") == 1
