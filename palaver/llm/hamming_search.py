@@ -1,7 +1,8 @@
 """Operator 5: exact top-k Hamming search by incremental multi-index hashing.
 
 Vectors become binary codes (the sign of each component). Rows with one code form a class; a class
-is searched once and keeps its k + 1 smallest ids, which is all that a top-k answer can use of it.
+is searched once and keeps its smallest ids: k, and as many as one asking id has codes (one, where ids are
+unique), which is all that a top-k answer can use of it.
 Codes are cut into segments, each indexed by its value. A round of radius r looks up, for each query
 that is still open, all segment values exactly r bits away, and verifies the full distance of what it
 meets. After it, every code closer than segments * (r + 1) has been met in some segment, so a query
@@ -10,8 +11,9 @@ smaller id. What lies farther than the kth nearest row met so far is dropped as
 
 Queries are the rows whose id is divisible by ``every``; a row is not its own neighbour. Null ids and
 null or empty vectors are left out; null components count as 0. Vectors of another length are cut or
-filled to ``bits``. With fewer than k other rows all of them are returned. Of several rows
-with one id, the one with the smallest code (as a signed number) counts.
+filled to ``bits``. With fewer than k other rows all of them are returned. Rows that agree in
+id and code count once. An id with several codes is found by each of them, never by itself, and where it
+asks, it gets the k nearest to any of them (a neighbour once for each of its codes).
 """
 
 from __future__ import annotations
@@ -53,9 +55,12 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50, vec_id: str = "vec_i
     """(query_id, rank from 1, neighbour_id, distance)."""
     usable = vectors.where(F.col(vec_id).isNotNull() & (F.size(vector) > 0))
     coded = usable.select(F.col(vec_id).alias("id"), binary_code(F.col(vector), bits).alias("code"))
-    rows = checkpointed(coded.groupBy("id").agg(F.min("code").alias("code")))
+    rows = checkpointed(coded.distinct())
+    queries = rows.where(F.col("id") % every == 0)
+    # What a query id's own rows may take of a list, besides the k that count.
+    most = k + (queries.groupBy("id").count().agg(F.max("count")).first()[0] or 1)
     lowest = F.row_number().over(Window.partitionBy("code").orderBy("id"))
-    members = rows.withColumn("n", lowest).where(F.col("n") <= k + 1)
+    members = rows.withColumn("n", lowest).where(F.col("n") <= most)
     classes = checkpointed(members.groupBy("code").agg(F.array_sort(F.collect_list("id")).alias("ids")))
     segments, spark = cut(bits, segment_count(classes.count(), bits)), vectors.sparkSession
 
@@ -64,10 +69,9 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50, vec_id: str = "vec_i
         return df.select("*", F.posexplode(F.array(*values)).alias("segment", "value"))
 
     def indexed() -> DataFrame:
-        return checkpointed(exploded(classes, "code").select("segment", "value", "code", F.least(F.size("ids"), F.lit(k + 1)).alias("many"), F.get("ids", F.lit(0)).alias("least")))
+        return checkpointed(exploded(classes, "code").select("segment", "value", "code", F.least(F.size("ids"), F.lit(most)).alias("many"), F.get("ids", F.lit(0)).alias("least")))
 
     index = indexed()
-    queries = rows.where(F.col("id") % every == 0)
     # `reach`: no code farther than this can be among the answers; null: not known yet.
     open_ = queries.select(F.col("code").alias("q")).distinct().withColumn("reach", F.lit(None).cast("int"))
     met = done = None
@@ -86,27 +90,26 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50, vec_id: str = "vec_i
         found = found.select("q", "code", "many", "least", distance.alias("distance")).distinct()
         if met is not None:
             found = found.unionByName(met.join(open_, "q", "left_semi")).distinct()
-        # k + 1 codes are enough: each has a row, and at one distance those with the smallest ids count.
-        met = checkpointed(found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1).drop("n"))
+        # So many codes are enough: each has a row, and at one distance those with the smallest ids count.
+        met = checkpointed(found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).drop("n"))
         bound, radius = max(bound, len(segments) * (radius + 1)), radius + 1
         rows_below = met.where(F.col("distance") < bound).groupBy("q").agg(F.sum("many").alias("rows"))
-        closed = rows_below.where(F.col("rows") >= k + 1).select("q") if bound <= bits else open_
+        closed = rows_below.where(F.col("rows") >= most).select("q") if bound <= bits else open_
         closed = checkpointed(closed)
         part = met.join(closed, "q", "left_semi")
         done = part if done is None else done.unionByName(part)
-        # The k + 1 nearest codes hold at least k + 1 rows, so the farthest of them bounds the answers.
+        # That many nearest codes hold at least as many rows, so the farthest of them bounds the answers.
         far = met.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("far"))
-        far = far.select("q", F.when(F.col("n") > k, F.col("far")).alias("reach"))
+        far = far.select("q", F.when(F.col("n") >= most, F.col("far")).alias("reach"))
         open_ = checkpointed(open_.select("q").join(closed, "q", "left_anti").join(far, "q", "left"))
         if not open_.limit(1).count():
             break
-    # Rows of the nearest classes, cut to k + 1 for each query code, then without the query itself.
+    # Rows of the nearest classes for each query code, then without the rows of the query's own id.
     near = done.join(classes, "code").select("q", "distance", F.explode("ids").alias("id"))
-    nearest = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("n") <= k + 1)
-    answers = checkpointed(nearest.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("distance", "id"))).alias("near")))
-    asked = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).distinct().join(answers, "q")
-    others = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
-    return asked.select("query_id", F.posexplode(others).alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), F.col("x.id").alias("neighbour_id"), F.col("x.distance").alias("distance"))
+    nearest = near.withColumn("n", F.row_number().over(Window.partitionBy("q").orderBy("distance", "id"))).where(F.col("n") <= most)
+    asked = queries.select(F.col("id").alias("query_id"), F.col("code").alias("q")).join(checkpointed(nearest), "q").where("id <> query_id")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "id"))
+    return asked.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias("neighbour_id"), "distance")
 
 
 def _masks(width: int, radius: int) -> list[int]:
@@ -122,7 +125,7 @@ def _sql_code() -> str:
 
 
 OP5_SQL = f"""
-WITH c AS (SELECT vec_id, CAST({_sql_code()} AS UBIGINT) AS code FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+WITH c AS (SELECT DISTINCT vec_id, CAST({_sql_code()} AS UBIGINT) AS code FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
 ), d AS (
   SELECT q.vec_id AS query_id, c.vec_id AS neighbour_id, CAST(bit_count(xor(q.code, c.code)::BIT) AS INTEGER) AS distance
   FROM c AS q JOIN c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0

@@ -131,3 +131,19 @@ def test_top_k(spark, monkeypatch, k, masks):
         want[q] = [(n, d, i) for n, (d, i) in enumerate(near, 1)]
     assert {q: sorted(v) for q, v in got.items()} == want
     assert hamming_search.top_k(df.where(F.lit(False))).count() == 0
+
+
+def test_ids_with_several_codes_are_those_of_the_sql(spark, tmp_path):
+    """Ids of differing vectors, asking and found, and null components, against the query's own SQL."""
+    import duckdb
+
+    rnd = np.random.default_rng(5)
+    rows = [(int(i) * 5, [float(x) for x in rnd.normal(size=64)], 0) for i in rnd.integers(0, 60, 300)]
+    rows += [(0, rows[1][1], 0), (0, rows[2][1], 0), (50, [None, 1.0] * 32, 0), (7, [None] * 64, 0), (51, rows[1][1], 0)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = hamming_search.op5_hamming_search(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    columns = ", ".join(got.columns)
+    # Of one neighbour at one distance, which of its codes comes first is open, but the rows are the same.
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(f"SELECT {columns} FROM ({hamming_search.OP5_SQL})").fetchall())

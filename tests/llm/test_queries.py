@@ -78,24 +78,6 @@ def test_near_duplicates(spark, docs):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in rows} == {i: (f"{f:016x}", least[parts[f]]) for i, f in prints.items()}
 
 
-def test_pipeline_is_its_stages_by_hand(spark, docs, library):
-    trees = quality_classifier.fit(read(spark, DATA, "documents"), read(spark, DATA, "labels"))
-    left = [i for i in sorted(docs) if walked(trees, [quality_classifier.statistics(docs[i]["text"])])[0] >= corpus_pipeline.QUALITY]
-    model = language_id.fit(read(spark, DATA, "documents"))
-    bits = model.lengths([docs[i]["text"] for i in left])
-    best = 1 / np.exp2(bits.min(axis=1, keepdims=True) - bits).sum(axis=1)
-    left = [i for i, p in zip(left, best, strict=True) if p >= corpus_pipeline.CONFIDENCE and any(c.isalpha() for c in docs[i]["text"])]
-    prints = {i: brute_fingerprint(docs[i]["text"]) for i in left}
-    parts = brute_components(sorted(set(prints.values())), lambda a, b: (a ^ b).bit_count() <= 4)
-    first = {}
-    for i in left:
-        first.setdefault(parts[prints[i]], i)
-    items = [(r["item_id"], r["text"]) for r in read(spark, DATA, "benchmark").collect()]
-    left = [i for i in first.values() if not brute_leak(docs[i]["text"], items)[2]]
-    got = corpus_pipeline.run(spark, DATA).collect()
-    assert {r["doc_id"]: r["token_ids"] for r in got} == {i: library.encode(docs[i]["text"]) for i in left}
-
-
 def test_stages_keep_the_columns(spark):
     before = read(spark, DATA, "documents").selectExpr("*", "1 AS __score", "2 AS score", "3 AS __said", "4 AS fp")
     for _, stage in corpus_pipeline.STAGES[:-1]:
