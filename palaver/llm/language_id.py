@@ -8,11 +8,13 @@ shortest code for the whole text wins; the score is its share of 2 ** -length ov
 
 Texts are lower-cased. The fit takes, per language, about ``rows`` texts of any length (chosen by hash of
 id and text; fewer where there are very many languages), of equal ones one; counts are summed on Spark.
-Of the four-byte contexts at most ``most_grams`` over all languages are kept, each language's most
-frequent ones, which bounds what comes to the driver and is broadcast. Costs of all contexts are tabled
-beforehand, so scoring looks up one four-byte table for each byte, and shorter ones where it fails.
-Over ``MOST_LANGUAGES`` languages are refused: their tables of two-byte contexts (0.5 MB each) would
-no longer fit a task.
+Costs are tabled beforehand. A small model has a row with all languages for each four-byte number, so
+that scoring is one lookup a byte. A larger one (``SparseModel``) keeps only what each language has seen
+and falls back through its escapes. Its size is bounded: 0.5 MB of two-byte contexts a language, at most
+``MOST_LANGUAGES`` of them (more are refused), and ``most_grams`` entries for each of three tables: costs of
+four- and three-byte numbers, escapes of three-byte contexts. Where more were counted, each language keeps as
+many as all can have, its most frequent ones. Totals, followers and all shorter orders are counted
+before that cut: what is cut costs as if unseen in that one context, and nothing else changes.
 
 Null texts and texts without a letter are ``und`` with score 0; ties go to the first language in
 order; without any labelled row every text is ``und``. Repeated rows are scored each; very long texts are
@@ -29,8 +31,10 @@ from pyspark.sql import functions as F
 from .common import checkpointed, fresh, held_out, read, sampled, small_batches
 
 ROWS = 1500
-#: Sampled texts over all languages, four-byte contexts over all languages, languages.
-MOST_ROWS, MOST_GRAMS, MOST_LANGUAGES = 100_000, 4_000_000, 256
+#: Sampled texts over all languages, entries of a table over all languages (16 to 40 bytes each), languages.
+MOST_ROWS, MOST_GRAMS, MOST_LANGUAGES = 100_000, 3_000_000, 256
+#: Bytes of tables up to which rows with all languages are kept.
+DENSE_BYTES = 128 << 20
 ORDER = 3
 PAD = b"\n" * ORDER
 #: Bytes looked up at once.
@@ -160,6 +164,112 @@ class Model:
         return out
 
 
+class Entries:
+    """Bits by number and language, only where there are some."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray]]):
+        """``parts``: for each language (numbers, bits)."""
+        keys = np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        new = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        self.table = Table(keys[new])
+        self.start = np.append(new, len(keys)).astype(np.int32)
+        self.language = np.repeat(np.arange(len(parts)), [len(k) for k, _ in parts]).astype(np.uint8)[order]
+        self.bits = np.concatenate([b for _, b in parts]).astype(np.float32)[order] if parts else np.zeros(0, np.float32)
+
+    def put(self, out: np.ndarray, keys: np.ndarray, add: bool = False) -> None:
+        """Into rows of ``out``, one for each key: replaces, or adds to, what stands there."""
+        row = self.table.find(keys)
+        hit = np.flatnonzero(row >= 0)
+        start = self.start[row[hit]]
+        many = self.start[row[hit] + 1] - start
+        at = np.repeat(hit, many)
+        which = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(start, many)
+        if add:
+            out[at, self.language[which]] += self.bits[which]
+        else:
+            out[at, self.language[which]] = self.bits[which]
+
+
+def _escape(total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    return np.where(kinds > 0, -np.log2(np.maximum(kinds, 1) / np.maximum(total + kinds, 1)), 0)
+
+
+class SparseModel(Model):
+    """The same trees by what was seen. ``two``: by language the counts of two-byte numbers, totals and followers of
+    two-byte contexts (65,536 each); ``four``, ``three``, ``escapes``: by language (numbers, bits)."""
+
+    def __init__(self, languages: list[str], two: list[tuple], four: list[tuple], three: list[tuple], escapes: list[tuple]):
+        self.languages = languages
+        self.cost2 = np.zeros((1 << 16, len(languages)), np.float32)
+        self.escape2 = np.zeros((1 << 16, len(languages)), np.float32)
+        for j, (n2, total, kinds) in enumerate(two):
+            n2 = n2.reshape(256, 256)
+            n1 = n2.sum(axis=0)
+            all_, different = n1.sum(), (n1 > 0).sum()
+            cost = np.where(n1 > 0, -np.log2(np.maximum(n1, 1) / (all_ + different)), 8 - np.log2(different / (all_ + different)))
+            self.cost2[:, j] = _shorter(n2, np.broadcast_to(cost, (256, 256)))[1].reshape(-1)
+            self.escape2[:, j] = _escape(total, kinds)
+        self.four, self.three, self.escapes = Entries(four), Entries(three), Entries(escapes)
+
+    @classmethod
+    def of(cls, counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> SparseModel:
+        """From all four-byte counts, uncut."""
+        languages = sorted(counts)
+        two, four, three, escapes = [], [], [], []
+        for name in languages:
+            gram, n = (x.astype(np.int64) for x in counts[name])
+            g3, n3 = _summed(gram & 0xFFFFFF, n)
+            total2, kinds2 = (np.bincount(g3 >> 8, weights=w, minlength=1 << 16) for w in (n3, np.ones(len(g3))))
+            two.append((np.bincount(g3 & 0xFFFF, weights=n3, minlength=1 << 16), total2, kinds2))
+            three.append((g3, -np.log2(n3 / (total2 + kinds2)[g3 >> 8])))
+            context, total = _summed(gram >> 8, n)
+            at = np.searchsorted(context, gram >> 8)
+            kinds = np.bincount(at, minlength=len(context))
+            escapes.append((context, _escape(total, kinds)))
+            four.append((gram, -np.log2(n / (total + kinds)[at])))
+        return cls(languages, two, four, three, escapes)
+
+    def costs(self, gram: np.ndarray) -> np.ndarray:
+        out = np.empty((len(gram), len(self.languages)), np.float32)
+        step = max(1024, (4 * SLICE) // max(4, len(self.languages)))  # the expanded entries of a step stay small
+        for a in range(0, len(gram), step):
+            g = gram[a : a + step].astype(np.int64)
+            part = self.escape2[(g >> 8) & 0xFFFF] + self.cost2[g & 0xFFFF]
+            self.three.put(part, g & 0xFFFFFF)
+            self.escapes.put(part, g >> 8, add=True)
+            self.four.put(part, g)
+            out[a : a + step] = part
+        return out
+
+    def nbytes(self) -> int:
+        tables = [x for e in (self.four, self.three, self.escapes) for x in (e.start, e.language, e.bits, e.table.slots, e.table.rows)]
+        return sum(x.nbytes for x in [self.cost2, self.escape2, *tables])
+
+
+def model_of(counts: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
+    """The smaller form where rows with all languages would be large."""
+    keys4 = len(_union([g for g, _ in counts.values()], 0))
+    keys3 = min(2 * keys4, 1 << 24)
+    return Model(counts) if (keys4 + 2 * keys3) * 4 * len(counts) <= DENSE_BYTES else SparseModel.of(counts)
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    out, back = np.unique(keys, return_inverse=True)
+    return out, np.bincount(back, weights=n, minlength=len(out)).astype(np.int64)
+
+
+def quota(sizes: list[int], most: int) -> int:
+    """So many entries each language may keep that all together are at most ``most``."""
+    left, many = most, len(sizes)
+    for size in sorted(sizes):
+        if size * many > left:
+            return left // many
+        left, many = left - size, many - 1
+    return max(sizes, default=0)
+
+
 def _union(arrays: list[np.ndarray], _: int) -> np.ndarray:
     return np.unique(np.concatenate([a.astype(np.int64) for a in arrays])) if arrays else np.zeros(0, np.int64)
 
@@ -208,12 +318,51 @@ def fit(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str =
                 gram, n = count_grams(list(group["t"]))
                 yield pd.DataFrame({"l": name, "g": gram.astype(np.int64), "n": n})
 
-    counts = checkpointed(sample.mapInPandas(count, "l string, g long, n long").groupBy("l", "g").agg(F.sum("n").alias("n")))
-    if counts.count() > most_grams:
-        rank = F.row_number().over(Window.partitionBy("l").orderBy(F.desc("n"), "g"))
-        counts = counts.withColumn("rank", rank).where(F.col("rank") <= max(1, most_grams // len(have))).drop("rank")
-    found = counts.toPandas()
-    return Model({name: (g["g"].to_numpy(), g["n"].to_numpy()) for name, g in found.groupby("l")})
+    names = sorted(have)
+    number = F.lit(-1)
+    for j, name in enumerate(names):
+        number = F.when(F.col("l") == name, j).otherwise(number)
+    counts = checkpointed(sample.mapInPandas(count, "l string, g long, n long").groupBy(number.alias("j"), "g").agg(F.sum("n").alias("n")))
+    if counts.count() <= most_grams:
+        found = counts.toPandas()  # numbers only
+        return model_of({names[j]: (g["g"].to_numpy(), g["n"].to_numpy()) for j, g in found.groupby("j")})
+    return _cut_model(names, counts, most_grams)
+
+
+def _cut_model(names: list[str], counts: DataFrame, most: int) -> SparseModel:
+    """Costs and escapes are made on Spark from all counts (j, g, n); only the most frequent ones come here."""
+    bits = lambda part, whole: -F.log2(F.col(part) / F.col(whole))
+    three = checkpointed(counts.groupBy("j", F.col("g").bitwiseAND(0xFFFFFF).alias("g")).agg(F.sum("n").alias("n")))
+    above4 = counts.groupBy("j", F.shiftright("g", 8).alias("c")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    above4 = checkpointed(above4.withColumn("both", F.col("total") + F.col("kinds")))
+    above3 = three.groupBy("j", F.shiftright("g", 8).alias("c")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+    above3 = checkpointed(above3.withColumn("both", F.col("total") + F.col("kinds")))
+
+    def most_frequent(rows: DataFrame, key: str, by: str) -> DataFrame:
+        sizes = [r["count"] for r in rows.groupBy("j").count().collect()]
+        if sum(sizes) <= most:
+            return rows
+        rank = F.row_number().over(Window.partitionBy("j").orderBy(F.desc(by), key))
+        return rows.withColumn("rank", rank).where(F.col("rank") <= quota(sizes, most)).drop("rank")
+
+    def arrays(rows: DataFrame) -> list[tuple]:
+        by = {j: (g["k"].to_numpy(np.int64), g["bits"].to_numpy()) for j, g in rows.toPandas().groupby("j")}
+        return [by.get(j, (np.zeros(0, np.int64), np.zeros(0))) for j in range(len(names))]
+
+    def of(rows: DataFrame, above: DataFrame) -> list[tuple]:
+        rows = most_frequent(rows, "g", "n").withColumn("c", F.shiftright("g", 8)).join(above, ["j", "c"])
+        return arrays(rows.select("j", F.col("g").alias("k"), bits("n", "both").alias("bits")))
+
+    def dense(rows: DataFrame, key: str, value: str) -> list[np.ndarray]:
+        out = [np.zeros(1 << 16) for _ in names]
+        for j, g in rows.select("j", key, value).toPandas().groupby("j"):  # 65,536 rows a language at most
+            out[j][g[key].to_numpy(np.int64)] = g[value].to_numpy()
+        return out
+
+    n2 = three.groupBy("j", F.col("g").bitwiseAND(0xFFFF).alias("g")).agg(F.sum("n").alias("n"))
+    two = list(zip(dense(n2, "g", "n"), dense(above3, "c", "total"), dense(above3, "c", "kinds"), strict=True))
+    escapes = arrays(most_frequent(above4, "c", "total").select("j", F.col("c").alias("k"), bits("kinds", "both").alias("bits")))
+    return SparseModel(names, two, of(counts, above4), of(three, above3), escapes)
 
 
 def predict(text: Column, model: Model, spark) -> Column:

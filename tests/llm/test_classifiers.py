@@ -54,6 +54,99 @@ def test_code_lengths_are_those_of_the_trees():
     language_id.SLICE = old
 
 
+def trees_of(texts):
+    counts = {}
+    for t in texts:
+        data = language_id.PAD + t.encode()
+        for at in range(3, len(data)):
+            for order in range(4):
+                c = counts.setdefault(data[at - order : at], {})
+                c[data[at]] = c.get(data[at], 0) + 1
+    return counts
+
+
+def made_up(languages, texts, seed):
+    """Texts of languages with syllables of their own and some in common."""
+    rnd = random.Random(seed)
+    out = {}
+    for k in range(languages):
+        own = ["".join(rnd.choice("abcdefghijklmnopqrstuvwxyzéüßøłş") for _ in range(rnd.randint(1, 3))) for _ in range(60)]
+        out[f"l{k:03d}"] = [" ".join("".join(rnd.choice(own) for _ in range(rnd.randint(1, 3))) for _ in range(30)) for _ in range(texts)]
+    return out
+
+
+def test_sparse_tables_are_the_dense_ones():
+    texts = made_up(5, 8, 1)
+    arrays = {name: language_id.count_grams(t) for name, t in texts.items()}
+    sparse = language_id.SparseModel.of(arrays)
+    asked = [*texts["l001"], "zzz", "", "\x00 qxj 日本", *texts["l004"]]
+    got = sparse.lengths(asked)
+    assert np.allclose(got, language_id.Model(arrays).lengths(asked), rtol=1e-5)
+    trees = {name: trees_of(t) for name, t in texts.items()}
+    assert np.allclose(got[:12], [[ppm_bits(trees[n], language_id.PAD + t.encode()) for n in sorted(texts)] for t in asked[:12]], rtol=1e-4)
+
+
+def test_two_hundred_languages_stay_small():
+    """The stated size: 0.5 MB a language and 40 bytes an entry of the three tables."""
+    texts = made_up(200, 3, 2)
+    arrays = {name: language_id.count_grams(t) for name, t in texts.items()}
+    old, language_id.DENSE_BYTES = language_id.DENSE_BYTES, 1 << 20
+    model = language_id.model_of(arrays)
+    language_id.DENSE_BYTES = old
+    assert isinstance(model, language_id.SparseModel)
+    entries = sum(len(e.bits) for e in (model.four, model.three, model.escapes))
+    assert model.nbytes() <= 200 * (1 << 19) + 40 * entries + (1 << 16)
+    asked = [texts[n][0] for n in ("l000", "l077", "l199")]
+    trees = {name: trees_of(t) for name, t in texts.items()}
+    want = [[ppm_bits(trees[n], language_id.PAD + t.encode()) for n in sorted(texts)] for t in asked]
+    assert np.allclose(model.lengths(asked), want, rtol=1e-4)
+
+
+@pytest.mark.parametrize("most", [10**9, 1500, 300])
+def test_a_cut_leaves_shorter_orders_alone(spark, monkeypatch, most):
+    """With all entries the trees; with a cut, followers that were cut cost as unseen ones, by trees written out."""
+    monkeypatch.setattr(language_id, "DENSE_BYTES", 0)
+    texts = made_up(3, 12, 3)
+    rows = [(5 * k + 1 + j, t, name) for j, (name, part) in enumerate(texts.items()) for k, t in enumerate(part)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, most_grams=most)
+    learned = {name: [t for i, t, n in rows if n == name and zlib.crc32(str(i).encode()) % 5] for name in texts}
+    trees = {name: trees_of(t) for name, t in learned.items()}
+    sizes = {order: [sum(len(f) for c, f in trees[n].items() if len(c) == order) for n in texts] for order in (2, 3)}
+    contexts = [sum(len(c) == 3 for c in trees[n]) for n in texts]
+
+    def bits(name, data):
+        """As ppm_bits, but for what was cut."""
+        tree, total = trees[name], 0.0
+        top = lambda rows, sizes: {k for k, _ in sorted(rows.items(), key=lambda x: (-x[1], x[0]))[: language_id.quota(sizes, most) if sum(sizes) > most else None]}
+        kept = {o: top({c + bytes([f]): n for c, fs in tree.items() if len(c) == o for f, n in fs.items()}, sizes[o]) for o in (2, 3)}
+        escapes = top({c: sum(f.values()) for c, f in tree.items() if len(c) == 3}, contexts)
+        for at in range(3, len(data)):
+            s = data[at]
+            for order in (3, 2, 1, 0):
+                c = data[at - order : at]
+                seen = tree.get(c)
+                if seen is None:
+                    continue
+                n, kinds = sum(seen.values()), len(seen)
+                if s in seen and (order < 2 or c + bytes([s]) in kept[order]):
+                    total -= math.log2(seen[s] / (n + kinds))
+                    break
+                if order < 3 or c in escapes:
+                    total -= math.log2(kinds / (n + kinds))
+            else:
+                total += 8
+        return total
+
+    asked = [texts["l000"][0], texts["l002"][5], "zzz é"]
+    want = [[bits(n, language_id.PAD + t.encode()) for n in sorted(texts)] for t in asked]
+    assert np.allclose(model.lengths(asked), want, rtol=1e-4)
+
+
+def test_quota():
+    assert language_id.quota([5, 5, 5], 100) == 5 and language_id.quota([1, 10, 100], 31) == 20 and language_id.quota([10, 10], 7) == 3 and language_id.quota([], 5) == 0
+
+
 def test_language(spark, odd_docs, no_docs):
     rnd = random.Random(1)
     train = [(k, " ".join(word(rnd, lang) for _ in range(40)), lang) for k, lang in enumerate(["en", "fr", "de"] * 60)]
