@@ -11,10 +11,11 @@ last; which ones is only a matter of speed, so they are counted in a sample of t
 A shingle that several prefixes hold stands for the smallest set that has it, its lead; from then on only
 (lead, set) matters, a few rows for each set. Round one compares each set with the lead it shares most
 shingles with, and SimHash's links. The rounds after it take, under each lead, the sets of different
-components: in tiles of bounded size, counts of shingles in ``BUCKETS`` parts of the hashes bound each
+components: in tiles of bounded size, counts of shingles in parts of the hashes (``BUCKETS``, or more for a long text, so
+that a part holds ``FILL`` shingles at most, on average) bound each
 pair's similarity from above, and only pairs that can reach it leave the task: in round two those that
-likely join the most components, in round three all that are left. Every pair is verified by the
-shingles of its texts. So a large group of near copies never becomes all its pairs,
+likely join the most components, in round three all that are left. Every pair is verified by its two sets of
+shingles, the pairs of one set together. So a large group of near copies never becomes all its pairs,
 and the lead of a shingle that very many sets share is found by a minimum in each task.
 
 Null texts and texts without words are copies of each other; a text of fewer words has one shingle. Null
@@ -42,8 +43,10 @@ RADIUS = 4
 SAMPLE, COMMON, MOST_COMMON = 8, 8, 200_000
 #: The rows of a shingle of more than so many sampled prefixes are not shuffled by it.
 HOT = 2000
-#: Parts of the hashes that are counted for the bound on a pair's similarity.
-BUCKETS = 256
+#: Parts of the hashes that are counted for the bound on a pair's similarity, at least, and shingles of a part, at most.
+BUCKETS, FILL = 256, 8
+#: The pairs of one set are verified in up to so many tasks.
+SPREAD = 16
 #: Sets of a lead that are compared in one task at once, and pairs of them bounded in one step.
 TILE, STEP = 1024, 1 << 16
 #: Texts that a task remembers in order to give the keys of a copy once only.
@@ -82,14 +85,25 @@ def alike(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
 
 
 def sketch(found: np.ndarray) -> bytes:
-    """How many shingles fall into each bucket; 255 stands for any more."""
-    counts = np.bincount((found % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
+    """How many shingles fall into each part, 255 standing for any more; the parts are a power of two."""
+    parts = BUCKETS
+    while parts * FILL < len(found):
+        parts *= 2
+    counts = np.bincount((found % np.uint64(parts)).astype(np.int64), minlength=parts)
     return np.minimum(counts, 255).astype(np.uint8).tobytes()
 
 
+def folded(rows: np.ndarray, parts: int) -> np.ndarray:
+    """Sketches (rows) in fewer parts. A full part stays full."""
+    while rows.shape[1] > parts:
+        a, b = (rows[:, k : k + rows.shape[1] // 2].astype(np.uint16) for k in (0, rows.shape[1] // 2))
+        rows = np.where((a == 255) | (b == 255), 255, np.minimum(a + b, 255)).astype(np.uint8)
+    return rows
+
+
 def possible(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sets with these sketches (rows of x and y) can be similar enough: no bucket holds more
-    common shingles than the lesser of its counts. Full buckets say nothing."""
+    """Whether sets with these sketches (rows of x and y) can be similar enough: no part holds more
+    common shingles than the lesser of its counts. Full parts say nothing."""
     full = ((x == 255) | (y == 255)).any(axis=1)
     both = np.minimum(x, y).sum(axis=1, dtype=np.int64)
     least = Fraction(str(similarity))
@@ -97,8 +111,35 @@ def possible(x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
     return full | (both * least.denominator >= either * least.numerator)
 
 
-def _rows_of(sketches: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches), np.uint8).reshape(-1, BUCKETS)
+class Sketches:
+    """Sketches of several widths, and pairs of them at the lesser one's width."""
+
+    def __init__(self, raw: list[bytes]):
+        self.raw, self.width = raw, np.array([len(r) for r in raw], np.int64)
+
+    def rows(self, at: np.ndarray, parts: int) -> np.ndarray:
+        """Those at these places (of one width), folded to so many parts."""
+        one, back = np.unique(at, return_inverse=True)
+        matrix = np.frombuffer(b"".join(self.raw[k] for k in one.tolist()), np.uint8).reshape(len(one), -1)
+        return folded(matrix, parts)[back]
+
+    def pairs(self, x: np.ndarray, y: np.ndarray):
+        """(places in x and y, rows of x, rows of y) for pairs whose sketches have the same widths, some MB at a time."""
+        wide = (self.width[x] << 32) | self.width[y]
+        for kind in np.unique(wide).tolist():
+            which = np.flatnonzero(wide == kind)
+            parts = min(kind >> 32, kind & 0xFFFFFFFF)
+            step = max(1, STEP * BUCKETS // max(kind >> 32, kind & 0xFFFFFFFF))
+            for k in range(0, len(which), step):
+                p = which[k : k + step]
+                yield p, self.rows(x[p], parts), self.rows(y[p], parts)
+
+    def possible(self, x: np.ndarray, y: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+        """By pair: can it be similar enough, and how many shingles can be common."""
+        ok, both = np.zeros(len(x), bool), np.zeros(len(x), np.int64)
+        for p, a, b in self.pairs(x, y):
+            ok[p], both[p] = possible(a, b, similarity), np.minimum(a, b).sum(axis=1, dtype=np.int64)
+        return ok, both
 
 
 def common_shingles(docs: DataFrame, text: str, words: int, similarity: float) -> list[tuple[int, int]]:
@@ -185,12 +226,13 @@ def lead_rows(rows: DataFrame, common: list[tuple[int, int]]) -> DataFrame:
     return compacted(found.groupBy("lead", "sid").agg(F.count("*").alias("shared")))
 
 
-def candidates(group: np.ndarray, sid: np.ndarray, n: np.ndarray, part: np.ndarray, second: np.ndarray, cross: np.ndarray, sketches: np.ndarray, similarity: float, forest: bool):
+def candidates(group: np.ndarray, sid: np.ndarray, n: np.ndarray, part: np.ndarray, second: np.ndarray, cross: np.ndarray, sketches: list[bytes], similarity: float, forest: bool):
     """Pairs (a, b) of a group, in different parts, that can be similar enough; with ``forest`` only those
     that join parts not yet joined, likely ones first. ``group`` is sorted."""
     least = Fraction(str(similarity))
     order = np.lexsort((n, group))
-    group, sid, n, part, second, cross, sketches = (x[order] for x in (group, sid, n, part, second, cross, sketches))
+    group, sid, n, part, second, cross = (x[order] for x in (group, sid, n, part, second, cross))
+    sketches = Sketches([sketches[k] for k in order.tolist()])
     # Beginning and end of the sets at least as large as each, and not too large for it.
     edges = np.append(np.flatnonzero(np.append(True, group[1:] != group[:-1])), len(group))
     ends = np.empty(len(group), np.int64)
@@ -208,8 +250,7 @@ def candidates(group: np.ndarray, sid: np.ndarray, n: np.ndarray, part: np.ndarr
         left, right = left[ok], right[ok]
         for k in range(0, len(left), STEP):
             x, y = left[k : k + STEP], right[k : k + STEP]
-            both = np.minimum(sketches[x], sketches[y]).sum(axis=1, dtype=np.int64)
-            ok = possible(sketches[x], sketches[y], similarity)
+            ok, both = sketches.possible(x, y, similarity)
             if forest:
                 likely = np.flatnonzero(ok)
                 likely = likely[np.argsort(-(both / np.maximum(n[x], n[y]))[likely], kind="stable")]
@@ -246,27 +287,43 @@ def _second_round(under: DataFrame, sets: DataFrame, parts: DataFrame, similarit
 
     def find(batches):
         for p in whole_groups(batches):
-            yield from candidates(*(p[c].to_numpy() for c in ("g", "sid", "n", "part", "second", "cross")), _rows_of(p["sketch"]), similarity, forest)
+            yield from candidates(*(p[c].to_numpy() for c in ("g", "sid", "n", "part", "second", "cross")), list(p["sketch"]), similarity, forest)
 
     return full.mapInPandas(find, "a long, b long").distinct()
 
 
 def _verified(docs: DataFrame, text: str, pairs: DataFrame, sets: DataFrame, words: int, similarity: float) -> DataFrame:
-    """Those of ``pairs`` (a, b) that are similar enough, by the shingles of their texts."""
+    """Those of ``pairs`` (a, b) that are similar enough. The shingles of each set are made once; a task gets those of
+    ``a`` once and those of each ``b`` after them, and holds two sets at a time."""
     needed = sets.join(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "sid", "left_semi").select("mark", "sid")
     needed = compacted(needed)
     sent = F.broadcast(needed) if needed.count() <= MOST_SENT else needed
     texts = docs.select(F.xxhash64(text).alias("mark"), F.col(text).alias("text")).join(sent, "mark")
-    known = checkpointed(texts.groupBy("sid").agg(F.any_value("text").alias("text")))
-    for c in ("a", "b"):
-        pairs = pairs.join(known.select(F.col("sid").alias(c), F.col("text").alias(f"text_{c}")), c)
 
-    @F.pandas_udf("boolean")
-    def verified(a: pd.Series, b: pd.Series) -> pd.Series:
-        found = {t: shingles(t, words) for t in {*a, *b}}
-        return pd.Series([alike(found[x], found[y], similarity) for x, y in zip(a, b, strict=True)], dtype=bool)
+    @F.pandas_udf("binary")
+    def hashed(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingles(t, words).tobytes() for t in texts], dtype=object)
+
+    one = texts.groupBy("sid").agg(F.any_value("text").alias("text"))
+    known = checkpointed(one.select("sid", hashed("text").alias("shingles")))
+    dealt = pairs.withColumn("share", F.pmod(F.xxhash64("b"), F.lit(SPREAD)).cast("int"))
+    heads = dealt.select("a", "share").distinct().join(known.withColumnRenamed("sid", "a"), "a").select("a", "share", F.lit(True).alias("head"), F.col("a").alias("b"), "shingles")
+    tails = dealt.join(known.withColumnRenamed("sid", "b"), "b").select("a", "share", F.lit(False).alias("head"), "b", "shingles")
+    rows = heads.unionByName(tails).repartition("a", "share").sortWithinPartitions("a", "share", F.desc("head"), "b")
+
+    def verified(batches):
+        mine = None
+        for part in batches:
+            out = []
+            for a, head, b, raw in zip(part["a"], part["head"], part["b"], part["shingles"], strict=True):
+                found = np.frombuffer(raw, np.uint64)
+                if head:
+                    mine = found
+                elif alike(mine, found, similarity):
+                    out.append((a, b))
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return compacted(pairs.where(verified("text_a", "text_b")).select("a", "b"))
+    return compacted(rows.select("a", "head", "b", "shingles").mapInPandas(verified, "a long, b long"))
 
 
 def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
@@ -290,7 +347,8 @@ def similar_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", w
 
     @F.pandas_udf("boolean")
     def may(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(possible(_rows_of(a), _rows_of(b), similarity))
+        at = np.arange(len(a))
+        return pd.Series(Sketches([*a, *b]).possible(at, at + len(a), similarity)[0], dtype=bool)
 
     for c in ("a", "b"):
         first = first.join(sets.select(F.col("sid").alias(c), F.col("sketch").alias(f"sketch_{c}")), c)

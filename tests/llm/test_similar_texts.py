@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -81,3 +82,44 @@ def test_stage_over_the_small_table(spark):
     ids = {r["doc_id"]: shingle_set(r["text"]) for r in docs.collect()}
     parts = brute_components(sorted(ids), lambda a, b: near(ids[a], ids[b]))
     assert {r["doc_id"] for r in corpus_pipeline.near_duplicate_stage(spark, docs, DATA).collect()} == set(parts.values())
+
+
+def long_texts(n, words, seed):
+    rnd = random.Random(seed)
+    passage = " ".join(f"p{k}" for k in range(60))
+    return [" ".join(f"w{rnd.randint(0, 10**7)}" for _ in range(words // 2)) + f" {passage} " + " ".join(f"w{rnd.randint(0, 10**7)}" for _ in range(words - words // 2)) for _ in range(n)]
+
+
+@pytest.mark.parametrize(("n", "words", "most"), [(60, 8000, 60), (300, 3000, 300)])
+def test_long_texts_with_one_passage_are_not_all_verified(spark, monkeypatch, n, words, most):
+    """Unlike texts under one lead: only a few pairs go on to verification, and the alike ones are found all the same."""
+    texts = long_texts(n, words, 1)
+    texts += [texts[5] + " tail", texts[7].replace("w1", "x1", 40)]
+    seen, verified = [], similar_texts._verified
+
+    def counted(docs, text, pairs, *rest):
+        seen.append(pairs.count())
+        return verified(docs, text, pairs, *rest)
+
+    monkeypatch.setattr(similar_texts, "_verified", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    sets = [shingle_set(t) for t in texts]
+    want = [k for k in range(len(texts)) if not any(near(sets[k], sets[j]) for j in (5, 7) if j < k)]
+    assert sorted(r["doc_id"] for r in similar_texts.drop_similar(docs).collect()) == want
+    assert sum(seen) <= most
+
+
+def test_sketches_of_different_widths():
+    """The bound holds between any two widths, and full parts stay full."""
+    rnd = np.random.default_rng(1)
+    sets = [np.unique(rnd.integers(0, 2**63, n).astype(np.uint64)) for n in (5, 300, 2000, 2100, 2600, 4000, 4200, 9000)]
+    sets += [np.unique(np.append(s[: int(len(s) * 0.9)], rnd.integers(0, 2**63, len(s) // 20).astype(np.uint64))) for s in sets]
+    sets.append((np.arange(60_000, dtype=np.uint64) * np.uint64(1 << 20)))  # all in one part
+    sketches = similar_texts.Sketches([similar_texts.sketch(s) for s in sets])
+    assert len(set(sketches.width.tolist())) > 3
+    x, y = (a.ravel() for a in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    ok, both = sketches.possible(x, y, 0.8)
+    for a, b, may, common in zip(x.tolist(), y.tolist(), ok.tolist(), both.tolist(), strict=True):
+        assert may or not similar_texts.alike(sets[a], sets[b], 0.8)
+        assert len(sets) - 1 in (a, b) or common >= len(np.intersect1d(sets[a], sets[b]))
+    assert (~ok).sum() > len(sets)
