@@ -1,9 +1,16 @@
-"""Derived tables on disk: items, their texts, the trigram index and a catalog of the files they come from.
+"""Derived tables on disk: items, their texts, a trigram index, the files they come from and those set aside.
 
-Nothing written is ever changed: a refresh adds one generation with the rows of new and rewritten files,
-and catalog rows that say which files those are and which are gone. A file's rows are those of the
-latest generation that names it. A generation counts once its commit is there, which is written last;
-what a refresh left that broke off is written over by the next one.
+All tables are Parquet, partitioned by a bucket of the path. A refresh finds the buckets that have new,
+rewritten or removed files and writes those buckets anew, one file each, over the old ones; the other
+buckets are not touched, so tables have as many files after any number of refreshes as after one
+build. The catalog is written last: what a refresh that breaks off has left is done again by the next one.
+
+Within a bucket items have numbers, and the index has one row for each bucket and trigram with the sorted
+numbers of the items that have it: lookups read the pages of a few trigrams in each bucket and intersect
+arrays. Choose ``buckets`` so that one holds up to some 100,000 items.
+
+A file that gives no item, or one with a ``problem``, is set aside with the reason and the number of
+tries, and tried again by every refresh until it gives one.
 """
 
 from __future__ import annotations
@@ -13,17 +20,20 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from . import grams, search, upkeep
-from .normalize import EXTRACTOR_VERSION, exploded_texts
+from .normalize import EXTRACTOR_VERSION
 from .numbering import kept
 
 KEY = "path"
 FACTS = ("size", "content_hash")
-#: Files up to which the live ones are sent to all tasks instead of being joined.
-MOST_SENT = 200_000
+BUCKETS = 64
+#: The index reads at most so many of a query's trigrams, its rarest ones.
+RAREST = 8
+NOTHING = "nothing extracted"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -36,71 +46,112 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def commits(spark: SparkSession, root: str) -> list[tuple[int, int]]:
-    """(generation, extractor version) in order; one row for each refresh."""
+def settings(spark: SparkSession, root: str) -> tuple[int, int] | None:
+    """(buckets, extractor version) of the tables; None: there are none."""
     try:
-        found = spark.read.schema("gen int, version int").json(f"{root}/commits")
+        found = spark.read.schema("buckets int, version int").json(f"{root}/settings").first()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return []
-    return sorted((r["gen"], r["version"]) for r in found.collect())
+        return None
+    return found and (found["buckets"], found["version"])
+
 
+def live(spark: SparkSession, root: str, table: str) -> DataFrame:
+    """The rows of ``items``, ``texts``, ``catalog`` or ``aside``. (Each bucket that was ever written has a row
+    without a path, which keeps it in place when its last file goes.)"""
+    return spark.read.parquet(f"{root}/{table}").where(F.col(KEY).isNotNull())
 
-def _read(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """Rows of the committed generations."""
-    return spark.read.parquet(f"{root}/{table}").where(F.col("gen").isin([g for g, _ in commits(spark, root)]))
 
+def postings(spark: SparkSession, root: str) -> DataFrame:
+    """bucket, gram, n, numbers."""
+    return spark.read.parquet(f"{root}/postings").where(F.col("gram").isNotNull())
 
-def catalog(spark: SparkSession, root: str) -> DataFrame:
-    """path, its facts and gen of every file that the tables hold."""
-    latest = _read(spark, root, "catalog").groupBy(KEY).agg(F.max_by(F.struct(*FACTS, "present", "gen"), "gen").alias("c"))
-    return latest.where("c.present").select(KEY, *[F.col(f"c.{f}").alias(f) for f in FACTS], "c.gen")
 
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.xxhash64(KEY), F.lit(buckets)).cast("int")
 
-def live(spark: SparkSession, root: str, table: str) -> DataFrame:
-    """The current rows of ``items``, ``texts`` or ``grams``."""
-    files = kept(catalog(spark, root).select(KEY, "gen"))
-    files = F.broadcast(files) if files.count() <= MOST_SENT else files
-    return _read(spark, root, table).join(files, [KEY, "gen"], "left_semi")
+
+def _put(rows: DataFrame, root: str, table: str, touched: DataFrame, order: list[str]) -> DataFrame:
+    """Write the touched buckets of a table over what they held; each gets a row of nulls besides."""
+    blank = touched.select(*[F.col("bucket") if f.name == "bucket" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+    dealt = rows.unionByName(blank).repartition("bucket").sortWithinPartitions("bucket", *order)
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/{table}")
+    return rows
 
 
-def refresh(spark: SparkSession, root: str, files: DataFrame, extract: Callable[[DataFrame], DataFrame], version: int = EXTRACTOR_VERSION) -> DataFrame:
+def refresh(spark: SparkSession, root: str, files: DataFrame, extract: Callable[[DataFrame], DataFrame], version: int = EXTRACTOR_VERSION, buckets: int = BUCKETS) -> DataFrame:
     """Bring the tables up to ``files`` (path, size, content_hash and what ``extract`` needs to make items
-    with ``texts`` of them). Only new and rewritten files are read; all of them if the tables are of another
-    extractor version. Returns path, change."""
-    done = commits(spark, root)
-    gen = done[-1][0] + 1 if done else 0
-    if done:
-        diff = upkeep.catalog_diff(catalog(spark, root).drop("gen"), files.select(KEY, *FACTS), KEY, FACTS)
-        if upkeep.needs_rebuild(done[-1][1], version):
+    with ``texts`` of them; a ``problem`` that is not null sets its file aside). Only new and rewritten files and
+    those set aside are read; all of them if the tables are of another extractor version. Returns path, change."""
+    have = settings(spark, root)
+    buckets = have[0] if have else buckets
+    if have:
+        diff = upkeep.catalog_diff(live(spark, root, "catalog"), files.select(KEY, *FACTS), KEY, FACTS)
+        if upkeep.needs_rebuild(have[1], version):
             diff = diff.withColumn("change", F.when(F.col("change") == "same", "rewritten").otherwise(F.col("change")))
+        aside = live(spark, root, "aside").select(KEY, "tries")
+        diff = diff.join(aside, KEY, "left").withColumn("again", (F.col("change") == "same") & F.col("tries").isNotNull())
     else:
-        diff = files.select(KEY, F.lit("new").alias("change"))
-    diff = kept(diff)
-    changed = diff.where("change IN ('new', 'rewritten')").select(KEY)
-    to_read = files.join(changed, KEY, "left_semi")
-    put = lambda df, table: df.write.mode("overwrite").parquet(f"{root}/{table}/gen={gen}")
-    named = diff.where("change <> 'same'").join(files.select(KEY, *FACTS), KEY, "left")
-    put(named.select(KEY, *FACTS, (F.col("change") != "removed").alias("present")), "catalog")
-    items = extract(to_read)
-    put(items, "items")
-    texts = exploded_texts(spark.read.parquet(f"{root}/items/gen={gen}"))
-    put(texts, "texts")
-    grams.write(grams.build(texts, [KEY]), f"{root}/grams/gen={gen}", "overwrite")
-    spark.createDataFrame([(gen, version)], "gen int, version int").coalesce(1).write.mode("append").json(f"{root}/commits")
-    return diff
+        diff = files.select(KEY, F.lit("new").alias("change"), F.lit(None).cast("int").alias("tries"), F.lit(False).alias("again"))
+    diff = kept(diff.withColumn("bucket", _bucket(buckets)))
+    work = diff.where("change <> 'same' OR again")
+    touched = kept(work.select("bucket").distinct())
+    told = [r["bucket"] for r in touched.collect()]  # at most `buckets`
+    if not told:
+        return diff.select(KEY, "change")
+    to_read = work.where("change <> 'removed'").select(KEY)
+    made = extract(files.join(to_read, KEY, "left_semi"))
+    made = kept(made if "problem" in made.columns else made.withColumn("problem", F.lit(None).cast("string")))
+    new = made.where("problem IS NULL").drop("problem").withColumn("bucket", _bucket(buckets))
+
+    def stay(table: str) -> DataFrame:
+        """A table's rows in the touched buckets of files that have no work."""
+        return live(spark, root, table).where(F.col("bucket").isin(told)).join(work.select(KEY), KEY, "left_anti")
+
+    rows = new.unionByName(stay("items").drop("number"), allowMissingColumns=True) if have else new
+    number = F.row_number().over(Window.partitionBy("bucket").orderBy(KEY)) - 1
+    items = _put(kept(rows.withColumn("number", number)), root, "items", touched, [KEY])
+    texts = kept(items.select("bucket", "number", KEY, F.posexplode("texts").alias("pos", "text")))
+    _put(texts, root, "texts", touched, [KEY, "pos"])
+    each = texts.select("bucket", "number", F.explode(T.trigrams(F.col("text"))).alias("gram"))
+    numbers = F.array_sort(F.collect_set("number"))
+    _put(each.groupBy("bucket", "gram").agg(numbers.alias("numbers")).withColumn("n", F.size("numbers")), root, "postings", touched, ["gram"])
+    wrong = to_read.join(new.select(KEY), KEY, "left_anti").join(made.where("problem IS NOT NULL").groupBy(KEY).agg(F.min("problem").alias("problem")), KEY, "left")
+    wrong = wrong.join(work.select(KEY, "tries", "bucket"), KEY).select(KEY, F.coalesce("problem", F.lit(NOTHING)).alias("reason"), (F.coalesce("tries", F.lit(0)) + 1).alias("tries"), "bucket")
+    _put(kept(wrong.unionByName(stay("aside")) if have else wrong), root, "aside", touched, [KEY])
+    facts = files.join(to_read, KEY, "left_semi").select(KEY, *FACTS, _bucket(buckets).alias("bucket"))
+    _put(kept(facts.unionByName(stay("catalog")) if have else facts), root, "catalog", touched, [KEY])
+    if have != (buckets, version):
+        spark.createDataFrame([(buckets, version)], "buckets int, version int").coalesce(1).write.mode("overwrite").json(f"{root}/settings")
+    return diff.select(KEY, "change")
+
+
+def candidates(index: DataFrame, query: str, exact: bool = False, most: int = RAREST) -> DataFrame | None:
+    """bucket, number of the items that have the query's rarest trigrams; None: no usable one, all are candidates."""
+    wanted = grams.query_grams(query, exact)
+    if not wanted:
+        return None
+    rows = index.where(F.col("gram").isin(wanted))
+    if len(wanted) > most:  # the query's own trigrams: a handful of rows
+        counts = {r["gram"]: r["n"] for r in rows.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+        wanted = sorted(wanted, key=lambda g: (counts.get(g, 0), g))[:most]
+        rows = rows.where(F.col("gram").isin(wanted))
+    lists = rows.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("n", "numbers"))).alias("lists")).where(F.size("lists") == len(wanted))
+    both = F.aggregate("lists", F.get("lists", F.lit(0))["numbers"], lambda acc, x: F.array_intersect(acc, x["numbers"]))
+    return lists.select("bucket", F.explode(both).alias("number"))
 
 
 def search_index(spark: SparkSession, root: str, query: str, n: int | None = None, exact: bool = False, by: str = "score", current_host: str | None = None, as_of: Column | None = None, stand_ins: dict[str, str] | None = None) -> DataFrame:
     """The best ``n`` (None: all) items of a search over the stored tables: candidates by the query's rarest
     trigrams, or all items where it has none; scores with title bonus and, with ``as_of``, recency; real
     names replaced by stand-ins. A blank query browses."""
-    items = live(spark, root, "items").drop("texts", "gen")
+    items = live(spark, root, "items").drop("texts", "bucket", "number")
     if not query.strip():
         found = search.browse(items)
     else:
-        texts = grams.narrowed(live(spark, root, "texts"), live(spark, root, "grams"), query, [KEY], exact)
+        texts, near = live(spark, root, "texts"), candidates(postings(spark, root), query, exact)
+        texts = (texts if near is None else texts.join(near, ["bucket", "number"], "left_semi")).select(KEY, "text")
         options = {} if as_of is None else {"updated": "updated_ts", "as_of": as_of}
         found = search.search(items.withColumn("updated_ts", F.col("updated_at").try_cast("timestamp")), texts, query, [KEY], exact, name_raw="name_raw", **options).drop("updated_ts")
     if stand_ins:

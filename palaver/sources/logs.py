@@ -33,6 +33,8 @@ from .storage import listed, opened
 FORMAT = "conversation_logs"
 #: Bytes of a range, of what is read at once, and of the steps back to where a line begins.
 RANGE, BLOCK, BACK = 64 << 20, 4 << 20, 1 << 16
+#: Bytes of the ranges that one task reads, and what a range counts for besides its bytes.
+TASK, OPENING = 64 << 20, 256 << 10
 # The file names of each kind.
 PATTERNS = {"claude-code": "*.jsonl", "codex": "rollout-*.jsonl"}
 INVALID, SHORTER = "invalid UTF-8", "truncated"
@@ -61,6 +63,29 @@ class ByteRange(InputPartition):
         return hash((self.rel_path, self.start, self.end))
 
 
+@dataclass
+class Bundle(InputPartition):
+    """Ranges that one task reads one after another."""
+
+    ranges: list[ByteRange]
+
+    def __hash__(self) -> int:
+        return hash(tuple(self.ranges))
+
+
+def bundled(ranges: list[ByteRange]) -> list[Bundle]:
+    """Consecutive ranges of about ``TASK`` bytes: small files don't get a task each."""
+    out, size = [], 0
+    for r in ranges:
+        cost = r.end - r.start + OPENING
+        if not out or size + cost > TASK:
+            out.append(Bundle([]))
+            size = 0
+        out[-1].ranges.append(r)
+        size += cost
+    return out
+
+
 class LogSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -138,7 +163,19 @@ class _Files:
                 yield out
             self.tail = b"".join(held)
 
-    def read(self, r: ByteRange) -> Iterator[pa.RecordBatch]:
+    def read(self, bundle: Bundle) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for r in bundle.ranges:
+            for batch in self.read_range(r):
+                held.append(batch)
+                size += batch.nbytes
+                if size > BLOCK:
+                    yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+                    held, size = [], 0
+        if held:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+    def read_range(self, r: ByteRange) -> Iterator[pa.RecordBatch]:
         if r.shorter is not None:
             yield self._batch(r, [(0, r.shorter, r.size, None, SHORTER)])
             return
@@ -179,10 +216,10 @@ def _text(raw: bytes) -> str | None:
 class _Batch(_Files, DataSourceReader):
     def partitions(self) -> Sequence[InputPartition]:
         out = [ranges for f in self.files() if (ranges := self.ranges(*f))]
-        return [r for ranges in out if self.emit == "lines" or len(ranges) > 1 for r in ranges] or [ByteRange("", 0, 0, 0, 0, 0, False)]
+        return bundled([r for ranges in out if self.emit == "lines" or len(ranges) > 1 for r in ranges]) or [Bundle([])]
 
-    def read(self, r: ByteRange) -> Iterator[pa.RecordBatch]:
-        return super().read(r) if r.rel_path else iter(())
+    def read(self, bundle: Bundle) -> Iterator[pa.RecordBatch]:
+        return super().read(bundle)
 
 
 class _Stream(_Files, DataSourceStreamReader):
@@ -202,10 +239,10 @@ class _Stream(_Files, DataSourceStreamReader):
                 out += [ByteRange(r.rel_path, size, 0, r.number, r.start, r.end, False) for r in self.ranges(rel_path, size, 0, before)]
             elif size < before:
                 out.append(ByteRange(rel_path, size, 0, 0, size, size, False, before))
-        return out
+        return bundled(out)
 
-    def read(self, r: ByteRange) -> Iterator[pa.RecordBatch]:
-        return super().read(r)
+    def read(self, bundle: Bundle) -> Iterator[pa.RecordBatch]:
+        return super().read(bundle)
 
 
 def register(spark: SparkSession) -> None:

@@ -57,3 +57,59 @@ def test_broken_refresh_is_never_read(spark, tmp_path):
     assert found(spark, root, "one") == {"a": 1}
     store.refresh(spark, root, files(spark, {"a": "one", "b": "one"}), extract)
     assert found(spark, root, "one") == {"a": 1, "b": 1}
+
+
+def data_files(root):
+    return {t: len(list((root / t).rglob("part-*.parquet"))) for t in ("items", "texts", "postings", "aside", "catalog")}
+
+
+def test_files_don_t_grow_with_refreshes(spark, tmp_path):
+    """Ten refreshes leave as many files as one build of the same rows; a change of one file writes one bucket."""
+    rows = {f"p{k}": f"text {k} of some words" for k in range(40)}
+    for k in range(10):
+        rows[f"p{k}"] += " changed"
+        rows[f"new{k}"] = f"another {k}"
+        if k:
+            del rows[f"p{k + 10}"]
+        store.refresh(spark, str(tmp_path / "a"), files(spark, rows), extract, buckets=8)
+    store.refresh(spark, str(tmp_path / "b"), files(spark, rows), extract, buckets=8)
+    assert data_files(tmp_path / "a") == data_files(tmp_path / "b") == {t: 8 for t in ("items", "texts", "postings", "aside", "catalog")}
+    assert found(spark, str(tmp_path / "a"), "changed") == found(spark, str(tmp_path / "b"), "changed") != {}
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "a/items").rglob("part-*.parquet")}
+    rows["p0"] += " again"
+    store.refresh(spark, str(tmp_path / "a"), files(spark, rows), extract)
+    after = {p: p.stat().st_mtime_ns for p in (tmp_path / "a/items").rglob("part-*.parquet")}
+    assert len(set(before.items()) - set(after.items())) == 1 == len(set(after.items()) - set(before.items()))
+    assert {r["change"] for r in store.refresh(spark, str(tmp_path / "a"), files(spark, rows), extract).collect()} == {"same"}
+    assert {p: p.stat().st_mtime_ns for p in (tmp_path / "a/items").rglob("part-*.parquet")} == after
+    store.refresh(spark, str(tmp_path / "a"), files(spark, rows).limit(0), extract)  # all files go
+    assert found(spark, str(tmp_path / "a"), "") == {} == found(spark, str(tmp_path / "a"), "changed")
+
+
+def test_index_is_the_full_search(spark, tmp_path):
+    rows = {f"p{k}": " ".join(w for j, w in enumerate(["alpha", "alphabet", "beta", "the gamma ray", "İstanbul", "été"]) if (k >> j) & 1) for k in range(64)}
+    store.refresh(spark, str(tmp_path), files(spark, rows), extract, buckets=4)
+    for query, exact in (("alpha", False), ("beta alphabet", False), ("gamma ray", True), ("été", False), ("al", False), ("nothing here", False), ("the gamma ray alphabet beta", False)):
+        want = {p for p, t in rows.items() if all(w in t.lower() for w in ([query] if exact else query.split()))}
+        assert set(found(spark, str(tmp_path), query, exact=exact)) == want
+
+
+def test_what_fails_is_tried_again(spark, tmp_path):
+    """A broken extractor sets files aside with a reason; mended, it gives their rows without a change of the files."""
+    root, rows = str(tmp_path), {"a": "one", "b": "two", "c": "three"}
+    problem = lambda df, p: extract(df).withColumn("problem", F.when(F.col("path") == p, "too odd"))
+    aside = lambda: {(r["path"], r["reason"], r["tries"]) for r in store.live(spark, root, "aside").collect()}
+    store.refresh(spark, root, files(spark, rows), lambda df: problem(df.where("path <> 'b'"), "c"))
+    assert aside() == {("b", store.NOTHING, 1), ("c", "too odd", 1)} and found(spark, root, "") == {"a": 0}
+    changes = store.refresh(spark, root, files(spark, rows), lambda df: problem(df, "c"))
+    assert {r["change"] for r in changes.collect()} == {"same"}
+    assert aside() == {("c", "too odd", 2)} and found(spark, root, "") == {"a": 0, "b": 0}
+    rows["c"] = "three and more"
+    store.refresh(spark, root, files(spark, rows), lambda df: problem(df, "c"))
+    assert aside() == {("c", "too odd", 3)}
+    store.refresh(spark, root, files(spark, rows), extract)
+    assert aside() == set() and found(spark, root, "more") == {"c": 1}
+    store.refresh(spark, root, files(spark, {"a": "one", "x": "y"}), lambda df: extract(df.limit(0)))
+    assert aside() == {("x", store.NOTHING, 1)}
+    store.refresh(spark, root, files(spark, {"a": "one"}), extract)
+    assert aside() == set()
