@@ -15,6 +15,7 @@ from pyspark.sql import types
 
 from ..functions import text as T
 from ..functions import times
+from .numbering import fresh
 
 
 def score_texts(texts: DataFrame, query: str, key: list[str], text: str = "text", exact: bool = False) -> DataFrame:
@@ -132,3 +133,20 @@ def prefix_hosts(items: DataFrame, sources: list[tuple[str, str]], path: str = "
     for name, directory in reversed(sources):
         chosen = F.when(confined(F.col(path), directory), name).otherwise(chosen)
     return items.withColumn(host, chosen)
+
+
+def directory_hosts(items: DataFrame, sources: DataFrame, path: str = "path", host: str = "host", longest: bool = False) -> DataFrame:
+    """``prefix_hosts`` for a table of directories of any size: ``sources`` has host, directory, rank. Of the directories
+    that hold an item's path the one of the lowest rank counts (the smallest host of equals), with ``longest`` the
+    deepest one. Each different parent directory is looked up once, by equality with its own ancestors, so nothing
+    is compared with all directories."""
+    parent, found, up, deep = fresh(items, "parent", "found", "up", "deep")
+    plain = F.when(~F.col(path).rlike(r"/\.\.(/|$)"), F.regexp_replace(path, "/[^/]*$", ""))
+    rows = items.withColumn(parent, F.when(F.contains(F.col(path), F.lit("/")), plain))
+    steps = F.split(parent, "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.struct(F.array_join(F.slice(steps, 1, k), "/").alias(up), k.alias(deep)))
+    each = rows.where(F.col(parent).isNotNull()).select(parent).distinct().select(parent, F.inline(above)).toDF(parent, up, deep)
+    named = sources.select(F.regexp_replace("directory", "/+$", "").alias(up), F.col("host").alias("host_"), "rank")
+    first = F.struct(F.when(F.lit(longest), -F.col(deep)).otherwise(F.lit(0)), "rank", "host_")
+    chosen = each.join(named, up).groupBy(parent).agg(F.min_by("host_", first).alias(found))
+    return rows.join(chosen, parent, "left").withColumn(host, F.coalesce(found, host)).drop(parent, found)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.times import file_stem
-from .numbering import fresh, numbered
+from .numbering import fresh, kept, numbered
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -67,6 +68,22 @@ def rescued(items: DataFrame, stored: DataFrame, extracted: DataFrame, key: str
     return a.join(extracted.select(key, F.col("texts").alias("e")), key, "left").select(key, F.coalesce("s", "e").alias("texts"))
 
 
+#: Files up to which a read is given their names; beyond it all files are read and the others dropped.
+MOST_NAMED = 100_000
+
+
+def rescued_from_files(items: DataFrame, stored: DataFrame, read: Callable[[list[str] | None], DataFrame], key: str = "path", most: int = MOST_NAMED) -> DataFrame:
+    """key, texts: as ``rescued``, but only the files of items without stored texts are read. ``read`` gives (key, texts)
+    of the files of a list, or of all files for None."""
+    kept_texts = items.select(key).join(stored.where("texts IS NOT NULL").select(key, "texts"), key)
+    missing = kept(items.select(key).join(stored.where("texts IS NOT NULL").select(key), key, "left_anti").distinct())
+    if not (n := missing.count()):
+        return kept_texts
+    again = read([r[key] for r in missing.collect()] if n <= most else None).join(missing, key, "left_semi")
+    lost = missing.join(again.select(key), key, "left_anti").select(key, F.lit(None).cast("array<string>").alias("texts"))
+    return kept_texts.unionByName(again.select(key, "texts")).unionByName(lost)
+
+
 def view_freshness(cached: DataFrame, fresh: DataFrame, key: str = "uuid", body: str = "body") -> DataFrame:
     """current if the cached document is the fresh one, stale if the fresh one goes on from it, else diverged."""
     old, new = F.col("c"), F.col("f")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import upkeep
+from ..operators.numbering import kept
 from ..operators.store import new_folder
 from ..sources import documents_sink, logs, sessions
 from ..streaming import mirror
@@ -51,3 +53,27 @@ def swept_logs(spark, sf_dir):
         mirror.sweep(spark, root, archive, state, "claude-code").awaitTermination()
     at = lambda k: F.get_json_object("line", k)
     return _conversation(spark.read.parquet(archive)).select("conv_id", at("$.role").alias("role"), at("$.text").alias("text"))
+
+
+@query("""
+SELECT conv_id, CASE WHEN conv_id % 10 IN (3, 7) THEN body ELSE 'stored ' || conv_id END AS body, (SELECT count(DISTINCT conv_id) FROM conversations WHERE conv_id % 10 IN (3, 7)) AS n_read
+FROM (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS body FROM conversations GROUP BY conv_id)
+""")
+def rescued_files(spark, sf_dir):
+    """A fifth of the conversations' files have no stored texts: only those are read again."""
+    c, root = read(spark, sf_dir, "conversations"), new_folder(spark, "files")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n")
+    docs = c.groupBy("conv_id").agg(body.alias("body"))
+    documents_sink.write(docs.select(F.format_string("p%d/%d.txt", F.col("conv_id") % 5, "conv_id").alias("rel_path"), "body"), root).where("status <> 'written'").count()
+    number = F.regexp_extract("path", r"/(\d+)\.txt$", 1).cast("long")
+    files = lambda at: spark.read.text(at, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.array("value").alias("texts"))
+    items = kept(files(f"{root}/p*").select("path").withColumn("conv_id", number))
+    stored = items.where("conv_id % 10 NOT IN (3, 7)").select("path", F.array(F.concat(F.lit("stored "), F.col("conv_id").cast("string"))).alias("texts"))
+    asked: list[int] = []
+
+    def again(paths):
+        asked.append(len(paths))
+        return files(paths)
+
+    found = upkeep.rescued_from_files(items, stored, again)
+    return found.select(number.alias("conv_id"), F.get("texts", F.lit(0)).alias("body"), F.lit(sum(asked)).cast("long").alias("n_read"))

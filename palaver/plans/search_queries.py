@@ -258,3 +258,33 @@ def view_freshness(spark, sf_dir):
     cached = docs.select("doc_id", T.body_after_rule(F.when(k == 0, full).when(k == 1, half).otherwise(F.concat(full, F.lit("!")))).alias("body"))
     fresh = docs.select("doc_id", T.body_after_rule(full).alias("body"))
     return upkeep.view_freshness(cached, fresh, "doc_id")
+
+
+@query("""
+WITH p AS (SELECT page_id, regexp_replace(url, '^[a-z]+://', '/') AS path FROM pages),
+d AS (SELECT DISTINCT 'h' || (page_id % 17) AS host, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, page_id % 23 AS rank FROM p WHERE page_id % 3 = 0)
+SELECT page_id, coalesce((SELECT arg_min(d.host, lpad(d.rank::VARCHAR, 4, '0') || d.host) FROM d WHERE starts_with(p.path, rtrim(d.directory, '/') || '/') OR d.directory = '' AND starts_with(p.path, '/')), 'stored') AS host FROM p
+""")
+def host_directories(spark, sf_dir):
+    """As many directories as a third of the pages; of those that hold a page the first in order names the host."""
+    p = read(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^[a-z]+://", "/").alias("path"), F.lit("stored").alias("host"))
+    sources = p.where("page_id % 3 = 0").select(F.concat(F.lit("h"), (F.col("page_id") % 17).cast("string")).alias("host"), F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("directory"), (F.col("page_id") % 23).alias("rank")).distinct()
+    return search.directory_hosts(p, sources).select("page_id", "host")
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS path, CASE WHEN lang = 'fr' THEN 'no reader for fr' ELSE 'nothing extracted' END AS reason, CASE WHEN doc_id % 7 <> 0 THEN 2 ELSE 1 END AS tries FROM documents WHERE doc_id % 5 <> 0 AND (lang = 'fr' OR coalesce(text, '') = '')")
+def index_aside(spark, sf_dir):
+    """Files that give nothing are set aside by two refreshes, and tried in both."""
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), "doc_id", F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
+    d = d.withColumns({"size": F.octet_length("text").cast("long"), "content_hash": F.xxhash64("text")})
+
+    def extract(files):
+        c, at = F.col, F.lit("2024-01-01T00:00:00Z")
+        rows = files.where("text <> '' OR lang = 'fr'")
+        row = normalize.item_row(c("path"), F.lit("llm"), c("path"), F.lit("conversation"), F.lit("claude"), c("lang"), at, at, F.lit(""), F.array("text"), host=c("source"))
+        return rows.select(*row, F.when(c("lang") == "fr", "no reader for fr").alias("problem"))
+
+    root = store.new_folder(spark, "index")
+    for part in ("doc_id % 7 <> 0", "doc_id % 5 <> 0"):
+        store.refresh(spark, root, d.where(part), extract, buckets=16)
+    return store.live(spark, root, "aside").select("path", "reason", "tries")

@@ -20,7 +20,7 @@ OWNER = "struct<id: string, email: string>"
 
 def documents(spark: SparkSession, paths: str | list[str], pattern: str = "*.json") -> DataFrame:
     """Whole files: path and value. Files that are not JSON have a null ``parsed``."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(paths)
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(paths, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("path"), "value", F.try_parse_json("value").alias("parsed"))
 
 

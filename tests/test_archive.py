@@ -46,6 +46,15 @@ def test_archive_items(archive):
     assert [r["reason"] for r in exports.quarantine(archive).collect()] == ["not valid JSON"]
 
 
+def test_documents_of_many_lines(spark, tmp_path):
+    """A pretty-printed document is one value."""
+    (tmp_path / "claude/a@b.com/conversations").mkdir(parents=True)
+    (tmp_path / "claude/a@b.com/conversations/c1.json").write_text(json.dumps(TALK, indent=2))
+    found = exports.archive(spark, str(tmp_path))
+    assert found.count() == 1 and exports.quarantine(found).count() == 0
+    assert [r["uuid"] for r in normalize.archive_items(found).collect()] == ["c1"]
+
+
 def test_markdown(archive):
     talk = archive.where("item_type = 'conversation' AND provider = 'claude' AND parsed IS NOT NULL").select(F.from_json("value", exports.CONVERSATION).alias("item"))
     body = talk.select(export.conversation_markdown(F.col("item")).alias("b")).first()["b"]

@@ -202,3 +202,42 @@ def test_empty_report(spark):
     items = spark.createDataFrame([], "provider string, host string, cwd string, created_ts timestamp")
     got = analytics.report(items)
     assert {r["section"] for r in got.collect()} == {"hour", "weekday"} and got.agg(F.sum("n")).first()[0] == 0
+
+
+def test_hosts_by_many_directories(spark):
+    """A table of 100,000 directories against a look through all of them, in order and by depth."""
+    from palaver.operators import search
+
+    rnd = random.Random(5)
+    own = [("first", "/a/b", 0), ("root", "/", 9), ("deep", "/a/b/c/d", 5), ("twin", "/a/x/", 3), ("also", "/a/x", 3), ("late", "/a", 7)]
+    sources = own + [(f"h{k}", f"/far/{k}/{k % 7}", k) for k in range(100_000)]
+    paths = ["/a/b/c/d/e.jsonl", "/a/b.jsonl", "/a/bc/x", "/a/x/y", "/far/5/5/z", "/far/55/5", "/z", "z", "rel/a", "", None, "/a/../b/x"] + [f"/far/{(k := rnd.randrange(100_000))}/{rnd.randrange(7)}/f" for _ in range(50)]
+    rows = spark.createDataFrame([(n, p, "stored", "own") for n, p in enumerate(paths)], "n int, path string, host string, rank string")
+    table = spark.createDataFrame(sources, "host string, directory string, rank int")
+    by = {}
+    for h, d, r in sources:
+        by.setdefault(d.rstrip("/"), []).append((r, h))
+
+    def brute(path, longest):
+        if not path or "/" not in path or "/../" in path:
+            return "stored"
+        steps = path.split("/")[:-1]
+        held = [(-k if longest else 0, r, h) for k in range(len(steps), 0, -1) for r, h in by.get("/".join(steps[:k]), []) if k > 1 or steps[0] == ""]
+        return min(held)[2] if held else "stored"
+
+    for longest in (False, True):
+        got = search.directory_hosts(rows, table, longest=longest)
+        assert got.columns == rows.columns
+        assert {r["n"]: r["host"] for r in got.collect()} == {n: brute(p, longest) for n, p in enumerate(paths)}
+
+
+def test_rescue_reads_the_missing_files_only(spark):
+    items = spark.createDataFrame([(k,) for k in "abcd"], "path string")
+    stored = spark.createDataFrame([("a", ["x"]), ("b", []), ("c", None)], "path string, texts array<string>")
+    everything = spark.createDataFrame([("a", ["wrong"]), ("b", ["wrong"]), ("c", ["from file"])], "path string, texts array<string>")
+    for most in (10, 0):
+        asked = []
+        got = upkeep.rescued_from_files(items, stored, lambda p: (asked.append(p), everything)[1], most=most).collect()  # noqa: B023
+        assert {r["path"]: r["texts"] for r in got} == {"a": ["x"], "b": [], "c": ["from file"], "d": None} and len(got) == 4
+        assert asked == [["c", "d"]] or asked == [["d", "c"]] or (most == 0 and asked == [None])
+    assert upkeep.rescued_from_files(items.where("path = 'a'"), stored, None).count() == 1
