@@ -214,3 +214,68 @@ def digest(records: DataFrame, kind: Column, most: int = 200, text: str = "text"
     flat = F.regexp_replace(F.col(text), r"\s+", " ")
     shown = F.when(F.length(flat) > most, F.concat(F.left(flat, F.lit(most)), F.lit("…"))).otherwise(flat)
     return records.select(F.col(line).alias("line"), F.concat(F.lit("["), kind, F.lit("] "), shown).alias("digest"))
+
+
+def clipped(text: Column, most: int) -> Column:
+    """The first characters, and how many more there are; 0: all of them."""
+    if most <= 0:
+        return text
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit("  …[+"), (F.length(text) - most).cast("string"), F.lit(" chars]"))).otherwise(text)
+
+
+def _shown(value: Column) -> Column:
+    """A variant as text: strings as they are, objects and lists as compact JSON; null if there is none."""
+    kind = F.schema_of_variant(value)
+    plain = F.when(kind == "STRING", F.try_variant_get(value, "$", "string")).when(kind == "BOOLEAN", F.initcap(F.try_variant_get(value, "$", "string")))
+    return F.when(value.isNotNull() & (kind != "VOID"), F.coalesce(plain, F.to_json(value)))
+
+
+def _content_text(content: Column) -> Column:
+    """The texts of a list of blocks, joined by spaces; anything else as text."""
+    def one(block: Column) -> Column:
+        first = F.coalesce(*[T.blank_to_null(_shown(F.try_variant_get(block, f"$.{k}", "variant"))) for k in ("text", "input_text")])
+        return F.coalesce(first, _shown(block), F.lit("None"))
+
+    blocks = F.try_variant_get(content, "$", "array<variant>")
+    return F.coalesce(F.array_join(F.transform(blocks, one), " "), _shown(content), F.lit("None"))
+
+
+def legible(records: DataFrame, most: int = 400, text: str = "text", line: str = "line") -> DataFrame:
+    """line, digest: each rollout record as a heading and what a reader needs of its type: ids and places of a
+    session, the settings of a turn, messages, commands with their folder, outputs, summaries, patches, token
+    totals; of other types the payload. Long parts are clipped. Records that are no JSON objects give null."""
+    record = F.try_parse_json(text)
+    at = lambda path: F.try_variant_get(F.col("v_"), path, "variant")
+    said = lambda path: F.coalesce(_shown(at(path)), F.lit("None"))
+    filled = lambda path: T.blank_to_null(_shown(at(path)))
+    clip = lambda c: clipped(c, most)
+    joined = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    kind, payload = F.col("kind_"), F.col("payload_")
+
+    arguments = F.try_parse_json(filled("$.payload.arguments"))
+    of_call = lambda k: T.blank_to_null(_shown(F.try_variant_get(arguments, f"$.{k}", "variant")))
+    is_object = F.startswith(F.schema_of_variant(arguments), F.lit("OBJECT"))
+    command = F.coalesce(F.when(is_object, F.coalesce(of_call("cmd"), of_call("command"))).otherwise(filled("$.payload.arguments")), F.lit("None"))
+    changes = F.map_entries(F.try_variant_get(at("$.payload.changes"), "$", "map<string, variant>"))
+    patches = F.transform(changes, lambda e: joined("  ", e["key"], ": ", clipped(F.coalesce(_shown(F.try_variant_get(e["value"], "$.unified_diff", "variant")), F.lit("")), most // 2)))
+    summary = _content_text(at("$.payload.summary"))
+    cited = F.when(filled("$.payload.memory_citation").isNotNull(), joined("\n  memory_citation: ", clip(filled("$.payload.memory_citation")))).otherwise("")
+    body = (
+        F.when(kind == "session_meta", joined(
+            "id=", said("$.payload.id"), " cwd=", said("$.payload.cwd"), " cli=", said("$.payload.cli_version"), " provider=", said("$.payload.model_provider"),
+            "\ngit: branch=", said("$.payload.git.branch"), " commit=", said("$.payload.git.commit_hash"), " url=", said("$.payload.git.repository_url"),
+            "\nbase_instructions: ", clip(F.coalesce(_shown(at("$.payload.base_instructions.text")), F.lit("")))))
+        .when(kind == "turn_context", joined("cwd=", said("$.payload.cwd"), " tz=", said("$.payload.timezone"), " date=", said("$.payload.current_date"), " model=", said("$.payload.model"), " approval=", said("$.payload.approval_policy")))
+        .when(payload == "message", joined("[", said("$.payload.role"), "] ", clip(_content_text(at("$.payload.content")))))
+        .when(payload.isin("user_message", "agent_message"), joined(clip(F.coalesce(filled("$.payload.message"), filled("$.payload.text"), F.lit(""))), cited))
+        .when(payload == "function_call", joined("[", said("$.payload.name"), "] cwd=", F.coalesce(F.when(is_object, of_call("workdir")), F.lit("None")), "\n  $ ", clip(command)))
+        .when(payload.isin("function_call_output", "custom_tool_call_output"), clip(said("$.payload.output")))
+        .when(payload == "custom_tool_call", joined("[", said("$.payload.name"), "] status=", said("$.payload.status"), "\n", clip(said("$.payload.input"))))
+        .when(payload == "reasoning", F.when(filled("$.payload.summary").isNotNull() & (F.trim(summary) != ""), clip(summary)).otherwise("(no summary; encrypted_content=<encrypted>)"))
+        .when(payload == "patch_apply_end", joined("status=", said("$.payload.status"), " success=", said("$.payload.success"), " files=", F.coalesce(F.size(changes), F.lit(0)).cast("string"), "\n", F.coalesce(F.array_join(patches, "\n"), F.lit(""))))
+        .when(payload == "token_count", joined("total_tokens=", said("$.payload.info.total_token_usage.total_tokens"), " plan=", said("$.payload.rate_limits.plan_type")))
+        .otherwise(clip(said("$.payload")))
+    )
+    head = joined("--- line ", F.col(line).cast("string"), ": ", F.coalesce(kind, F.lit("None")), " / ", F.coalesce(payload, F.lit("None")), " ---\n")
+    parsed = records.select(F.col(line).alias(line), record.alias("v_")).withColumns({"kind_": _shown(F.try_variant_get("v_", "$.type", "variant")), "payload_": _shown(F.try_variant_get("v_", "$.payload.type", "variant"))})
+    return parsed.select(F.col(line).alias("line"), F.when(F.startswith(F.schema_of_variant("v_"), F.lit("OBJECT")), F.concat(head, body)).alias("digest"))

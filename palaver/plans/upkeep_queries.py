@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..functions import times
 from ..operators import analytics, export, pii, quality, upkeep
 from ..operators.numbering import kept
+from ..sources import adapters
 from ..streaming import mirror
 from .common import read
 from .registry import query
@@ -217,6 +218,56 @@ def record_digest(spark, sf_dir):
     return pii.digest(docs, F.col("lang"), 80)
 
 
+@query("""
+SELECT conv_id * 100 + turn AS line, '--- line ' || (conv_id * 100 + turn) || ': ' || CASE role WHEN 'user' THEN 'event_msg / user_message' WHEN 'assistant' THEN 'response_item / message' ELSE 'response_item / function_call' END || ' ---' || chr(10)
+  || CASE role WHEN 'user' THEN c WHEN 'assistant' THEN '[assistant] ' || c ELSE '[sh] cwd=/w' || conv_id || chr(10) || '  $ ' || c END AS digest
+FROM (SELECT *, CASE WHEN length(text) > 60 THEN substr(text, 1, 60) || '  …[+' || (length(text) - 60) || ' chars]' ELSE text END AS c FROM conversations)
+""")
+def legible_records(spark, sf_dir):
+    """Rollout records of three types, digested by type."""
+    c = read(spark, sf_dir, "conversations")
+    json, lit = F.to_json, F.lit
+    user = json(F.struct(lit("event_msg").alias("type"), F.struct(lit("user_message").alias("type"), F.col("text").alias("message")).alias("payload")))
+    answer = json(F.struct(lit("response_item").alias("type"), F.struct(lit("message").alias("type"), "role", F.array(F.struct(lit("output_text").alias("type"), "text")).alias("content")).alias("payload")))
+    arguments = json(F.struct(F.col("text").alias("cmd"), F.concat(lit("/w"), F.col("conv_id").cast("string")).alias("workdir")))
+    call = json(F.struct(lit("response_item").alias("type"), F.struct(lit("function_call").alias("type"), lit("sh").alias("name"), arguments.alias("arguments")).alias("payload")))
+    rows = c.select((F.col("conv_id") * 100 + F.col("turn")).alias("line"), F.when(F.col("role") == "user", user).when(F.col("role") == "assistant", answer).otherwise(call).alias("text"))
+    return pii.legible(rows, 60)
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, unnest(['tok_' || substr(sha256('t' || doc_id), 1, 20) || 'ZQ', md5(doc_id::VARCHAR), repeat('ab', 15)]) AS token FROM documents),
+d AS (SELECT token, min(doc_id) AS first_line FROM t GROUP BY token),
+e AS (SELECT token, first_line, list_sum(list_transform(list_distinct(string_split(token, '')), lambda c: -(len(list_filter(string_split(token, ''), lambda x: x = c)) / length(token)) * log2(len(list_filter(string_split(token, ''), lambda x: x = c)) / length(token)))) AS entropy FROM d)
+SELECT token, first_line, round(entropy, 6) AS entropy FROM e WHERE entropy >= 3.6
+""")
+def entropy_ids(spark, sf_dir):
+    """Tokens of documents that do pass, some that don't, and repeated ones."""
+    doc = F.col("doc_id").cast("string")
+    token = F.concat(F.lit("tok_"), F.substring(F.sha2(F.concat(F.lit("t"), doc), 256), 1, 20), F.lit("ZQ"))
+    text = F.concat_ws(" ", token, F.md5(doc), F.lit("ab" * 15), token)
+    found = pii.entropy_tokens(read(spark, sf_dir, "documents").select(F.col("doc_id").alias("line"), text.alias("text")))
+    return found.withColumn("entropy", F.round("entropy", 6))
+
+
+@query("""
+SELECT 'conversations' AS kind, 'missing: ' || f AS error, count(*) AS n FROM (SELECT conv_id, unnest(['id', 'title', 'create_time']) AS f FROM (SELECT DISTINCT conv_id FROM conversations))
+WHERE f = 'id' AND conv_id % 4 = 0 OR f = 'title' AND conv_id % 5 = 0 OR f = 'create_time' AND conv_id % 7 = 0 GROUP BY ALL
+UNION ALL SELECT 'conversations', 'not valid JSON', count(DISTINCT conv_id) FROM conversations WHERE conv_id % 11 = 0 AND conv_id % 4 <> 0 HAVING count(*) > 0
+""")
+def thread_contract(spark, sf_dir):
+    """The thread export's contract over one record for each conversation, and files that are no JSON."""
+    conv = F.col("conv_id")
+    rows = read(spark, sf_dir, "conversations").select("conv_id").distinct()
+    raw = F.to_json(F.struct(F.when(conv % 4 != 0, conv.cast("string")).alias("id"), F.when(conv % 5 != 0, "t").alias("title"), F.when(conv % 7 != 0, 1.5).alias("create_time"), F.lit("x").alias("other")))
+    path = conv.cast("string").alias("path")
+    records = rows.select(path, F.lit(0).alias("pos"), raw.alias("raw"))
+    broken = rows.where("conv_id % 11 = 0 AND conv_id % 4 <> 0").select(path, F.lit("{not json").alias("value"))
+    found = adapters.EXPORTS["chatgpt"].problems({"conversations": records})
+    wrong = quality.invalid_json(broken.unionByName(records.select("path", F.col("raw").alias("value")))).select(F.lit("conversations").alias("kind"), F.lit("not valid JSON").alias("error"))
+    return found.select(F.col("table").alias("kind"), "error").unionByName(wrong).groupBy("kind", "error").agg(F.count("*").alias("n"))
+
+
 @query("SELECT doc_id, regexp_replace(regexp_replace(text, '(?i)ention', 'XX', 'g'), '(?i)the', 'YY', 'g') AS text FROM documents")
 def substituted(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", T.substitute(F.col("text"), {"the": "YY", "ention": "XX"}).alias("text"))

@@ -107,3 +107,31 @@ def test_logs_keep_no_gathered_id(spark, monkeypatch, most):
     assert not any(i in t for i in ids[10:] for t in got if t)
     assert '{"type":"event_msg","payload":{"turn_id":7,"at":"2024-07-17T07:00:00Z"}}' in got
     assert any(t and t.endswith("in plain text of /home/user") and not t.startswith("call_zzz9") for t in got)
+
+
+RECORDS = [
+    ({"type": "session_meta", "payload": {"id": "i", "cwd": "/w", "git": {"branch": "b"}, "base_instructions": {"text": "x" * 30}}}, "session_meta / None", "id=i cwd=/w cli=None provider=None\ngit: branch=b commit=None url=None\nbase_instructions: " + "x" * 20 + "  …[+10 chars]"),
+    ({"type": "turn_context", "payload": {"cwd": "/w", "model": "m", "timezone": None}}, "turn_context / None", "cwd=/w tz=None date=None model=m approval=None"),
+    ({"type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "t", "text": "one"}, {"input_text": "two"}, "three", {"k": 1}]}}, "response_item / message", '[user] one two three {"k":1'[:27] + "  …[+1 chars]"),
+    ({"type": "event_msg", "payload": {"type": "agent_message", "message": "", "text": "said", "memory_citation": "m"}}, "event_msg / agent_message", "said\n  memory_citation: m"),
+    ({"type": "response_item", "payload": {"type": "function_call", "name": "shell", "arguments": '{"command": ["ls", "-l"], "workdir": "/w"}'}}, "response_item / function_call", '[shell] cwd=/w\n  $ ["ls","-l"]'),
+    ({"type": "response_item", "payload": {"type": "function_call", "name": "shell", "arguments": "plain text"}}, "response_item / function_call", "[shell] cwd=None\n  $ plain text"),
+    ({"type": "response_item", "payload": {"type": "function_call_output", "output": "ok"}}, "response_item / function_call_output", "ok"),
+    ({"type": "response_item", "payload": {"type": "custom_tool_call", "name": "p", "status": "done", "input": "in"}}, "response_item / custom_tool_call", "[p] status=done\nin"),
+    ({"type": "response_item", "payload": {"type": "reasoning", "summary": []}}, "response_item / reasoning", "(no summary; encrypted_content=<encrypted>)"),
+    ({"type": "response_item", "payload": {"type": "reasoning", "summary": [{"text": "why"}]}}, "response_item / reasoning", "why"),
+    ({"type": "event_msg", "payload": {"type": "patch_apply_end", "status": "s", "success": True, "changes": {"a.py": {"unified_diff": "+" * 12}, "b.py": {}}}}, "event_msg / patch_apply_end", "status=s success=True files=2\n  a.py: ++++++++++  …[+2 chars]\n  b.py: "),
+    ({"type": "event_msg", "payload": {"type": "token_count", "info": {"total_token_usage": {"total_tokens": 7}}, "rate_limits": {"plan_type": None}}}, "event_msg / token_count", "total_tokens=7 plan=None"),
+    ({"type": "other", "payload": {"type": "odd", "a": 1}}, "other / odd", '{"a":1,"type":"odd"}'),
+    ({"type": "bare"}, "bare / None", "None"),
+]
+
+
+def test_digest_by_record_type(spark):
+    import json
+
+    rows = [(k, json.dumps(r)) for k, (r, _, _) in enumerate(RECORDS)] + [(90, "not json"), (91, None), (92, "[1]")]
+    got = {r["line"]: r["digest"] for r in pii.legible(spark.createDataFrame(rows, "line int, text string"), 20).collect()}
+    for k, (_, head, body) in enumerate(RECORDS):
+        assert got[k] == f"--- line {k}: {head} ---\n{body}", k
+    assert got[90] is got[91] is got[92] is None
