@@ -144,7 +144,7 @@ def conversation_markdown(item: Column, zone: str = "UTC") -> Column:
 
 def project_markdown(item: Column, zone: str = "UTC") -> Column:
     def doc(d: Column) -> Column:
-        at = F.coalesce(F.concat(F.lit("\n*"), times.display(blank_to_null(d["created_at"]), zone), F.lit("*\n")), F.lit(""))
+        at = F.when(blank_to_null(d["created_at"]).isNotNull(), F.concat(F.lit("\n*"), times.display(d["created_at"], zone), F.lit("*\n"))).otherwise("")
         return F.concat(F.lit("\n\n## 📄 "), F.coalesce(d["filename"], F.lit("(unnamed doc)")), F.lit("\n"), at, _paragraph(d["content"]), F.lit("\n\n---\n"))
 
     head = _head(item["name"], [("UUID", _code(F.coalesce(item["uuid"], F.lit("unknown")))), ("Created", times.display(item["created_at"], zone)), ("Updated", times.display(item["updated_at"], zone)), ("Description", blank_to_null(item["description"]))])

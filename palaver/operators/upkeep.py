@@ -96,5 +96,12 @@ def duplicates(rows: DataFrame, uuid: str, path: str) -> DataFrame:
     return rows.where(F.col(uuid).isNotNull()).groupBy(uuid).agg(F.count("*").alias("n"), F.array_sort(F.collect_set(path)).alias("paths")).where("n > 1")
 
 
+def duplicate_rows(rows: DataFrame, uuid: str, number: str = "n") -> DataFrame:
+    """The rows whose id stands in several, each with how many there are: an id with any number of rows is never
+    put together. Rows without an id are no copies of each other."""
+    counts = rows.where(F.col(uuid).isNotNull()).groupBy(uuid).agg(F.count("*").alias(number)).where(F.col(number) > 1)
+    return rows.drop(number).join(counts, uuid)
+
+
 def refresh_totals(appended: DataFrame, path: str = "path") -> DataFrame:
     return appended.agg(F.count("*").alias("new_lines"), F.count_distinct(path).alias("changed_files"))
