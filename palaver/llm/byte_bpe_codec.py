@@ -3,7 +3,7 @@
 A batch's texts become one array of code points, and each code point a class (letter, number, space,
 other white space, apostrophe, other). What the pattern needs to look ahead for (a contraction's letters,
 whether white space goes on) is read from shifted arrays and folded into the class: the result is a
-string over nine symbols, on which pre-tokens are found by an automaton of ten states. Its transition
+string over nine symbols, on which pre-tokens are found by an automaton of nine states. Its transition
 functions form a small monoid. Symbols are mapped to elements of it and composed by an associative
 scan: inside of all blocks side by side, then over the blocks' totals by doubling, which gives the state
 before each code point and with it every boundary at once. The slices between boundaries are made

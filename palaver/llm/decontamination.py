@@ -345,6 +345,14 @@ def op10_decontamination(spark, sf_dir: str) -> DataFrame:
     )
 
 
+def decontamination_proximity(spark, sf_dir: str) -> DataFrame:
+    """The other half of operator 10's matches: of every document the items whose six rarest words (of those that occur
+    in the corpus at all, if all do) stand within 20 words of it, in any order: doc_id, n_near, near_sha256."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = matches(docs, read(spark, sf_dir, "benchmark"))
+    return found.select(F.col("doc").alias("doc_id"), F.size("near_items").cast("long").alias("n_near"), F.sha2(F.encode(joined_ids(F.col("near_items")), "UTF-8"), 256).alias("near_sha256"))
+
+
 OP10_SQL = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r,

@@ -3,7 +3,7 @@
 from . import conversation_trie, decontamination, hamming_search, hard_negatives, url_filters, warc_archive
 from .byte_bpe_codec import op11_byte_bpe_codec
 from .conversation_trie import op12_conversation_trie
-from .decontamination import op10_decontamination
+from .decontamination import decontamination_proximity, op10_decontamination
 from .hamming_search import op5_hamming_search
 from .hard_negatives import op13_hard_negatives
 from .language_id import op3_language_id
@@ -15,7 +15,7 @@ from .token_counts import op1_token_counts
 from .url_filters import op9_url_filters
 from .warc_archive import op8_warc_archive
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_language_id, op4_quality_classifier, op5_hamming_search, op6_sentencepiece_codec, op7_simhash_dedup, op8_warc_archive, op9_url_filters, op10_decontamination, op11_byte_bpe_codec, op12_conversation_trie, op13_hard_negatives)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_sharding, op3_language_id, op4_quality_classifier, op5_hamming_search, op6_sentencepiece_codec, op7_simhash_dedup, op8_warc_archive, op9_url_filters, op10_decontamination, op11_byte_bpe_codec, op12_conversation_trie, op13_hard_negatives, decontamination_proximity)}
 
 ORACLE_SQL = {
     "op5_hamming_search": hamming_search.OP5_SQL,

@@ -210,3 +210,22 @@ def test_proximity(spark):
     six = " ".join(item.split()[:6])
     bench = spark.createDataFrame([(7, six)], "item_id long, text string")
     assert {r["doc_id"]: r["near_items"] for r in decontamination.contamination(docs, bench).collect()} == {1: [7], 2: [], 3: [], 4: []}
+
+
+def test_proximity_query(spark):
+    """The whole small table against brute force; of equally rare words those with the smallest hashes count."""
+    at = "/root/testdata/sf0.01"
+    docs = {r["doc_id"]: brute_words(r["text"]) for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    items = {r["item_id"]: brute_words(r["text"]) for r in spark.read.parquet(f"{at}/benchmark.parquet").collect()}
+    counts = {}
+    for words in docs.values():
+        for w in words:
+            counts[w] = counts.get(w, 0) + 1
+    rare = {i: sorted(set(ws), key=lambda w: (counts.get(w, 0), decontamination.term(w.encode() if isinstance(w, str) else w)))[:6] for i, ws in items.items()}
+    rare = {i: set(ws) for i, ws in rare.items() if ws and all(w in counts for w in items[i])}
+    got = {r["doc_id"]: r for r in decontamination.decontamination_proximity(spark, at).collect()}
+    assert set(got) == set(docs)
+    for d, words in docs.items():
+        near = sorted(str(i) for i, ws in rare.items() if any(ws <= set(words[k : k + 20]) for k in range(max(1, len(words) - 19))))
+        assert (got[d]["n_near"], got[d]["near_sha256"]) == (len(near), hashlib.sha256(",".join(near).encode()).hexdigest())
+    assert sum(r["n_near"] for r in got.values()) > 0
