@@ -160,12 +160,14 @@ def masks(ids: DataFrame, salt: str = "") -> DataFrame:
             out.append(mask)
         return pd.DataFrame({"id": group["id"], "mask": out})
 
-    rows = kept(ids.withColumn("s", shaped("id")).select("id", "s.*"))
+    # Ids are few bytes and much work, so they are dealt to as many tasks as a shuffle has, not by their size.
+    tasks = int(ids.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = kept(ids.repartition(tasks, "id").withColumn("s", shaped("id")).select("id", "s.*"))
     done = rows.where(F.col("size") <= SMALL_SHAPE).groupBy("shape").applyInPandas(small, "id string, mask string")  # SMALL_SHAPE rows at most
     large = rows.where(F.col("size") > SMALL_SHAPE)
     crowded = large.groupBy("shape", "size").agg(F.count("*").alias("n")).where(F.col("n") * SPARSE > F.col("size")).select("shape")
     marked = large.join(crowded.withColumn("crowded", F.lit(True)), "shape", "left")
-    open_ = kept(marked.select("id", next_("id").alias("mask"), F.lit(1).alias("open"), F.col("crowded").isNotNull().alias("crowded")))
+    open_ = kept(marked.repartition(tasks, "id").select("id", next_("id").alias("mask"), F.lit(1).alias("open"), F.col("crowded").isNotNull().alias("crowded")))
     done = kept(done.unionByName(open_.where("crowded").select("id", "mask")))
     open_ = open_.where("NOT crowded").drop("crowded")
     real = ids.select(F.col("id").alias("mask"), F.lit(1).alias("real"))
