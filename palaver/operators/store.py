@@ -72,12 +72,19 @@ def _bucket(buckets: int) -> Column:
     return F.pmod(F.xxhash64(KEY), F.lit(buckets)).cast("int")
 
 
-def _put(rows: DataFrame, root: str, table: str, touched: DataFrame, order: list[str]) -> DataFrame:
-    """Write the touched buckets of a table over what they held; each gets a row of nulls besides."""
-    blank = touched.select(*[F.col("bucket") if f.name == "bucket" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
-    dealt = rows.unionByName(blank).repartition("bucket").sortWithinPartitions("bucket", *order)
-    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/{table}")
-    return rows
+def _blank(rows: DataFrame, touched: DataFrame) -> DataFrame:
+    """A row of nulls for each touched bucket."""
+    return touched.select(*[F.col("bucket") if f.name == "bucket" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
+
+
+def _put(rows: DataFrame, root: str, table: str) -> None:
+    """Write whole buckets of a table over what they held. What is read of them meanwhile is there until all is written."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/{table}")
+
+
+def _dealt(rows: DataFrame, touched: DataFrame, order: list[str]) -> DataFrame:
+    """One task for each bucket, and its row of nulls."""
+    return rows.unionByName(_blank(rows, touched)).repartition("bucket").sortWithinPartitions("bucket", *order)
 
 
 def refresh(spark: SparkSession, root: str, files: DataFrame, extract: Callable[[DataFrame], DataFrame], version: int = EXTRACTOR_VERSION, buckets: int = BUCKETS) -> DataFrame:
@@ -102,7 +109,8 @@ def refresh(spark: SparkSession, root: str, files: DataFrame, extract: Callable[
         return diff.select(KEY, "change")
     to_read = work.where("change <> 'removed'").select(KEY)
     made = extract(files.join(to_read, KEY, "left_semi"))
-    made = kept(made if "problem" in made.columns else made.withColumn("problem", F.lit(None).cast("string")))
+    made = made if "problem" in made.columns else made.withColumn("problem", F.lit(None).cast("string"))
+    given = kept(made.select(KEY, "problem"))
     new = made.where("problem IS NULL").drop("problem").withColumn("bucket", _bucket(buckets))
 
     def stay(table: str) -> DataFrame:
@@ -110,18 +118,21 @@ def refresh(spark: SparkSession, root: str, files: DataFrame, extract: Callable[
         return live(spark, root, table).where(F.col("bucket").isin(told)).join(work.select(KEY), KEY, "left_anti")
 
     rows = new.unionByName(stay("items").drop("number"), allowMissingColumns=True) if have else new
+    rows = rows.unionByName(_blank(rows, touched))
+    # The window deals the rows out by bucket already; texts are written once here and once in their own table.
     number = F.row_number().over(Window.partitionBy("bucket").orderBy(KEY)) - 1
-    items = _put(kept(rows.withColumn("number", number)), root, "items", touched, [KEY])
-    texts = kept(items.select("bucket", "number", KEY, F.posexplode("texts").alias("pos", "text")))
-    _put(texts, root, "texts", touched, [KEY, "pos"])
-    each = texts.select("bucket", "number", F.explode(T.trigrams(F.col("text"))).alias("gram"))
+    _put(rows.withColumn("number", number), root, "items")
+    now = lambda table: live(spark, root, table).where(F.col("bucket").isin(told))
+    texts = now("items").select("bucket", "number", KEY, F.posexplode("texts").alias("pos", "text"))
+    _put(_dealt(texts, touched, [KEY, "pos"]), root, "texts")
+    each = now("texts").select("bucket", "number", F.explode(T.trigrams(F.col("text"))).alias("gram"))
     numbers = F.array_sort(F.collect_set("number"))
-    _put(each.groupBy("bucket", "gram").agg(numbers.alias("numbers")).withColumn("n", F.size("numbers")), root, "postings", touched, ["gram"])
-    wrong = to_read.join(new.select(KEY), KEY, "left_anti").join(made.where("problem IS NOT NULL").groupBy(KEY).agg(F.min("problem").alias("problem")), KEY, "left")
+    _put(_dealt(each.groupBy("bucket", "gram").agg(numbers.alias("numbers")).withColumn("n", F.size("numbers")), touched, ["gram"]), root, "postings")
+    wrong = to_read.join(given.where("problem IS NULL").select(KEY), KEY, "left_anti").join(given.where("problem IS NOT NULL").groupBy(KEY).agg(F.min("problem").alias("problem")), KEY, "left")
     wrong = wrong.join(work.select(KEY, "tries", "bucket"), KEY).select(KEY, F.coalesce("problem", F.lit(NOTHING)).alias("reason"), (F.coalesce("tries", F.lit(0)) + 1).alias("tries"), "bucket")
-    _put(kept(wrong.unionByName(stay("aside")) if have else wrong), root, "aside", touched, [KEY])
+    _put(_dealt(kept(wrong.unionByName(stay("aside")) if have else wrong), touched, [KEY]), root, "aside")
     facts = files.join(to_read, KEY, "left_semi").select(KEY, *FACTS, _bucket(buckets).alias("bucket"))
-    _put(kept(facts.unionByName(stay("catalog")) if have else facts), root, "catalog", touched, [KEY])
+    _put(_dealt(kept(facts.unionByName(stay("catalog")) if have else facts), touched, [KEY]), root, "catalog")
     if have != (buckets, version):
         spark.createDataFrame([(buckets, version)], "buckets int, version int").coalesce(1).write.mode("overwrite").json(f"{root}/settings")
     return diff.select(KEY, "change")
