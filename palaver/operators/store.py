@@ -1,13 +1,15 @@
 """Derived tables on disk: items, their texts, a trigram index, the files they come from and those set aside.
 
 All tables are Parquet, partitioned by a bucket of the path. A refresh finds the buckets that have new,
-rewritten or removed files and writes those buckets anew, one file each, over the old ones; the other
-buckets are not touched, so tables have as many files after any number of refreshes as after one
-build. The catalog is written last: what a refresh that breaks off has left is done again by the next one.
+rewritten or removed files and writes those buckets anew, a file for each ``PART_BYTES`` of them, over the
+old ones; the other buckets are not touched, so tables have as many files after any number of refreshes as
+after one build. The catalog is written last: what a refresh that breaks off has left is done again by the
+next one. Tables of another ``LAYOUT`` are built anew.
 
-Within a bucket items have numbers, and the index has one row for each bucket and trigram with the sorted
-numbers of the items that have it: lookups read the pages of a few trigrams in each bucket and intersect
-arrays. Choose ``buckets`` so that one holds up to some 100,000 items.
+Within a bucket items have numbers. The index goes by chunks of a bucket's texts, and has one row for each
+chunk and trigram with the sorted numbers of the items that have it: lookups read the pages of a few trigrams
+in each bucket and intersect the arrays of a chunk. No text lies in two chunks, so no match is lost. A bucket
+may have any size: its rows are dealt to as many tasks as they need.
 
 A file that gives no item, or one with a ``problem``, is set aside with the reason and the number of
 tries, and tried again by every refresh until it gives one.
@@ -20,10 +22,9 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 from . import grams, search, upkeep
 from .normalize import EXTRACTOR_VERSION
 from .numbering import kept
@@ -34,6 +35,10 @@ BUCKETS = 64
 #: The index reads at most so many of a query's trigrams, its rarest ones.
 RAREST = 8
 NOTHING = "nothing extracted"
+#: Bytes of files that one task writes of a bucket, about.
+PART_BYTES = 32 << 20
+#: Of the tables: 2 has chunks in the index.
+LAYOUT = 2
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -47,14 +52,14 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def settings(spark: SparkSession, root: str) -> tuple[int, int] | None:
-    """(buckets, extractor version) of the tables; None: there are none."""
+    """(buckets, extractor version) of the tables; None: there are none of this layout."""
     try:
-        found = spark.read.schema("buckets int, version int").json(f"{root}/settings").first()
+        found = spark.read.schema("buckets int, version int, layout int").json(f"{root}/settings").first()
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return None
-    return found and (found["buckets"], found["version"])
+    return (found["buckets"], found["version"]) if found and found["layout"] == LAYOUT else None
 
 
 def live(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -64,7 +69,7 @@ def live(spark: SparkSession, root: str, table: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, root: str) -> DataFrame:
-    """bucket, gram, n, numbers."""
+    """bucket, chunk, gram, n, numbers."""
     return spark.read.parquet(f"{root}/postings").where(F.col("gram").isNotNull())
 
 
@@ -77,14 +82,22 @@ def _blank(rows: DataFrame, touched: DataFrame) -> DataFrame:
     return touched.select(*[F.col("bucket") if f.name == "bucket" else F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema])
 
 
-def _put(rows: DataFrame, root: str, table: str) -> None:
-    """Write whole buckets of a table over what they held. What is read of them meanwhile is there until all is written."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{root}/{table}")
+def _put(rows: DataFrame, root: str, table: str, whole: bool = False) -> None:
+    """Write whole buckets of a table over what they held, or the ``whole`` table. What is read of them meanwhile is there
+    until all is written."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "static" if whole else "dynamic").partitionBy("bucket").parquet(f"{root}/{table}")
 
 
-def _dealt(rows: DataFrame, touched: DataFrame, order: list[str]) -> DataFrame:
-    """One task for each bucket, and its row of nulls."""
-    return rows.unionByName(_blank(rows, touched)).repartition("bucket").sortWithinPartitions("bucket", *order)
+def _parts(files: DataFrame, told: list[int], buckets: int) -> int:
+    """Tasks that a touched bucket is dealt to, from the bytes of its files."""
+    size = files.where(_bucket(buckets).isin(told)).agg(F.sum("size")).first()[0] or 0
+    return max(1, -(-size // (len(told) * PART_BYTES)))
+
+
+def _dealt(rows: DataFrame, touched: DataFrame, parts: int, *order: str) -> DataFrame:
+    """Rows of a bucket in ``parts`` tasks by their path, and its row of nulls."""
+    part = F.pmod(F.xxhash64(F.lit("part"), KEY), F.lit(parts))
+    return rows.unionByName(_blank(rows, touched)).repartition("bucket", part).sortWithinPartitions("bucket", KEY, *order)
 
 
 def refresh(spark: SparkSession, root: str, files: DataFrame, extract: Callable[[DataFrame], DataFrame], version: int = EXTRACTOR_VERSION, buckets: int = BUCKETS) -> DataFrame:
@@ -107,34 +120,38 @@ def refresh(spark: SparkSession, root: str, files: DataFrame, extract: Callable[
     told = [r["bucket"] for r in touched.collect()]  # at most `buckets`
     if not told:
         return diff.select(KEY, "change")
+    parts = _parts(files, told, buckets)
     to_read = work.where("change <> 'removed'").select(KEY)
-    made = extract(files.join(to_read, KEY, "left_semi"))
+    every = not have or diff.where("change = 'same' AND NOT again").isEmpty()  # then nothing has to be looked up
+    reading = files.where(F.col(KEY).isNotNull()) if every else files.join(to_read, KEY, "left_semi")
+    made = extract(reading)
     made = made if "problem" in made.columns else made.withColumn("problem", F.lit(None).cast("string"))
     given = kept(made.select(KEY, "problem"))
     new = made.where("problem IS NULL").drop("problem").withColumn("bucket", _bucket(buckets))
 
-    def stay(table: str) -> DataFrame:
-        """A table's rows in the touched buckets of files that have no work."""
-        return live(spark, root, table).where(F.col("bucket").isin(told)).join(work.select(KEY), KEY, "left_anti")
-
-    rows = new.unionByName(stay("items").drop("number"), allowMissingColumns=True) if have else new
-    rows = rows.unionByName(_blank(rows, touched))
-    # The window deals the rows out by bucket already; texts are written once here and once in their own table.
-    number = F.row_number().over(Window.partitionBy("bucket").orderBy(KEY)) - 1
-    _put(rows.withColumn("number", number), root, "items")
-    now = lambda table: live(spark, root, table).where(F.col("bucket").isin(told))
-    texts = now("items").select("bucket", "number", KEY, F.posexplode("texts").alias("pos", "text"))
-    _put(_dealt(texts, touched, [KEY, "pos"]), root, "texts")
-    each = now("texts").select("bucket", "number", F.explode(T.trigrams(F.col("text"))).alias("gram"))
-    numbers = F.array_sort(F.collect_set("number"))
-    _put(_dealt(each.groupBy("bucket", "gram").agg(numbers.alias("numbers")).withColumn("n", F.size("numbers")), touched, ["gram"]), root, "postings")
+    def with_rest(rows: DataFrame, table: str, drop: str = "") -> DataFrame:
+        """Those rows and the table's rows in the touched buckets of files that have no work."""
+        if every:
+            return rows
+        stay = live(spark, root, table).where(F.col("bucket").isin(told)).join(work.select(KEY), KEY, "left_anti")
+        return rows.unionByName(stay.drop(drop), allowMissingColumns=True)
+
+    def now(table: str) -> DataFrame:
+        return spark.read.parquet(f"{root}/{table}").where(F.col("bucket").isin(told))
+
+    # Texts are dealt out once, for the items; the other tables follow the items' files.
+    rows = _dealt(with_rest(new, "items", "number"), touched, parts)
+    _put(rows.withColumn("number", F.monotonically_increasing_id()), root, "items", not have)
+    texts = now("items").select("bucket", "number", KEY, F.posexplode_outer("texts").alias("pos", "text")).where(f"{KEY} IS NULL OR pos IS NOT NULL")
+    _put(texts.sortWithinPartitions("bucket", "number", "pos"), root, "texts", not have)
+    _put(grams.posted(now("texts"), KEY).sortWithinPartitions("bucket", "gram"), root, "postings", not have)
     wrong = to_read.join(given.where("problem IS NULL").select(KEY), KEY, "left_anti").join(given.where("problem IS NOT NULL").groupBy(KEY).agg(F.min("problem").alias("problem")), KEY, "left")
     wrong = wrong.join(work.select(KEY, "tries", "bucket"), KEY).select(KEY, F.coalesce("problem", F.lit(NOTHING)).alias("reason"), (F.coalesce("tries", F.lit(0)) + 1).alias("tries"), "bucket")
-    _put(_dealt(kept(wrong.unionByName(stay("aside")) if have else wrong), touched, [KEY]), root, "aside")
-    facts = files.join(to_read, KEY, "left_semi").select(KEY, *FACTS, _bucket(buckets).alias("bucket"))
-    _put(_dealt(kept(facts.unionByName(stay("catalog")) if have else facts), touched, [KEY]), root, "catalog")
+    _put(_dealt(kept(with_rest(wrong, "aside")), touched, parts), root, "aside", not have)
+    facts = reading.select(KEY, *FACTS, _bucket(buckets).alias("bucket"))
+    _put(_dealt(kept(with_rest(facts, "catalog")), touched, parts), root, "catalog", not have)
     if have != (buckets, version):
-        spark.createDataFrame([(buckets, version)], "buckets int, version int").coalesce(1).write.mode("overwrite").json(f"{root}/settings")
+        spark.createDataFrame([(buckets, version, LAYOUT)], "buckets int, version int, layout int").coalesce(1).write.mode("overwrite").json(f"{root}/settings")
     return diff.select(KEY, "change")
 
 
@@ -148,9 +165,10 @@ def candidates(index: DataFrame, query: str, exact: bool = False, most: int = RA
         counts = {r["gram"]: r["n"] for r in rows.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
         wanted = sorted(wanted, key=lambda g: (counts.get(g, 0), g))[:most]
         rows = rows.where(F.col("gram").isin(wanted))
-    lists = rows.groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("n", "numbers"))).alias("lists")).where(F.size("lists") == len(wanted))
+    rows = rows.groupBy("bucket", "chunk", "gram").agg(F.flatten(F.collect_list("numbers")).alias("numbers"))  # one row, as a rule
+    lists = rows.groupBy("bucket", "chunk").agg(F.array_sort(F.collect_list(F.struct(F.size("numbers").alias("n"), "numbers"))).alias("lists")).where(F.size("lists") == len(wanted))
     both = F.aggregate("lists", F.get("lists", F.lit(0))["numbers"], lambda acc, x: F.array_intersect(acc, x["numbers"]))
-    return lists.select("bucket", F.explode(both).alias("number"))
+    return lists.select("bucket", F.explode(both).alias("number")).distinct()
 
 
 def search_index(spark: SparkSession, root: str, query: str, n: int | None = None, exact: bool = False, by: str = "score", current_host: str | None = None, as_of: Column | None = None, stand_ins: dict[str, str] | None = None) -> DataFrame:

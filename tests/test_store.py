@@ -1,8 +1,9 @@
 """Derived tables on disk: every refresh equals a rebuild."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from palaver.operators import normalize, store
+from palaver.operators import grams, normalize, store
 
 
 def extract(files):
@@ -113,3 +114,61 @@ def test_what_fails_is_tried_again(spark, tmp_path):
     assert aside() == {("x", store.NOTHING, 1)}
     store.refresh(spark, root, files(spark, {"a": "one"}), extract)
     assert aside() == set()
+
+
+def test_large_buckets_are_dealt_to_several_tasks(spark, tmp_path, monkeypatch):
+    """One bucket in parts and chunks: several files, and the same search, also after removals and rewrites."""
+    monkeypatch.setattr(store, "PART_BYTES", 1000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small parts stay apart
+    root, rows = str(tmp_path), {f"p{k}": f"some words of {k} " * 10 + ("zebra" if k % 3 == 0 else "") for k in range(60)}
+    store.refresh(spark, root, files(spark, rows), extract, buckets=1)
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert data_files(tmp_path)["items"] > 1 and data_files(tmp_path)["catalog"] > 1
+    assert set(found(spark, root, "zebra")) == {p for p, t in rows.items() if "zebra" in t}
+    del rows["p0"]
+    rows |= {"p3": "another", "p4": "zebra words", "new": "ZEBRA"}
+    store.refresh(spark, root, files(spark, rows), extract)
+    assert set(found(spark, root, "zebra")) == {p for p, t in rows.items() if "zebra" in t.lower()}
+    numbers = [r["number"] for r in store.live(spark, root, "items").collect()]
+    assert len(numbers) == len(set(numbers)) == len(rows)
+
+
+def test_index_holds_the_trigrams_of_each_text(spark):
+    """Chunks of any size hold each item's trigrams once; texts of all kinds, several of one item, null and empty ones."""
+    texts = ["abcabc", "İé𝒳y", "a\0b\0", "", "ab", None, "x\ny", "éou 𝒳𝒳𝒳𝒳 end", "abcabc tail"]
+    rows = [(k % 2, k // 2, "p", t) for k, t in enumerate(texts + texts)] + [(0, None, None, None)]
+    df = spark.createDataFrame(sorted(rows, key=lambda r: (r[0], -1 if r[1] is None else r[1])), "bucket int, number long, path string, text string").coalesce(1)
+    low = df.select("bucket", "number", F.lower("text").alias("text")).where("text IS NOT NULL").collect()
+    want = {(r["bucket"], r["text"][k : k + 3], r["number"]) for r in low for k in range(len(r["text"]) - 2)}
+    got = grams.posted(df, "path")
+    lists = got.where("gram IS NOT NULL").collect()
+    assert all(r["n"] == len(r["numbers"]) and r["numbers"] == sorted(set(r["numbers"])) for r in lists)
+    assert sorted((r["bucket"], r["gram"], n) for r in lists for n in r["numbers"]) == sorted(want)
+    assert [tuple(r) for r in got.where("gram IS NULL").collect()] == [(0, None, None, None, None)]
+
+
+def test_pairs_of_long_texts_and_many_characters(monkeypatch):
+    """Cut windows and halves give the pairs of plain Python."""
+    def plain(texts):
+        return sorted({(t[k : k + 3], n) for n, t in enumerate(texts) for k in range(len(t) - 2)})
+
+    def names(gram):
+        return ["".join(chr(int(g) >> s & 0x1FFFFF) for s in (42, 21, 0)) for g in gram]
+
+    many = ["".join(map(chr, range(k * 3000 + 60_000, k * 3000 + 63_000))) for k in range(300)]
+    texts = [t.replace("\ud800", "") for t in many if not any(0xD800 <= ord(c) < 0xE000 for c in t)]
+    gram, number = grams._pairs(texts, np.arange(len(texts)))
+    assert sorted(zip(names(gram), number.tolist(), strict=True)) == plain(texts)
+    monkeypatch.setattr(grams, "CHARS", 7)
+    text = "the quick brown fox jumps over the lazy dog"
+    gram, number = grams._pairs([text], np.array([0]))
+    assert sorted(zip(names(gram), number.tolist(), strict=True)) == plain([text])
+
+
+def test_tables_of_another_layout_are_built_anew(spark, tmp_path):
+    root = str(tmp_path)
+    store.refresh(spark, root, files(spark, {"a": "one", "b": "two"}), extract)
+    spark.createDataFrame([(64, 1)], "buckets int, version int").coalesce(1).write.mode("overwrite").json(f"{root}/settings")
+    assert store.settings(spark, root) is None
+    store.refresh(spark, root, files(spark, {"a": "one more"}), extract)
+    assert found(spark, root, "one") == {"a": 1} and found(spark, root, "two") == {}
