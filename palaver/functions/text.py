@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,27 +83,40 @@ def name_bonus(name_raw: Column, query: str, exact: bool = False) -> Column:
     return F.when((F.coalesce(name_raw, F.lit("")) != "") & found, 5.0).otherwise(0.0)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often, and in whatever loop, ``body`` has it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def snippets(text: Column, literal: str, around: int = 100) -> Column:
     """One string for each occurrence: the text around it, line ends as spaces, dots where cut.
 
-    One pass: the text between occurrences, the occurrences and what follows each are extracted once;
-    the walk carries the last ``around`` characters along."""
+    One pass: the text between occurrences, the occurrences and what follows each are extracted once. What stands
+    before one is put together of the ends of the few pieces before it, as many as hold ``around`` characters for sure,
+    so that the work grows with the number of occurrences and not with its square."""
     hit = "(?iu)" + quoted(literal)
     between = F.split(text, hit, -1)
     found = F.regexp_extract_all(text, F.lit(hit), F.lit(0))
     after = F.regexp_extract_all(text, F.lit(f"{hit}(?s)(?=(.{{0,{around + 1}}}))"), F.lit(1))
     steps = F.filter(F.arrays_zip(between.alias("between"), found.alias("hit"), after.alias("after")), lambda s: s["hit"].isNotNull())
-    kind = "struct<tail: string, at: int, out: array<string>>"
+    pieces, end = around + 2, F.lit(around + 1)
 
-    def step(acc: Column, s: Column) -> Column:
-        before = F.concat(acc["tail"], s["between"])
-        at = acc["at"] + F.length(s["between"])
+    def one(s: Column, before: Column) -> Column:
         body = ws_trim(F.translate(F.concat(F.right(before, F.lit(around)), s["hit"], F.left(s["after"], F.lit(around))), "\n", " "))
-        one = F.concat(F.when(at > around, "...").otherwise(""), body, F.when(F.length(s["after"]) > around, "...").otherwise(""))
-        return F.struct(F.right(F.concat(before, s["hit"]), F.lit(around)).alias("tail"), (at + F.length(s["hit"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out")).cast(kind)
+        return F.concat(F.when(F.length(before) > around, "...").otherwise(""), body, F.when(F.length(s["after"]) > around, "...").otherwise(""))
+
+    def each(b: Column) -> Column:
+        def before(s: Column, k: Column) -> Column:
+            last = F.slice(b["ends"], F.greatest(k - pieces, F.lit(0)) + 1, F.least(k, F.lit(pieces)))
+            return F.right(F.concat(F.array_join(last, ""), s["between"]), end)
+
+        return F.transform(b["steps"], lambda s, k: bound(before(s, k), lambda x: one(s, x)))
+
+    def with_ends(steps: Column) -> Column:
+        ends = F.transform(steps, lambda s: F.right(F.concat(s["between"], s["hit"]), end))
+        return F.struct(steps.alias("steps"), ends.alias("ends"))
 
-    start = F.struct(F.lit("").alias("tail"), F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")).cast(kind)
-    return F.aggregate(steps, start, step, lambda acc: acc["out"])
+    return bound(bound(steps, with_ends), each)
 
 
 def highlight(text: Column, terms: list[str], left: str = "<<", right: str = ">>") -> Column:

@@ -40,9 +40,10 @@ def search(items: DataFrame, texts: DataFrame, query: str, key: list[str], exact
 def matching_texts(texts: DataFrame, query: str, text: str = "text", exact: bool = False) -> DataFrame:
     """Texts that match, with their snippets as array<struct<text, score>>."""
     parts = [query.strip()] if exact else query.split()
-    score = T.score_match(F.col(text), query)
     found = F.flatten(F.array(*[T.snippets(F.col(text), p) for p in parts]))
-    return texts.where(T.matches_query(F.col(text), query, exact)).withColumn("matches", F.transform(found, lambda s: F.struct(s.alias("text"), score.alias("score"))))
+    both = F.struct(found.alias("found"), T.score_match(F.col(text), query).alias("score"))  # a text is scored once, not for each snippet
+    matches = T.bound(both, lambda b: F.transform(b["found"], lambda s: F.struct(s.alias("text"), b["score"].alias("score"))))
+    return texts.where(T.matches_query(F.col(text), query, exact)).withColumn("matches", matches)
 
 
 def first_snippets(matches: Column, most: int = 2) -> Column:

@@ -1,6 +1,7 @@
 """Scalar functions on Unicode, empty and odd values."""
 
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -96,3 +97,15 @@ def test_times(one):
     boost = lambda t: one(times.recency_boost(times.parse_iso(F.col("t")), times.parse_iso(F.lit("2024-01-01T00:00:00Z"))), t=t)
     assert [boost("2024-01-01"), boost("2023-01-01"), boost("2020-01-01"), boost("x")] == [5.0, 0.0, 0.0, 0.0] and boost("2024-02-01") > 5
     assert one(times.display(F.col("t"), "Europe/Paris"), t="2024-01-01T00:00:00Z") == "2024-01-01 01:00:00"
+
+
+def test_snippets_of_very_many_occurrences(spark):
+    """40,000 occurrences in a text, side by side and apart: the work grows with their number, not with its square."""
+    texts = ["ab" * 40_000, "".join(f"{k} AB\n" for k in range(40_000))]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    start = time.monotonic()
+    got = [r["s"] for r in df.select(T.snippets(F.col("t"), "ab").alias("s")).collect()]
+    assert time.monotonic() - start < 60
+    for text, found in zip(texts, got, strict=True):
+        spans = [(max(0, m.start() - 100), min(len(text), m.end() + 100)) for m in re.finditer("ab", text, re.I)]
+        assert found == [("..." if a else "") + text[a:b].replace("\n", " ").strip() + ("..." if b < len(text) else "") for a, b in spans]
