@@ -1,15 +1,18 @@
-"""Very many literals at once: an Aho-Corasick automaton over a table of them, in one pass over each text.
-
-A table whose literals have up to ``MOST_CHARS`` characters in all goes to every task. A larger one is
-split by a hash into shards of about that size; every text meets every shard in a stream of its own, in
-which one shard's automaton and one batch of texts are held, and what the shards found is put together
-again by the text's number.
+"""Very many literals at once, in one pass over each text.
+
+A table whose literals have up to ``MOST_CHARS`` characters in all goes to every task as an Aho-Corasick automaton.
+Of a larger one every task gets two bit tables of hashes: of how literals begin, in as many characters as the largest
+power of two that fits, and of whole literals. Hashes of all places of a text are doubled from one such width to the
+next; a place whose beginning is known is tried with each length of literals that begin in that width. What passes
+crosses the network as a string and is joined to the literals, so hashes only spare work: a chance match is dropped,
+and texts stay where they are, however many literals there are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,9 +21,11 @@ from .numbering import fresh, kept
 
 #: Characters of the literals of one automaton: some 100 bytes each.
 MOST_CHARS = 1_000_000
-#: Tasks that one shard's texts are dealt to, at least.
-SPREAD = 8
-_HIT = "array<struct<begin: int, end: int, stand_in: string>>"
+#: Bits of a table of hashes, at least and at most; in between 64 for each literal. More literals than that make more
+#: chance matches.
+FEWEST_BITS, MOST_BITS = 1 << 16, 1 << 28
+#: Characters of a text whose hashes are held at once.
+CHARS = 1 << 20
 
 
 def folded(text: str) -> str:
@@ -82,8 +87,10 @@ def replaced(rows: DataFrame, text: str, table: DataFrame, fold: bool = False, m
         return rows.withColumn(text, one_pass(text))
     number, hits = fresh(rows, "number", "hits")
     rows = kept(rows.withColumn(number, F.monotonically_increasing_id()))
-    found = _streamed(rows.select(F.col(number).alias("number"), F.col(text).alias("text")), pairs, -(-chars // most), fold, True)
-    found = found.groupBy(F.col("number").alias(number)).agg(F.flatten(F.collect_list("hits")).alias(hits))
+    found = _found(rows.select(F.col(number).alias("number"), F.col(text).alias("text")), pairs, fold, True)
+    # Of the literals that begin at a place the longest; of equal ones the smallest stand-in.
+    found = found.groupBy("number", "begin").agg(F.min_by(F.struct("begin", "end", "stand_in"), F.struct(-F.col("end"), "stand_in")).alias("hit"))
+    found = found.groupBy(F.col("number").alias(number)).agg(F.collect_list("hit").alias(hits))
 
     @F.pandas_udf("string")
     def together(texts: pd.Series, hits: pd.Series) -> pd.Series:
@@ -112,8 +119,8 @@ def holding(rows: DataFrame, text: str, literals: DataFrame, line: str, fold: bo
         found = numbered.select("line", F.explode(held("text")).alias("literal"))
     else:
         numbered = kept(numbered)
-        hits = _streamed(numbered.select("number", "text"), pairs, -(-chars // most), fold, False)
-        found = hits.select("number", F.explode("hits.stand_in").alias("literal")).join(numbered.select("number", "line"), "number").drop("number")
+        found = _found(numbered.drop("line"), pairs, fold, False).select("number", F.col("stand_in").alias("literal")).distinct()
+        found = found.join(numbered.select("number", "line"), "number").drop("number")
     if fold:
         found = found.withColumnRenamed("literal", "low").join(named.select("literal", F.lower("literal").alias("low")), "low")
     return found.select("literal", "line")
@@ -125,31 +132,95 @@ def _held(machine, text: str | None, fold: bool) -> list[str]:
     return sorted({stand_in for _, (_, stand_in) in machine.iter(folded(text) if fold else text)})
 
 
-def _streamed(texts: DataFrame, pairs: DataFrame, shards: int, fold: bool, places: bool) -> DataFrame:
-    """number, hits for every text and shard with a hit: by place, the longest ones, or each literal once."""
-    parts = max(1, SPREAD)
-    each = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    of = F.pmod(F.xxhash64("literal"), F.lit(shards)).cast("int")
-    first = pairs.select(of.alias("shard"), each.alias("part"), F.lit(None).cast("long").alias("number"), F.col("literal").alias("text"), "stand_in")
-    rest = texts.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.col("number"), F.lit(parts)).cast("int").alias("part"), "number", "text", F.lit(None).cast("string").alias("stand_in"))
-    dealt = first.unionByName(rest.where("text IS NOT NULL")).repartition("shard", "part").sortWithinPartitions("shard", "part", F.asc_nulls_first("number"))
-
-    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, given, machine = None, [], None
-        for batch in batches:
-            numbers, hits = [], []
-            for key, number, text, stand_in in zip(zip(batch["shard"], batch["part"], strict=True), batch["number"], batch["text"], batch["stand_in"], strict=True):
-                if key != now:
-                    now, given, machine = key, [], None
-                if pd.isna(number):
-                    given.append((text, stand_in))
-                    continue
-                if machine is None:
-                    machine = automaton(given, fold)
-                found = longest(machine, text, fold) if places else [(0, 0, s) for s in _held(machine, text, fold)]
-                if found:
-                    numbers.append(int(number))
-                    hits.append([{"begin": a, "end": b, "stand_in": s} for a, b, s in found])
-            yield pd.DataFrame({"number": pd.Series(numbers, dtype="int64"), "hits": pd.Series(hits, dtype=object)})
-
-    return dealt.mapInPandas(stream, f"number long, hits {_HIT}")
+def _found(texts: DataFrame, pairs: DataFrame, fold: bool, places: bool) -> DataFrame:
+    """number, begin, end, stand_in of every literal at every place of the texts (number, text); without ``places`` once for
+    each text."""
+    spark = texts.sparkSession
+
+    @F.pandas_udf("string")
+    def plain(literals: pd.Series) -> pd.Series:
+        return pd.Series([folded(x) for x in literals], dtype=object)
+
+    keys = pairs.withColumn("literal", plain("literal")).groupBy("literal").agg(F.min("stand_in").alias("stand_in")) if fold else pairs
+    keys = kept(keys)
+    bits = min(MOST_BITS, max(FEWEST_BITS, 1 << (64 * keys.count()).bit_length()))
+
+    @F.pandas_udf("struct<size: int, first: long, whole: long>")
+    def hashed(literals: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_literal_hashes(x, bits) for x in literals], columns=["size", "first", "whole"])
+
+    known = kept(keys.select(hashed("literal").alias("h")).select("h.*"))
+    sizes: dict[int, list[int]] = {}  # by width
+    for row in known.select("size").distinct().collect():  # as many as there are lengths
+        sizes.setdefault(_width(row["size"]), []).append(row["size"])
+    sent = spark.sparkContext.broadcast((bits, {w: sorted(x) for w, x in sizes.items()}, _bit_table(known, "first", bits), _bit_table(known, "whole", bits)))
+
+    @F.pandas_udf("array<struct<begin: int, end: int, literal: string>>")
+    def candidates(column: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else _candidates(folded(t) if fold else t, sent.value, places) for t in column], dtype=object)
+
+    each = texts.select("number", F.explode(candidates("text")).alias("c")).select("number", "c.*")
+    return each.join(keys, "literal").drop("literal")
+
+
+def _width(size: int) -> int:
+    """The largest power of two up to ``size``."""
+    return 1 << (size.bit_length() - 1)
+
+
+def _mixed(left: np.ndarray, right: np.ndarray | int) -> np.ndarray:
+    """Hashes of two neighbours in one."""
+    right = np.atleast_1d(np.asarray(right, np.uint64))
+    x = left * np.uint64(0x9E3779B97F4A7C15) + (right ^ (right >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _coded(text: str) -> np.ndarray:
+    return _mixed(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64), 1)
+
+
+def _literal_hashes(literal: str, bits: int) -> tuple[int, int, int]:
+    """Its length, and the bits of its beginning and of all of it."""
+    size, width = len(literal), _width(len(literal))
+    head, tail = _coded(literal[:width]), _coded(literal[size - width :])
+    while len(head) > 1:
+        head, tail = _mixed(head[::2], head[1::2]), _mixed(tail[::2], tail[1::2])
+    mask = np.uint64(bits - 1)
+    return size, int((_mixed(head, width) & mask)[0]), int((_mixed(_mixed(head, tail), size) & mask)[0])
+
+
+def _bit_table(known: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A table of ``bits`` bits with those of the column set, put together of 64 at a time."""
+    words = known.select((F.col(column) / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast({column} % 64 as int))").alias("bit"))
+    table = np.zeros(bits // 64, np.uint64)
+    rows = words.groupBy("word").agg(F.bit_or("bit").alias("bit")).toArrow()  # at most bits / 64
+    table[rows.column("word").to_numpy()] = rows.column("bit").to_numpy().view(np.uint64)
+    return table
+
+
+def _set(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    at = hashes & np.uint64(bits - 1)
+    return ((table[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1)).astype(bool)
+
+
+def _candidates(text: str, known: tuple, places: bool) -> list[dict]:
+    """Strings of the text that may be literals, with their places; without ``places`` each string once."""
+    bits, sizes, first, whole = known
+    if not sizes:
+        return []
+    longest, out = max(x[-1] for x in sizes.values()), {}
+    for start in range(0, len(text), CHARS):  # windows that reach as far beyond their places as literals do
+        window = text[start : start + CHARS + longest - 1]
+        hashes, width = _coded(window), 1
+        while len(hashes):
+            if width in sizes:
+                begins = np.flatnonzero(_set(first, _mixed(hashes[:CHARS], width), bits))
+                for size in sizes[width]:
+                    at = begins[begins + size <= len(window)]
+                    at = at[_set(whole, _mixed(_mixed(hashes[at], hashes[at + size - width]), size), bits)]
+                    for a in at.tolist():
+                        out.setdefault((a + start, size) if places else window[a : a + size], (a + start, a + start + size, window[a : a + size]))
+            if 2 * width > longest:
+                break
+            hashes, width = _mixed(hashes[:-width], hashes[width:]), 2 * width
+    return [{"begin": a, "end": b, "literal": x} for a, b, x in out.values()]

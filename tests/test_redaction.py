@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from palaver.functions import permute
 from palaver.operators import literals, pii
@@ -135,3 +136,23 @@ def test_digest_by_record_type(spark):
     for k, (_, head, body) in enumerate(RECORDS):
         assert got[k] == f"--- line {k}: {head} ---\n{body}", k
     assert got[90] is got[91] is got[92] is None
+
+
+def test_large_tables_meet_each_text_once(spark, monkeypatch):
+    """Literals of many lengths in windows, beside chance matches: as the automaton finds them; texts aren't copied for each part of the table."""
+    monkeypatch.setattr(literals, "CHARS", 16)
+    words = [f"id{k}" for k in range(0, 300, 3)] + ["a", "aa", "aaa", "x" * 37, "İ", "𝒳y", "Doc 12", "doc 123"]
+    texts = [" ".join(f"ID{j}" for j in range(k, k + 9)) + " DOC 1234 aaaa " + "x" * (30 + k) + "İ𝒳Y" for k in range(20)] + ["", None, "a"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "line int, text string")
+    needles = spark.createDataFrame([(w,) for w in words], "w string")
+    wide, narrow = ({(r["literal"], r["line"]) for r in literals.holding(rows, "text", needles, "line", most=m).collect()} for m in (literals.MOST_CHARS, 10))
+    assert narrow == wide != set()
+    table = needles.select("w", F.concat(F.lit("<"), "w", F.lit(">")))
+    put = [{(r["line"], r["text"]) for r in literals.replaced(rows, "text", table, fold=True, most=m).collect()} for m in (literals.MOST_CHARS, 10)]
+    assert put[0] == put[1]
+    for bits in (64, 1 << 20):  # nearly all bits set: more chance matches, the same result
+        monkeypatch.setattr(literals, "FEWEST_BITS", bits)
+        monkeypatch.setattr(literals, "MOST_BITS", bits)
+        assert {(r["literal"], r["line"]) for r in literals.holding(rows, "text", needles, "line", most=10).collect()} == wide
+    plan = literals.holding(rows, "text", needles, "line", most=10)._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan  # no stream of copies
