@@ -118,9 +118,7 @@ def holding(rows: DataFrame, text: str, literals: DataFrame, line: str, fold: bo
 
         found = numbered.select("line", F.explode(held("text")).alias("literal"))
     else:
-        numbered = kept(numbered)
-        found = _found(numbered.drop("line"), pairs, fold, False).select("number", F.col("stand_in").alias("literal")).distinct()
-        found = found.join(numbered.select("number", "line"), "number").drop("number")
+        found = _found(numbered, pairs, fold, False).dropDuplicates(["number", "stand_in"]).select("line", F.col("stand_in").alias("literal"))
     if fold:
         found = found.withColumnRenamed("literal", "low").join(named.select("literal", F.lower("literal").alias("low")), "low")
     return found.select("literal", "line")
@@ -133,8 +131,8 @@ def _held(machine, text: str | None, fold: bool) -> list[str]:
 
 
 def _found(texts: DataFrame, pairs: DataFrame, fold: bool, places: bool) -> DataFrame:
-    """number, begin, end, stand_in of every literal at every place of the texts (number, text); without ``places`` once for
-    each text."""
+    """The texts' columns but ``text``, with begin, end, stand_in of every literal at every place; without ``places`` once for
+    each text, as a rule."""
     spark = texts.sparkSession
 
     @F.pandas_udf("string")
@@ -159,7 +157,8 @@ def _found(texts: DataFrame, pairs: DataFrame, fold: bool, places: bool) -> Data
     def candidates(column: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else _candidates(folded(t) if fold else t, sent.value, places) for t in column], dtype=object)
 
-    each = texts.select("number", F.explode(candidates("text")).alias("c")).select("number", "c.*")
+    rest = [c for c in texts.columns if c != "text"]
+    each = texts.select(*rest, F.explode(candidates("text")).alias("c")).select(*rest, "c.*")
     return each.join(keys, "literal").drop("literal")
 
 
