@@ -27,7 +27,7 @@ from .common import fresh, read, small_batches
 from .pieces import MEMO_ENTRIES, SPACE, Pieces, loaded, model_bytes
 
 #: Characters of distinct parts indexed at once, which bounds the arrays of a batch.
-INDEX_CHARS = 1 << 18
+INDEX_CHARS = 1 << 16
 #: Characters of a part from which on it is encoded by itself.
 LONG = 2000
 _CACHE_BITS = 20
@@ -254,8 +254,8 @@ def codec_of(model: bytes) -> Codec:
     return _codec[id(pieces)]
 
 
-#: Characters of the texts encoded together.
-BATCH_CHARS = 2 << 20
+#: Characters of the texts encoded together, which bounds by how much the memo can outgrow its limit.
+BATCH_CHARS = 1 << 19
 
 
 def in_groups(texts: list[str | None], most: int = BATCH_CHARS):
